@@ -11,7 +11,7 @@ the documents' sizes (pre-aggregated to one row for each source and size) and wr
 
 Copies: a rate's whole part is taken at once. Extra copies for the fractions go by sequential Poisson sampling: documents
 in order of (uniform hash / fraction) are taken while their words fit into what the source still lacks; further passes
-fill the rest with documents that fit into it. Prefix sums run over hash buckets, so no source is summed by one task.
+fill the rest with documents that fit into it, the last with the one document that comes nearest. Prefix sums run over hash buckets, so no source is summed by one task.
 The same input gives the same copies.
 
 Defined results: null and blank texts have size 0, are taken never, and do not matter to others. A null source is a
@@ -99,12 +99,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     taken = written(taken)
     got = taken.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
     buckets = max(1, min(4096, taken.count() // BUCKET_ROWS))
-    for turn in range(passes):
+    for turn in range(passes + 1):
         left = got.join(goals.select(F.col("source").alias("g"), "target"), F.col("source").eqNullSafe(F.col("g"))).select("g", (F.col("target") - F.col("got")).alias("lack"))
-        # Smaller documents for what the first pass leaves; a document gets one extra copy at most.
-        able = taken.join(left.where("lack >= 1"), F.col("source").eqNullSafe(F.col("g"))).drop("g").where((F.col("size") > 0) & (F.col("size") <= F.col("lack")) & (F.col("copies") < F.floor("rate") + 1) & (F.col("copies") < most) & (F.col("fraction") > 0))
-        rank = F.col("chance") / (F.col("chance") + F.col("fraction"))  # rises with chance / fraction
-        chosen = running(able, "size", rank, buckets).where(F.col("before") + F.col("size") <= F.col("lack")).select(F.col("doc_id").alias("d"), F.col("source").alias("g"), F.col("size").alias("z"), F.col("nth").alias("k"), F.lit(1).alias("extra"))
+        # A document gets one extra copy at most.
+        able = taken.join(left.where("lack >= 1"), F.col("source").eqNullSafe(F.col("g"))).drop("g").where((F.col("size") > 0) & (F.col("copies") < F.floor("rate") + 1) & (F.col("copies") < most) & (F.col("fraction") > 0))
+        if turn < passes:  # after the first pass, documents that fit into what it has left
+            rank = F.col("chance") / (F.col("chance") + F.col("fraction"))  # rises with chance / fraction
+            chosen = running(able.where("size <= lack"), "size", rank, buckets).where(F.col("before") + F.col("size") <= F.col("lack"))
+        else:  # at last the one document that brings the source nearest to its target, also from above
+            near = F.struct(F.abs(F.col("size") - F.col("lack")).alias("off"), "doc_id", "size", "nth")
+            best = able.where("size < 2 * lack").groupBy("source").agg(F.min(near).alias("x"))
+            chosen = best.select("x.doc_id", "source", "x.size", "x.nth")
+        chosen = chosen.select(F.col("doc_id").alias("d"), F.col("source").alias("g"), F.col("size").alias("z"), F.col("nth").alias("k"), F.lit(1).alias("extra"))
         same = taken["doc_id"].eqNullSafe(chosen["d"]) & taken["source"].eqNullSafe(chosen["g"]) & (taken["size"] == chosen["z"]) & (taken["nth"] == chosen["k"])
         taken = written(taken.join(chosen, same, "left").withColumn("copies", F.col("copies") + F.coalesce("extra", F.lit(0))).drop("d", "g", "z", "k", "extra"))
         got = taken.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
