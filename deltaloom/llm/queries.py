@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pieces, sharding
+from . import exact_dedup, mixing, pieces, sharding, warc
 from .common import table
 
 
@@ -22,6 +22,21 @@ FROM n
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)),
+          'string_agg', '') AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM d
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
@@ -41,8 +56,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op4_exact_dedup, op6_mixing, op8_sentencepiece)}
+    return {f.__name__: f for f in (op2_warc, op3_sharding, op4_exact_dedup, op6_mixing, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL}
