@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 #: Documents that one task of a prefix sum orders, about.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 500
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pieces, sharding, warc
+from . import exact_dedup, langid, mixing, pieces, quality, sharding, warc
 from .common import table
 
 
@@ -55,8 +55,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_sharding, op4_exact_dedup, op6_mixing, op8_sentencepiece)}
+    return {f.__name__: f for f in (op2_warc, op3_sharding, op4_exact_dedup, op6_mixing, op8_sentencepiece, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,8 @@
 Documents are linked when their texts are equal. Every document starts in the shard that its hash names. The linked
 documents that share a text and a first shard move as one bundle; in each round a join of the bundles with the weights
 of their group in every shard finds the neighbours' heaviest shard that has room, and a bundle moves there as far as
-the shard's quota allows. A group that outgrows a quota fills one shard after another. Documents without links stay
+the shard's quota allows. Groups larger than a quarter of a quota, fewer than four for each shard, fill one shard after
+another first. Documents without links stay
 where they are and level the counts at the end: each shard keeps as many rows as its quota (counts differ by one at
 most), rows without links leave first.
 
@@ -32,30 +33,63 @@ def by_shard(values: dict[int, float], of: Column, default: float = 0) -> Column
     return F.coalesce(F.get(F.array(*map(F.lit, array)), of), F.lit(default))
 
 
+def fill(bundles: list[tuple[int, int, int]], room: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Shards for the bundles (gid, origin, n) of groups that are too large for chance: gid, origin, shard.
+
+    Each group fills the shards where it is heaviest with its bundles from the lightest ones. There are fewer than four such groups
+    for each shard, with a bundle for each shard.
+    """
+    out, groups = [], {}
+    for gid, origin, n in bundles:
+        groups.setdefault(gid, []).append((n, origin))
+    for gid, own in sorted(groups.items(), key=lambda g: (-sum(n for n, _ in g[1]), g[0])):
+        own.sort(key=lambda x: (-x[0], x[1]))
+        at = {origin: origin for _, origin in own}
+        first, last = 0, len(own) - 1
+        while first < last:
+            (n, light), heavy = own[last], own[first][1]
+            if n <= room[heavy]:
+                room[heavy] -= n
+                room[light] += n
+                at[light] = heavy
+                last -= 1
+            else:
+                first += 1
+        out += [(gid, origin, cur) for origin, cur in at.items()]
+    return out
+
+
 def propagate(rows: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
     """gid, origin, cur: the shard of each bundle of linked rows after the last round."""
-    each = W.partitionBy("gid")
-    state = written(
+    spark, each = rows.sparkSession, W.partitionBy("gid")
+    bundles = written(
         rows.where("gid is not null").groupBy("gid", "origin").agg(F.count("*").alias("n"))
         .withColumn("all", F.sum("n").over(each)).where("all > 1")  # at most one row of a group for each shard
-        .withColumn("cur", F.col("origin"))
-    )
+    )
+    large = F.col("all") > max(1, quota // 4)
+
+    def loads(of: DataFrame, shard: str) -> dict[int, int]:
+        return {r[0]: r[1] for r in of.groupBy(shard).agg(F.sum("n")).collect()}
+
+    load = loads(bundles, "origin")
+    placed = fill([tuple(r) for r in bundles.where(large).select("gid", "origin", "n").collect()], {k: quota - load.get(k, 0) for k in range(shards)})
+    placed = spark.createDataFrame(placed, "gid long, origin int, cur int")
+    state = written(bundles.join(F.broadcast(placed), ["gid", "origin"], "left").select("gid", "origin", "n", large.alias("large"), F.coalesce("cur", "origin").alias("cur")))
     for turn in range(rounds):
-        load = {r.cur: r.n for r in state.groupBy("cur").agg(F.sum("n").alias("n")).collect()}
-        room = {k: quota - load.get(k, 0) for k in range(shards)}
-        pull = state.groupBy("gid", "cur").agg(F.sum("n").alias("w"))
+        load = loads(state, "cur")
+        room = {k: max(0, quota - load.get(k, 0)) for k in range(shards)}
+        pull = state.where("not large").groupBy("gid", "cur").agg(F.sum("n").alias("w"))
         pull = pull.withColumn("pull", F.struct("w", F.xxhash64("gid", "cur").alias("tie"), "cur"))
         to = pull.where(by_shard(room, F.col("cur")) > 0).groupBy("gid").agg(F.max("pull").alias("to"))
-        wish = state.join(pull.select("gid", "cur", "pull"), ["gid", "cur"]).join(to, "gid", "left")
+        wish = state.join(pull.select("gid", "cur", "pull"), ["gid", "cur"], "left").join(to, "gid", "left")
         wish = wish.withColumn("moves", F.coalesce((F.col("to") > F.col("pull")) & (F.col("n") <= by_shard(room, F.col("to.cur"))), F.lit(False)))
         wanted = {r.t: r.n for r in wish.where("moves").groupBy(F.col("to.cur").alias("t")).agg(F.sum("n").alias("n")).collect()}
         if not wanted:
             break
         share = {k: min(1.0, room[k] / n) for k, n in wanted.items()}
-        alone = F.when(F.col("all") > quota // 4, F.col("origin")).otherwise(-1)  # a large group moves in parts
-        chance = F.pmod(F.xxhash64("gid", alone, F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+        chance = F.pmod(F.xxhash64("gid", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)  # the same for all of a group
         moved = F.col("moves") & (chance < by_shard(share, F.col("to.cur")))
-        state = written(wish.select("gid", "origin", "n", "all", F.when(moved, F.col("to.cur")).otherwise(F.col("cur")).alias("cur")))
+        state = written(wish.select("gid", "origin", "n", "large", F.when(moved, F.col("to.cur")).otherwise(F.col("cur")).alias("cur")))
     return state.select("gid", "origin", "cur")
 
 
