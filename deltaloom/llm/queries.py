@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, ngram_join, pieces, quality, sharding, warc
+from . import exact_dedup, langid, mixing, ngram_join, pieces, quality, sharding, vectors, warc
 from .common import table
 
 
@@ -63,6 +63,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
+
+
+OP7_SQL = """
+WITH RECURSIVE g AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.vec_id),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT r.vec_id, coalesce(max(n.n), 0) AS n_links, min(r.root) AS component_id, r.vec_id = min(r.root) AS kept
+FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id
+"""
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -82,8 +97,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_sharding, op4_exact_dedup, op6_mixing, op8_sentencepiece, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_sharding, op4_exact_dedup, op6_mixing, op7_vectors, op8_sentencepiece, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_vectors": OP7_SQL}
