@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, ngram_join, pieces, quality, sharding, vectors, warc
+from . import exact_dedup, langid, licences, mixing, ngram_join, pieces, quality, sharding, vectors, warc
 from .common import table
 
 
@@ -59,6 +60,38 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: sources are directories, and every twenty-fifth document is a licence file."""
+    docs = table(spark, sf_dir, "documents")
+    shelf = F.concat_ws("/", F.coalesce("source", F.lit("none")), (F.col("doc_id") % 4).cast("string"), F.floor(F.col("doc_id") / 2000).cast("string"))
+    name = F.when(F.col("doc_id") % 100 < 4, F.lit("/LICENSE.txt")).otherwise(F.concat(F.lit("/texts/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.licensed(docs.select("doc_id", F.concat(shelf, name).alias("path"), "text"), keep=("doc_id",))
+
+
+def op5_sql() -> str:
+    w = licences.Weights()
+    terms = ", ".join(f"('{t}', {x!r}::DOUBLE, [{', '.join(repr(v.get(t, 0.0)) for v in w.vectors)}]::DOUBLE[])" for t, x in sorted(w.idf.items()))
+    names = ", ".join(f"'{n}'" for n in w.names)
+    file = "regexp_matches(path, '(?i)(^|/)(licen[cs]es?|copying|notice|unlicense)(\\.[a-z]+)?$')"
+    return f"""
+WITH f AS (SELECT doc_id, coalesce(source, 'none') || '/' || (doc_id % 4) || '/' || CAST(floor(doc_id / 2000) AS BIGINT) || CASE WHEN doc_id % 100 < 4 THEN '/LICENSE.txt' ELSE '/texts/' || doc_id || '.txt' END AS path, text FROM documents),
+t(term, idf, v) AS (VALUES {terms}),
+l AS (SELECT doc_id, path, unnest(list_concat(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), CASE WHEN {file} THEN [coalesce(text, '')] ELSE [] END)) AS line FROM f),
+c AS (SELECT path, row_number() OVER () AS p, regexp_extract_all(lower(line), '[a-z0-9]+(?:[.-][a-z0-9]+)*') AS w FROM l),
+e AS (SELECT path, p, w AS term, count(*) AS n FROM (SELECT path, p, unnest(w) AS w FROM c) GROUP BY ALL),
+z AS (SELECT path, p, sqrt(sum((n * coalesce(idf, {w.unseen!r})) ** 2)) AS len FROM e LEFT JOIN t USING (term) GROUP BY ALL),
+d AS (SELECT path, p, i, sum(n * idf * v[i + 1]) AS dot FROM e JOIN t USING (term), range({len(w.names)}) r(i) GROUP BY ALL),
+s AS (SELECT path, max({{'score': round(dot / len, 6), 'minus': -i}}) AS x FROM d JOIN z USING (path, p) WHERE round(dot / len, 6) >= {licences.THRESHOLD} GROUP BY ALL),
+own AS (SELECT path, [{names}][1 - x.minus] AS licence, x.score AS score, {file} AS of_file FROM s),
+g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_max({{'licence': licence, 'score': score, 'path': path}}, score) AS x FROM own WHERE of_file GROUP BY 1),
+n AS (SELECT f.path, arg_max(g.x, length(g.dir)) AS x FROM (SELECT DISTINCT path FROM f) f JOIN g ON starts_with(f.path, g.dir || '/') GROUP BY 1)
+SELECT f.doc_id, f.path, coalesce(own.licence, n.x.licence) AS licence, coalesce(own.score, n.x.score) AS score,
+  CASE WHEN own.licence IS NOT NULL THEN CASE WHEN of_file THEN 'file' ELSE 'header' END WHEN n.path IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+  CASE WHEN own.licence IS NOT NULL THEN f.path ELSE n.x.path END AS from_path
+FROM f LEFT JOIN own ON own.path = f.path LEFT JOIN n ON n.path = f.path
+"""
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -97,8 +130,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_sharding, op4_exact_dedup, op6_mixing, op7_vectors, op8_sentencepiece, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_sharding, op4_exact_dedup, op5_licences, op6_mixing, op7_vectors, op8_sentencepiece, op9_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op7_vectors": OP7_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_licences": op5_sql(), "op7_vectors": OP7_SQL}
