@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts of the operators name it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a narrow table that go to each executor at once; a larger one is joined by a shuffle.
+SENT_ROWS = 1_000_000
+#: Nodes that one task contracts at once.
+FOREST = 300_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,19 +42,55 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame) -> DataFrame:
+    """A narrow written table, marked for broadcast if it has at most SENT_ROWS rows."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a task as edges from each node to the smallest node that it reaches among them."""
+    parent: dict = {}
+    schema = None
+
+    def top(x):
+        while (y := parent[x]) != x:
+            parent[x] = x = parent[y]
+        return x
+
+    def out() -> pa.RecordBatch:
+        pairs = [(x, r) for x in parent if (r := top(x)) != x]
+        cols = list(zip(*pairs, strict=True)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    for b in batches:
+        schema = b.schema
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            x, y = top(u), top(v)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > FOREST:
+            yield out()
+            parent.clear()
+    if parent:
+        yield out()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
     edges: columns a, b (any orderable type), in any direction, repeats and loops allowed.
     Returns node, root: one row for each node that has an edge to another node; root is the smallest node that
-    it can reach. Alternates large-star and small-star; each round is written to the shared folder, and
-    partial minima are taken before each shuffle, so a node with very many edges is no single task.
+    it can reach. Each task first contracts the edges it holds; then large-star and small-star alternate. Each round is
+    written to the shared folder, and partial minima are taken before each shuffle, so a node with very many edges is no single task.
     """
-    state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    given = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    state = written(given.mapInArrow(forest, given.schema))
     sign = None
     for _ in range(most_rounds):
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))

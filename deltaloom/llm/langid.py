@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -242,17 +243,17 @@ def loaded(data: bytes) -> Model:
     return pickle.loads(data)
 
 
-def predicted(docs: DataFrame, model: Model | None, keep: list[Column]) -> DataFrame:
-    """The columns of keep, lang_pred, score. docs has a column text."""
+def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """row (a struct of all columns), lang_pred, score. docs has a column text."""
     small_batches(docs.sparkSession)
     data = model and pickle.dumps(Model(model.languages, model.weights, model.start, model.moves))
-    kept = docs.select(*keep, F.col("text").alias("text_"))
-    n = len(keep)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = ["und"] * b.num_rows, np.zeros(b.num_rows)
-            words = [LETTERS.findall((t or "").lower()) for t in b.column(n).to_pylist()]
+            words = [LETTERS.findall((t or "").lower()) for t in b.column(0).field(place).to_pylist()]
             full = [i for i, w in enumerate(words) if w] if data else []
             while full:  # some hundred thousand words at once
                 part, size = [], 0
@@ -265,14 +266,20 @@ def predicted(docs: DataFrame, model: Model | None, keep: list[Column]) -> DataF
                 scores[part] = np.clip(shares[np.arange(len(part)), best], 0, 1)
                 for i, k in zip(part, best, strict=True):
                     langs[i] = own.languages[k]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(langs, pa.string()), pa.array(scores)], names=[*b.schema.names[:n], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"])
 
-    types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:n])
-    return kept.mapInArrow(run, f"{types}, lang_pred string, score double")
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def languages(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     model = learn(sample(docs, most))
-    out = predicted(docs, model, [F.col("doc_id").cast("long").alias("doc_id")])
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    out = predicted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def in_some_language(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not ``und``."""
+    out = predicted(docs, learn(sample(docs, most))).where("lang_pred <> 'und'")
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

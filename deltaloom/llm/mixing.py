@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, sent, written
 
 #: Documents that one task of a prefix sum orders, about.
 BUCKET_ROWS = 500
@@ -115,3 +115,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
         taken = written(taken.join(chosen, same, "left").withColumn("copies", F.col("copies") + F.coalesce("extra", F.lit(0))).drop("d", "g", "z", "k", "extra"))
         got = taken.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "nth")
+
+
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them. Rows that repeat a doc_id go as often as the least taken of them."""
+    copies = mix(docs, **how).groupBy("doc_id").agg(F.min("copies").alias("copies_")).where("copies_ > 0")
+    copies = sent(written(copies.select(F.col("doc_id").alias("mixed_id_"), "copies_")))
+    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id_")))
+    return rows.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), "copies_"))).select(*(F.col(f"`{c}`") for c in docs.columns))

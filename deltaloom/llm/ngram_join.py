@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, written
+from .common import components, sent, small_batches, written
 
-#: Keys that a map task groups at once; nodes that go to each executor; members of a small group; nodes of a block.
-FOLD_KEYS, SENT_NODES, SMALL, BLOCK = 1_000_000, 1_000_000, 64, 256
+#: Keys that a map task groups at once; members of a small group; nodes of a block.
+FOLD_KEYS, SMALL, BLOCK = 1_000_000, 64, 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("n", pa.int32())])
@@ -222,9 +222,11 @@ def linked(percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b) that are linked."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(linked(percent), "a long, b long")
+    pairs = written(pairs)
+    needed = sent(written(pairs.select("b").distinct()))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(sent(pairs), "a")
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(needed, "b", "left_semi")
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(linked(percent), "a long, b long")
 
 
 def blocked(percent: int):
@@ -313,7 +315,7 @@ def left_open(pairs: DataFrame, sets: DataFrame, edges: DataFrame, percent: int)
     heads = heads.select("cluster", F.col("head.root").alias("head"), F.ceil((F.col("all") - F.col("head.n")) / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
     spread = dense.join(heads, "cluster").withColumn("own", F.when(F.col("root") != F.col("head"), F.pmod(F.xxhash64("node"), "blocks").cast("int")))
     spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.join(sets, "node").select("cluster", "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("inside"), "node", "root", "shingles")
+    spread = sets.join(sent(written(spread)), "node").select("cluster", "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("inside"), "node", "root", "shingles")
     spread = spread.repartition("cluster", "block").sortWithinPartitions("cluster", "block", F.col("inside").desc())
     return written(more.unionByName(spread.mapInArrow(blocked(percent), "a long, b long")))
 
@@ -328,12 +330,10 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = written(rows)
     known = rows.where(F.col("kind") == DOCUMENT).select(F.col("other").alias("doc_id"), "node", "n")
     pairs = rows.where(F.col("kind") == PAIR).select("key", "node", F.col("other").alias("centre"))
-    tests = written(pairs.select("node", "centre").distinct())
+    tests = pairs.select("node", "centre").distinct()
     nodes = tests.select("node").unionByName(tests.select(F.col("centre").alias("node"))).distinct()
     first = written(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    if first.count() <= SENT_NODES:
-        first = F.broadcast(first)
-    sets = written(texts.join(first, "doc_id").select("node", "text").mapInArrow(set_rows(words), "node long, shingles binary"))
+    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(set_rows(words), "node long, shingles binary"))
     edges = written(verified(tests.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent))
     edges = edges.unionByName(left_open(pairs, sets, edges, percent))
     roots = components(edges)
@@ -341,3 +341,13 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = placed.join(smallest, "root", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, less those that a linked document with a smaller doc_id stands for.
+
+    Rows that repeat a doc_id go only if all of them have such a document.
+    """
+    gone = similar(docs, words, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(F.col("component_id") < F.col("doc_id")).alias("gone"))
+    gone = written(gone.where("gone").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")))
+    return docs.join(sent(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -193,10 +193,12 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
     return kept.mapInArrow(run, f"{types}, ids array<int>, begins array<bigint>, ends array<bigint>")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and span_bytes, the bytes of the text that the spans of its pieces cover."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (the bytes of the text that the spans of its pieces cover), and the ids if asked for."""
     model = model_bytes(path)
     small_batches(docs.sparkSession)
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -204,8 +206,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             rows = []
             own = codec(model)
             for ids, begins, ends in own.encode([t or "" for t in b.column(1).to_pylist()]):
-                rows.append((len(ids), sha(ids.astype("<u4").tobytes()), sha(own.decode(ids).encode()), int((ends - begins).sum())))
-            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+                rows.append((len(ids), sha(ids.astype("<u4").tobytes()), sha(own.decode(ids).encode()), int((ends - begins).sum()), *([ids] if with_ids else [])))
+            cols = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long" + ", ids array<int>" * with_ids)
