@@ -86,24 +86,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     edges: columns a, b (any orderable type), in any direction, repeats and loops allowed.
     Returns node, root: one row for each node that has an edge to another node; root is the smallest node that
-    it can reach. Each task first contracts the edges it holds; then large-star and small-star alternate. Each round is
-    written to the shared folder, and partial minima are taken before each shuffle, so a node with very many edges is no single task.
+    it can reach. Each task first contracts the edges it holds to stars; then large-star and small-star alternate until
+    every child has one parent and no parent is a child. Edges point from a child to a smaller parent. Only parents that are children
+    themselves change in the large-star step; they are few after the contraction, so a root with very many children is
+    never the key of a shuffle. Each round is written to the shared folder.
     """
     given = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    state = written(given.mapInArrow(forest, given.schema))
-    sign = None
+    state = written(given.mapInArrow(forest, given.schema).distinct())
     for _ in range(most_rounds):
-        both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        state = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == sign:
+        low = state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        inner = written(low.join(state.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("v"), "m"))
+        if inner.isEmpty() and low.where("n > 1").isEmpty():
             break
-        sign = now
+        large = state.join(sent(inner), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        split = large.join(low.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        state = written(low.select("u", F.col("m").alias("v")).unionByName(split).distinct())
     else:
         raise RuntimeError("the components have not settled")
-    roots = state.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,9 +12,11 @@ more empty segments join on these too, so nothing is lost.
 
 Documents with the same set are one node. Nothing is expanded into all pairs of a group: in each segment's group every
 node is compared with one centre only (map tasks choose local centres first, so that a hot segment reaches its reducer as
-one row for each task). Pairs are verified on the whole sets and connected components are taken. What the centres leave
+one row for each task). Pairs whose whole sketches already differ in too many bits go; the rest is verified on the whole
+sets and connected components are taken. What the centres leave
 open, groups whose nodes still lie in several components, is settled exactly: small groups by the pairs across components,
-large ones cluster by cluster, blocks of the nodes outside the cluster's largest component against all its nodes.
+wider ones by comparing their sketches and verifying what these leave, and the widest cluster by cluster, blocks of the nodes
+outside the cluster's largest component against all its nodes.
 
 Words are maximal runs of non-space characters (ASCII white space) after lower-casing A to Z. Sets hold 64-bit hashes of
 shingles. Defined results: null and blank texts have no shingles and link with nothing; texts with fewer words than a
@@ -36,13 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import components, sent, small_batches, written
 
-#: Keys that a map task groups at once; members of a small group; nodes of a block.
-FOLD_KEYS, SMALL, BLOCK = 1_000_000, 64, 256
+#: Keys that a map task groups at once; members of a small group, and of one whose sketches one task compares; nodes of a block.
+FOLD_KEYS, SMALL, WIDE, BLOCK = 500_000, 64, 2048, 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("n", pa.int32())])
 DOCUMENT, MEMBER, PAIR = 0, 1, 2
-NO_TEXT = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("shingles", pa.binary())])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,7 +57,7 @@ class Hashes(dict):
     """Hash of each word, kept while a worker has room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -190,16 +192,99 @@ def reaches(a: int, b: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
+def whole_sketch(own: np.ndarray) -> bytes:
+    """The parity of the hashes at each of about as many bits as there are shingles, a power of two."""
+    bits = max(256, 1 << (len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches; the wider one is folded, so this never exceeds the symmetric difference."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for half in (8 * len(y) << k for k in reversed(range((len(x) // len(y)).bit_length() - 1))):
+        a = (a >> half) ^ (a & ((1 << half) - 1))
+    return (a ^ b).bit_count()
+
+
+def close(percent: int):
+    """Pairs a, b that their sizes and sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b"))
+            keep = [
+                100 * min(i, j) >= percent * max(i, j) and distance(u, v) * (100 + percent) <= (100 - percent) * (i + j)
+                for i, j, u, v in zip(n, m, x, y, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def folded_to(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def within(percent: int):
+    """Rows key, node, root, n, sketch in order of key, WIDE a key at most: pairs across roots that sizes and sketches don't rule out."""
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        by_width: dict[int, list[tuple]] = {}
+        for row in rows:
+            by_width.setdefault(len(row[4]), []).append(row)
+        own = []
+        for width, part in sorted(by_width.items()):
+            _, node, root, n, sketch = zip(*part, strict=True)
+            own.append((np.array(node), np.array(root), np.array(n), np.frombuffer(b"".join(sketch), np.uint64).reshape(len(part), width // 8)))
+        for i, (node, root, n, sketch) in enumerate(own):
+            for other, (node2, root2, n2, sketch2) in enumerate(own[i:], i):
+                sketch2 = folded_to(sketch2, sketch.shape[1])
+                for at in range(0, len(node), 32):
+                    part = slice(at, at + 32)
+                    apart = np.bitwise_count(sketch[part, None] ^ sketch2[None]).sum(2, dtype=np.int64)
+                    a, b = n[part, None].astype(np.int64), n2[None].astype(np.int64)
+                    keep = (apart * (100 + percent) <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (root[part, None] != root2[None])
+                    if other == i:
+                        keep &= node[part, None] < node2[None]
+                    x, y = np.nonzero(keep)
+                    yield node[at + x], node2[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            for x, y in pairs(held):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and held[0][0] != row[0]:
+                    yield from out()
+                    held = []
+                held.append(row)
+        if held:
+            yield from out()
+
+    return run
+
+
 def set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sets = [], []
+            nodes, sizes, sketches, sets = [], [], [], []
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = shingles(text, words)
                 if len(own) and name_of(own) == node:  # another text of a repeated doc_id is not meant
                     nodes.append(node)
+                    sizes.append(len(own))
+                    sketches.append(whole_sketch(own))
                     sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=NO_TEXT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((nodes, sizes, sketches, sets), SETS, strict=True)], schema=SETS)
 
     return run
 
@@ -222,7 +307,9 @@ def linked(percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b) that are linked."""
-    pairs = written(pairs)
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
+    pairs = written(pairs.mapInArrow(close(percent), "a long, b long"))
     needed = sent(written(pairs.select("b").distinct()))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(sent(pairs), "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(needed, "b", "left_semi")
@@ -288,28 +375,29 @@ def blocked(percent: int):
     return run
 
 
-def left_open(pairs: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Links between components that the comparisons with centres did not find; pairs: key, node, centre."""
-    found = components(edges)
+def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
+    """Links between components that the comparisons with centres did not find; pairs: key, node, centre; found: node, root."""
     of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     tested = pairs.select("node", "centre").distinct().join(of("node"), "node", "left").join(of("centre"), "centre", "left")
     failed = tested.where(F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre")).select("node", "centre")
     open_keys = pairs.join(failed, ["node", "centre"]).select("key").distinct()
     open_pairs = written(pairs.join(open_keys, "key", "left_semi"))
     if open_pairs.isEmpty():
-        return edges.limit(0)
+        return None
     member = open_pairs.select("key", "node").unionByName(open_pairs.select("key", F.col("centre").alias("node"))).distinct()
     member = member.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     size = member.groupBy("key").agg(F.count("*").alias("n"))
-    dense = components(open_pairs.join(size.where(f"n > {SMALL}"), "key", "left_semi").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    dense = components(open_pairs.join(size.where(f"n > {WIDE}"), "key", "left_semi").select(F.col("node").alias("a"), F.col("centre").alias("b")))
     dense = written(dense.withColumnRenamed("root", "cluster"))
     # Small groups: pairs across components, unless a cluster compares them anyway.
     few = member.join(size.where(f"n <= {SMALL}"), "key", "left_semi").join(dense, "node", "left")
     few = few.groupBy("key").agg(F.collect_list(F.struct("node", "root", "cluster")).alias("m"))  # SMALL at most
     across = "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.root <> x.root AND NOT (coalesce(x.cluster = y.cluster, false))), y -> struct(x.node AS a, y.node AS b))))"
-    more = few.select(F.explode(F.expr(across)).alias("p")).select("p.a", "p.b").distinct()
-    more = verified(more, sets, percent)
-    # Large groups: blocks of the nodes outside a cluster's largest component against all of the cluster.
+    more = few.select(F.explode(F.expr(across)).alias("p")).select("p.a", "p.b")
+    wider = member.join(size.where(f"n > {SMALL} AND n <= {WIDE}"), "key", "left_semi").join(sets.select("node", "n", "sketch"), "node").select("key", "node", "root", "n", "sketch")
+    wider = wider.repartition("key").sortWithinPartitions("key").mapInArrow(within(percent), "a long, b long")
+    more = verified(more.unionByName(wider).distinct(), sets, percent)
+    # The widest groups: blocks of the nodes outside a cluster's largest component against all of the cluster.
     dense = dense.join(found, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("root"))
     heads = dense.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("head"), F.sum("n").alias("all"))
     heads = heads.select("cluster", F.col("head.root").alias("head"), F.ceil((F.col("all") - F.col("head.n")) / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
@@ -333,10 +421,16 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tests = pairs.select("node", "centre").distinct()
     nodes = tests.select("node").unionByName(tests.select(F.col("centre").alias("node"))).distinct()
     first = written(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(set_rows(words), "node long, shingles binary"))
+    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(set_rows(words), "node long, n int, sketch binary, shingles binary"))
     edges = written(verified(tests.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent))
-    edges = edges.unionByName(left_open(pairs, sets, edges, percent))
-    roots = components(edges)
+    roots = written(components(edges))
+    more = left_open(pairs, sets, roots, percent)
+    if more is not None:  # links between the components found so far, as links between their roots
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        joined = written(components(between)).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        every = roots.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()  # nodes without an earlier link
+        roots = every.join(joined, every["root"] == joined["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = placed.join(smallest, "root", "left")

@@ -48,9 +48,10 @@ def near_copies(rng, words, n, most):
         yield " ".join(own)
 
 
-@pytest.mark.parametrize(("k", "percent", "small"), [(4, 85, 64), (5, 80, 4), (2, 70, 3)])
-def test_components_equal_brute_force(spark, monkeypatch, k, percent, small):
+@pytest.mark.parametrize(("k", "percent", "small", "wide"), [(4, 85, 64, 2048), (5, 80, 4, 9), (2, 70, 3, 2048), (2, 70, 3, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, k, percent, small, wide):
     monkeypatch.setattr(nj, "SMALL", small)
+    monkeypatch.setattr(nj, "WIDE", wide)
     monkeypatch.setattr(nj, "BLOCK", 5)
     rng = random.Random(k)
     words = [f"w{i}" for i in range(400)]
@@ -87,3 +88,12 @@ def test_graph_components(spark):
     assert got[1] == got[2] == got[3] == 1 and 5 not in got and {got[x] for x in (6, 7, 8, 9, 10)} == {6}
     assert {got[100 + i] for i in range(41)} == {100} and {got[600 + i] for i in range(50)} == {500}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketch_distance_never_exceeds_the_symmetric_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        both, left, right = (rng.integers(0, 1 << 63, rng.integers(0, most), dtype=np.uint64) for most in (900, 200, 2000))
+        x, y = (np.unique(np.r_[both, own, np.uint64(1)]) for own in (left, right))
+        distance = nj.distance(nj.whole_sketch(x), nj.whole_sketch(y))
+        assert distance == nj.distance(nj.whole_sketch(y), nj.whole_sketch(x)) <= len(np.setxor1d(x, y))
