@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch brings into a Python worker; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def written(df: DataFrame) -> DataFrame:

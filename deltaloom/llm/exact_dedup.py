@@ -29,7 +29,7 @@ from .common import SPACE, shared_folder, small_batches, written
 #: Entries of a bucket before it is split; the largest directory has 2**MOST_DEPTH slots of 12 bytes.
 CAPACITY, MOST_DEPTH = 5_000, 16
 #: Bytes of texts that a map task folds at once.
-FOLD_BYTES = 32 << 20
+FOLD_BYTES = 8 << 20
 BLANK = frozenset(b" \t\n\v\f\r")
 
 

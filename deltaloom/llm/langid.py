@@ -41,7 +41,7 @@ WIDTH = 1 << 15
 BLOCK = 48
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose emissions a worker keeps.
-KEPT = 400_000
+KEPT = 150_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -255,9 +255,9 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             langs, scores = ["und"] * b.num_rows, np.zeros(b.num_rows)
             words = [LETTERS.findall((t or "").lower()) for t in b.column(0).field(place).to_pylist()]
             full = [i for i, w in enumerate(words) if w] if data else []
-            while full:  # some hundred thousand words at once
+            while full:  # some ten thousand words at once
                 part, size = [], 0
-                while full and (not part or size + len(words[full[-1]]) <= 200_000):
+                while full and (not part or size + len(words[full[-1]]) <= 60_000):
                     part.append(full.pop())
                     size += len(words[part[-1]])
                 own = loaded(data)
