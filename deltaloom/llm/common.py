@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a narrow table that go to each executor at once; a larger one is joined by a shuffle.
 SENT_ROWS = 1_000_000
+#: Bytes that a writer of a table holds before they go to the file.
+ROW_GROUP = 16 << 20
 #: Nodes that one task contracts at once.
 FOREST = 300_000
 
@@ -32,13 +35,26 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound what one Arrow batch brings into a Python worker; texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The function of a mapInArrow; after its last batch, the worker gives the memory it has freed back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return whole
 
 
 def written(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read back: lineage ends here and no executor holds the only copy."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,7 +108,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     never the key of a shuffle. Each round is written to the shared folder.
     """
     given = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    state = written(given.mapInArrow(forest, given.schema).distinct())
+    state = written(given.mapInArrow(tidy(forest), given.schema).distinct())
     for _ in range(most_rounds):
         low = state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         inner = written(low.join(state.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("v"), "m"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, shared_folder, small_batches, written
+from .common import shared_folder, small_batches, tidy, written, SPACE
 
 #: Entries of a bucket before it is split; the largest directory has 2**MOST_DEPTH slots of 12 bytes.
 CAPACITY, MOST_DEPTH = 5_000, 16
@@ -178,10 +178,10 @@ def index(docs: DataFrame, grown: Directory, bits: int, with_rows: bool) -> Data
     if not with_rows:
         rows = rows.withColumn("rest", F.struct(F.lit(None).cast("int").alias("none")))
     rows = rows.join(F.broadcast(slots), "slot").select("bucket", "h", F.col("doc_id").cast("long").alias("doc_id"), "text", "rest", F.lit(1).cast("long").alias("n"))
-    entries = rows.mapInArrow(folded, rows.schema)
+    entries = rows.mapInArrow(tidy(folded), rows.schema)
     owners = entries.repartition("bucket").sortWithinPartitions("bucket", "h")
     schema = T.StructType([T.StructField(a, b) for a, b in (("bucket", T.IntegerType()), ("h", T.LongType()), ("chain", T.IntegerType()), ("chain_length", T.IntegerType()), ("keep_id", T.LongType()), ("group_size", T.LongType()), ("text", T.StringType()), ("rest", rows.schema["rest"].dataType))])
-    return owners.mapInArrow(chained(with_rows), schema)
+    return owners.mapInArrow(tidy(chained(with_rows)), schema)
 
 
 def exact_groups(docs: DataFrame, bits: int = 63, capacity: int = CAPACITY) -> DataFrame:

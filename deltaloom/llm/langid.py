@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Documents to learn from, and their words for one step.
 SAMPLE, SPAN = 600, 80
@@ -41,7 +41,7 @@ WIDTH = 1 << 15
 BLOCK = 48
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose emissions a worker keeps.
-KEPT = 150_000
+KEPT = 60_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -238,7 +238,7 @@ def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]]:
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))][: 2 * most]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def loaded(data: bytes) -> Model:
     return pickle.loads(data)
 
@@ -269,7 +269,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def languages(docs: DataFrame, most: int = SAMPLE) -> DataFrame:

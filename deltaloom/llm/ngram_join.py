@@ -36,10 +36,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, sent, small_batches, written
+from .common import components, sent, small_batches, tidy, written
 
 #: Keys that a map task groups at once; members of a small group, and of one whose sketches one task compares; nodes of a block.
-FOLD_KEYS, SMALL, WIDE, BLOCK = 500_000, 64, 2048, 256
+FOLD_KEYS, SMALL, WIDE, BLOCK = 250_000, 64, 2048, 256
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("n", pa.int32())])
@@ -57,7 +57,7 @@ class Hashes(dict):
     """Hash of each word, kept while a worker has room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -309,11 +309,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b) that are linked."""
     for c in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
-    pairs = written(pairs.mapInArrow(close(percent), "a long, b long"))
+    pairs = written(pairs.mapInArrow(tidy(close(percent)), "a long, b long"))
     needed = sent(written(pairs.select("b").distinct()))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(sent(pairs), "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(needed, "b", "left_semi")
-    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(linked(percent), "a long, b long")
+    return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(linked(percent)), "a long, b long")
 
 
 def blocked(percent: int):
@@ -395,7 +395,7 @@ def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     across = "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.root <> x.root AND NOT (coalesce(x.cluster = y.cluster, false))), y -> struct(x.node AS a, y.node AS b))))"
     more = few.select(F.explode(F.expr(across)).alias("p")).select("p.a", "p.b")
     wider = member.join(size.where(f"n > {SMALL} AND n <= {WIDE}"), "key", "left_semi").join(sets.select("node", "n", "sketch"), "node").select("key", "node", "root", "n", "sketch")
-    wider = wider.repartition("key").sortWithinPartitions("key").mapInArrow(within(percent), "a long, b long")
+    wider = wider.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(within(percent)), "a long, b long")
     more = verified(more.unionByName(wider).distinct(), sets, percent)
     # The widest groups: blocks of the nodes outside a cluster's largest component against all of the cluster.
     dense = dense.join(found, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("root"))
@@ -405,7 +405,7 @@ def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = sets.join(sent(written(spread)), "node").select("cluster", "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("inside"), "node", "root", "shingles")
     spread = spread.repartition("cluster", "block").sortWithinPartitions("cluster", "block", F.col("inside").desc())
-    return written(more.unionByName(spread.mapInArrow(blocked(percent), "a long, b long")))
+    return written(more.unionByName(spread.mapInArrow(tidy(blocked(percent)), "a long, b long")))
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -414,14 +414,14 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     small_batches(spark, 10_000)  # bytes bound the batches of texts
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "kind byte, key long, node long, other long, n int"
-    rows = texts.mapInArrow(sketched(words, percent), schema).repartition("key").sortWithinPartitions("key", "node").mapInArrow(paired, schema)
+    rows = texts.mapInArrow(tidy(sketched(words, percent)), schema).repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(paired), schema)
     rows = written(rows)
     known = rows.where(F.col("kind") == DOCUMENT).select(F.col("other").alias("doc_id"), "node", "n")
     pairs = rows.where(F.col("kind") == PAIR).select("key", "node", F.col("other").alias("centre"))
     tests = pairs.select("node", "centre").distinct()
     nodes = tests.select("node").unionByName(tests.select(F.col("centre").alias("node"))).distinct()
     first = written(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(set_rows(words), "node long, n int, sketch binary, shingles binary"))
+    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(tidy(set_rows(words)), "node long, n int, sketch binary, shingles binary"))
     edges = written(verified(tests.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent))
     roots = written(components(edges))
     more = left_open(pairs, sets, roots, percent)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 SPACE_SIGN = "▁".encode()
 
@@ -167,7 +167,7 @@ class Codec:
         return self.library.decode(ids.tolist())
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def codec(model: bytes) -> Codec:
     return Codec(model)
 
@@ -190,7 +190,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
     kept = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("text_"))
     types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[: len(keep)])
-    return kept.mapInArrow(run, f"{types}, ids array<int>, begins array<bigint>, ends array<bigint>")
+    return kept.mapInArrow(tidy(run), f"{types}, ids array<int>, begins array<bigint>, ends array<bigint>")
 
 
 def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -210,4 +210,4 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long" + ", ids array<int>" * with_ids)

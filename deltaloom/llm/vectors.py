@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, written
+from .common import components, small_batches, tidy, written
 
 #: Neighbours of a list, random projections and window of the first graph, rounds, queries of the audit, wanted recall, rows of a block.
 K, PROJECTIONS, WINDOW, ROUNDS, EVERY, RECALL, BLOCK = 12, 8, 6, 3, 50, 0.97, 1024
@@ -149,14 +149,14 @@ def refined(graph: DataFrame, rows: DataFrame, k: int, turn: int) -> DataFrame:
     reverse = reverse.withColumn("nth", F.row_number().over(W.partitionBy("hub").orderBy("o", "id"))).where(F.col("nth") <= REVERSE).select("hub", "id")
     met = forward.unionByName(reverse).unionByName(rows.select(F.col("id").alias("hub"), "id")).distinct()
     lists = met.join(rows.select("id", "v"), "id").groupBy("hub").agg(F.collect_list(F.struct("id", "v")).alias("m"))  # k + REVERSE + 1 at most
-    found = lists.select(F.col("m.id").alias("ids"), F.col("m.v").alias("vs")).mapInArrow(local_join(k), "a long, b long, sim double")
+    found = lists.select(F.col("m.id").alias("ids"), F.col("m.v").alias("vs")).mapInArrow(tidy(local_join(k)), "a long, b long, sim double")
     return written(trimmed(graph.unionByName(found), k))
 
 
 def first_graph(rows: DataFrame, k: int) -> DataFrame:
-    spread = rows.mapInArrow(projected(17), "id long, label string, axis int, at double, v array<double>")
+    spread = rows.mapInArrow(tidy(projected(17)), "id long, label string, axis int, at double, v array<double>")
     ordered = spread.repartitionByRange("label", "axis", "at").sortWithinPartitions("label", "axis", "at")
-    return written(trimmed(ordered.mapInArrow(windows(k), "a long, b long, sim double"), k))
+    return written(trimmed(ordered.mapInArrow(tidy(windows(k)), "a long, b long, sim double"), k))
 
 
 def compared(threshold: float, counts_only: bool):
@@ -206,7 +206,7 @@ def in_blocks(queries: DataFrame, rows: DataFrame, group: str, threshold: float,
     every = rows.join(plan, group).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), "pieces").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("inside", F.lit(False))
     cell = F.concat_ws("|", F.col(group).cast("string"), "block", "piece").alias("cell")
     cells = own.select(cell, "inside", "id", "v").unionByName(every.select(cell, "inside", "id", "v"))
-    return cells.repartition("cell").sortWithinPartitions("cell", F.col("inside").desc()).mapInArrow(compared(threshold, counts_only), "a long, b long, n long")
+    return cells.repartition("cell").sortWithinPartitions("cell", F.col("inside").desc()).mapInArrow(tidy(compared(threshold, counts_only)), "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K) -> DataFrame:
