@@ -230,10 +230,13 @@ def folded_to(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def within(percent: int):
-    """Rows key, node, root, n, sketch in order of key, WIDE a key at most: pairs across roots that sizes and sketches don't rule out."""
+def within(percent: int, spanning: bool):
+    """Rows key, node, root, n, sketch in order of key, WIDE a key at most: pairs across roots that sizes and sketches don't rule out.
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    spanning: only the closest of them that join the key's roots to trees.
+    """
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
         by_width: dict[int, list[tuple]] = {}
         for row in rows:
             by_width.setdefault(len(row[4]), []).append(row)
@@ -252,11 +255,40 @@ def within(percent: int):
                     if other == i:
                         keep &= node[part, None] < node2[None]
                     x, y = np.nonzero(keep)
-                    yield node[at + x], node2[y]
+                    if len(x):
+                        yield node[at + x], node2[y], root[at + x], root2[y], apart[x, y] / (n[at + x] + n2[y])
+
+    def trees(rows: list[tuple]) -> list[tuple[int, int]]:
+        found = [np.concatenate(c) for c in zip(*pairs(rows), strict=True)]
+        if not found:
+            return []
+        node, node2, root, root2, apart = found
+        order = np.lexsort((node2, node, apart))
+        low, high = np.minimum(root, root2)[order], np.maximum(root, root2)[order]
+        _, first = np.unique(np.stack([low, high]), axis=1, return_index=True)  # the closest pair of each two roots
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := parent.setdefault(x, x)) != x:
+                x = y
+            return x
+
+        out = []
+        for k in np.sort(first).tolist():
+            x, y = top(int(low[k])), top(int(high[k]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(node[order[k]]), int(node2[order[k]])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
-            for x, y in pairs(held):
+            if spanning:
+                x, y = (np.array(c, np.int64) for c in list(zip(*trees(held), strict=True)) or [(), ()])
+                some = [(x, y)]
+            else:
+                some = ((x, y) for x, y, *_ in pairs(held))
+            for x, y in some:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -375,28 +407,52 @@ def blocked(percent: int):
     return run
 
 
-def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
-    """Links between components that the comparisons with centres did not find; pairs: key, node, centre; found: node, root."""
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after more links (a, b) between the components of roots (node, root); nodes without a row are their own roots."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    change = written(components(between)).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    every = roots.unionByName(change.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
+    return written(every.join(change, every["root"] == change["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
+
+
+def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """node, root with the links between components that the comparisons with centres did not find; pairs: key, node, centre; found: node, root.
+
+    Wide groups come twice: the closest pairs that would join their components first, then, with what these have
+    joined, all pairs that are still across components.
+    """
     of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     tested = pairs.select("node", "centre").distinct().join(of("node"), "node", "left").join(of("centre"), "centre", "left")
     failed = tested.where(F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre")).select("node", "centre")
     open_keys = pairs.join(failed, ["node", "centre"]).select("key").distinct()
     open_pairs = written(pairs.join(open_keys, "key", "left_semi"))
     if open_pairs.isEmpty():
-        return None
-    member = open_pairs.select("key", "node").unionByName(open_pairs.select("key", F.col("centre").alias("node"))).distinct()
-    member = member.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    size = member.groupBy("key").agg(F.count("*").alias("n"))
+        return found
+    every = written(open_pairs.select("key", "node").unionByName(open_pairs.select("key", F.col("centre").alias("node"))).distinct())
+    size = written(every.groupBy("key").agg(F.count("*").alias("n")))
+    sketches = sets.select("node", "n", "sketch")
+
+    def members() -> DataFrame:
+        return every.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+    def in_wide_groups(spanning: bool) -> DataFrame:
+        own = members().join(size.where(f"n > {SMALL} AND n <= {WIDE}"), "key", "left_semi")
+        across = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        own = own.join(across, "key", "left_semi").join(sketches, "node").select("key", "node", "root", "n", "sketch")
+        return own.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(within(percent, spanning)), "a long, b long")
+
+    closest = written(verified(in_wide_groups(True).distinct(), sets, percent))
+    if not closest.isEmpty():
+        found = joined(found, closest)
     dense = components(open_pairs.join(size.where(f"n > {WIDE}"), "key", "left_semi").select(F.col("node").alias("a"), F.col("centre").alias("b")))
     dense = written(dense.withColumnRenamed("root", "cluster"))
     # Small groups: pairs across components, unless a cluster compares them anyway.
-    few = member.join(size.where(f"n <= {SMALL}"), "key", "left_semi").join(dense, "node", "left")
+    few = members().join(size.where(f"n <= {SMALL}"), "key", "left_semi").join(dense, "node", "left")
     few = few.groupBy("key").agg(F.collect_list(F.struct("node", "root", "cluster")).alias("m"))  # SMALL at most
     across = "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.root <> x.root AND NOT (coalesce(x.cluster = y.cluster, false))), y -> struct(x.node AS a, y.node AS b))))"
     more = few.select(F.explode(F.expr(across)).alias("p")).select("p.a", "p.b")
-    wider = member.join(size.where(f"n > {SMALL} AND n <= {WIDE}"), "key", "left_semi").join(sets.select("node", "n", "sketch"), "node").select("key", "node", "root", "n", "sketch")
-    wider = wider.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(within(percent)), "a long, b long")
-    more = verified(more.unionByName(wider).distinct(), sets, percent)
+    more = verified(more.unionByName(in_wide_groups(False)).distinct(), sets, percent)
     # The widest groups: blocks of the nodes outside a cluster's largest component against all of the cluster.
     dense = dense.join(found, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("root"))
     heads = dense.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("head"), F.sum("n").alias("all"))
@@ -405,7 +461,7 @@ def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = sets.join(sent(written(spread)), "node").select("cluster", "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("inside"), "node", "root", "shingles")
     spread = spread.repartition("cluster", "block").sortWithinPartitions("cluster", "block", F.col("inside").desc())
-    return written(more.unionByName(spread.mapInArrow(tidy(blocked(percent)), "a long, b long")))
+    return joined(found, written(more.unionByName(spread.mapInArrow(tidy(blocked(percent)), "a long, b long"))))
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -423,14 +479,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = written(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(tidy(set_rows(words)), "node long, n int, sketch binary, shingles binary"))
     edges = written(verified(tests.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent))
-    roots = written(components(edges))
-    more = left_open(pairs, sets, roots, percent)
-    if more is not None:  # links between the components found so far, as links between their roots
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        joined = written(components(between)).select(F.col("node").alias("old"), F.col("root").alias("new"))
-        every = roots.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()  # nodes without an earlier link
-        roots = every.join(joined, every["root"] == joined["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    roots = left_open(pairs, sets, written(components(edges)), percent)
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = placed.join(smallest, "root", "left")
