@@ -95,9 +95,12 @@ def scored(passages: DataFrame, weights: Weights) -> DataFrame:
     A passage is one row of the result; at is the number of its line, or null for a whole file.
     """
     spark = passages.sparkSession
-    numbered = passages.select("path", "at", "line", F.monotonically_increasing_id().alias("passage"))
-    terms = numbered.select("path", "at", "passage", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(f"({TERM})"))).alias("term"))
-    counts = terms.groupBy("passage", "path", "at", "term").agg(F.count("*").alias("n"))
+    # Terms are counted inside their row: sorted, each run begins where a term differs from the one before.
+    numbered = passages.select("path", "at", F.monotonically_increasing_id().alias("passage"), F.array_sort(F.regexp_extract_all(F.lower("line"), F.lit(f"({TERM})"))).alias("terms")).where(F.size("terms") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    runs = numbered.withColumn("begins", begins)
+    run = lambda i, k: F.struct(F.get("terms", i).alias("term"), (F.coalesce(F.get("begins", k + 1), F.size("terms")) - i).cast("long").alias("n"))
+    counts = runs.select("path", "at", "passage", F.inline(F.transform("begins", run)))
     counts = counts.join(F.broadcast(weights.table(spark)), "term", "left")
     weight = F.col("n") * F.coalesce("idf", F.lit(weights.unseen))
     sums = [F.sum(F.col("n") * F.col("idf") * F.col("v")[i]).alias(f"t{i}") for i in range(len(weights.names))]
