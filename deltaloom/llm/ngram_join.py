@@ -474,12 +474,19 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = written(rows)
     known = rows.where(F.col("kind") == DOCUMENT).select(F.col("other").alias("doc_id"), "node", "n")
     pairs = rows.where(F.col("kind") == PAIR).select("key", "node", F.col("other").alias("centre"))
-    tests = pairs.select("node", "centre").distinct()
+    tests = written(pairs.groupBy("node", "centre").agg(F.count("*").alias("shared")))
     nodes = tests.select("node").unionByName(tests.select(F.col("centre").alias("node"))).distinct()
     first = written(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(tidy(set_rows(words)), "node long, n int, sketch binary, shingles binary"))
-    edges = written(verified(tests.select(F.col("node").alias("a"), F.col("centre").alias("b")), sets, percent))
-    roots = left_open(pairs, sets, written(components(edges)), percent)
+    # Each node meets the centre that it shares most segments with first; of the other pairs, those still across components follow.
+    ends = lambda df: df.select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    likely = tests.groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("x")).select("node", "x.centre")
+    roots = written(components(written(verified(ends(likely), sets, percent))))
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = tests.join(likely, ["node", "centre"], "left_anti").join(at("node"), "node", "left").join(at("centre"), "centre", "left")
+    rest = rest.where(F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre"))
+    roots = joined(roots, written(verified(ends(rest), sets, percent)))
+    roots = left_open(pairs, sets, roots, percent)
     placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = placed.join(smallest, "root", "left")
