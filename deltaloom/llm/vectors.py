@@ -3,11 +3,13 @@
 Vectors are compared only within their label. Each keeps a list of its K nearest known neighbours. The first lists come
 from sorted random projections: vectors that stand next to each other meet (windows never span more than a few rows). In
 each round a join brings the neighbours of a vector, in both directions, together, compares them with one another and
-with it, and keeps the best. Lists whose every entry reaches the threshold are saturated: they are enlarged, and where a
-region stays saturated (a component of more vectors than a list holds), blocks of its vectors are compared with all
-vectors of the component, so that dense groups are counted exactly without emitting their pairs. Recall is audited
-against all rows: vectors whose id is divisible by 50 are compared with every vector of their label in blocks; below the
-wanted recall the graph is refined with longer lists. At last the edges at the threshold are kept, each verified in double precision.
+with it, and keeps the best. Equal vectors of a label are one node with the number of them as its weight, so copies never fill
+a list. A full list whose every entry reaches the threshold is saturated and may have lost links to anywhere: blocks of
+such vectors are compared with all vectors of their label, which counts their links exactly; of the pairs themselves
+only a spanning forest is emitted. Recall is audited against all rows: vectors whose id is divisible by 50 are compared with every
+vector of their label in blocks; below the wanted recall the graph is refined with longer lists, and if the last round is
+below it too, all vectors are compared in blocks. At last the edges at the threshold are kept, each verified in double
+precision. The blocks cost the product of the saturated vectors and all vectors of their label.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors without a label;
 neither do vectors of different lengths. Equal vectors are ordinary neighbours. Defined results: rows with a null id link
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, tidy, written
+from .common import components, sent, small_batches, tidy, written
 
 #: Neighbours of a list, random projections and window of the first graph, rounds, queries of the audit, wanted recall, rows of a block.
 K, PROJECTIONS, WINDOW, ROUNDS, EVERY, RECALL, BLOCK = 12, 8, 6, 3, 50, 0.97, 1024
@@ -159,53 +161,84 @@ def first_graph(rows: DataFrame, k: int) -> DataFrame:
     return written(trimmed(ordered.mapInArrow(tidy(windows(k)), "a long, b long, sim double"), k))
 
 
+def folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, the least of the equal vectors; label, v, weight, their number), and key, id of the rows that share a node."""
+    key = F.sha2(F.concat_ws("/", "label", F.col("v").cast("string")).cast("binary"), 256).alias("key")
+    keyed = rows.select("id", "label", "v", key)
+    nodes = written(keyed.groupBy("key").agg(F.min(F.struct("id", "label", "v")).alias("x"), F.count("*").alias("weight")).select("key", "x.id", "x.label", "x.v", "weight"))
+    shared = written(nodes.where("weight > 1").select("key", F.col("id").alias("node")))
+    return nodes.drop("key"), written(keyed.select("id", "key").join(sent(shared), "key").select("id", "node"))
+
+
+def forest_of(hits: np.ndarray, ids: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the matrix of ids by base connects, at most one for each of them."""
+    n = len(base)
+    label = np.arange(n)
+    while True:
+        of_row = np.where(hits, label, n).min(1)
+        new = np.minimum(label, np.where(hits, of_row[:, None], n).min(0))
+        if (new == label).all():
+            break
+        label = new
+    linked, moved = np.flatnonzero(of_row < n), np.flatnonzero(label < np.arange(n))
+    return np.r_[ids[linked], base[moved]], np.r_[base[of_row[linked]], base[label[moved]]]
+
+
 def compared(threshold: float, counts_only: bool):
-    """Rows in order of cell, the cell's own block first: links of all rows with the block's rows."""
+    """Rows in order of cell, the cell's own block first: links of all rows with the block's rows.
+
+    With counts_only: a, null, n for the links of a block's row or of a row that no block holds, and a, b, 0 for edges that connect what is linked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, held_ids, base = None, [], [], None
+        at, held, base = None, [], None
         for b in batches:
             out = []
             cell, inside, ids, vectors = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(), b.column(3)
+            weights, asked = b.column(4).to_numpy(), b.column(5).to_numpy(zero_copy_only=False)
             cuts = [0, *(i for i in range(1, len(cell)) if cell[i] != cell[i - 1] or inside[i] != inside[i - 1]), len(cell)]
             for start, end in zip(cuts, cuts[1:], strict=False):
                 if start == end:
                     continue
                 if cell[start] != at:
-                    at, held, held_ids, base = cell[start], [], [], None
+                    at, held, base = cell[start], [], None
                 own = matrix(vectors.slice(start, end - start))
                 if inside[start]:
-                    held.append(own)
-                    held_ids.append(ids[start:end])
+                    held.append((own, ids[start:end], weights[start:end]))
                 elif held:
                     if base is None:
-                        base = np.concatenate(held), np.concatenate(held_ids)
+                        base = [np.concatenate(c) for c in zip(*held, strict=True)]
                     sims = own @ base[0].T
                     hits = (sims >= threshold) & (ids[start:end, None] != base[1])
                     if counts_only:
-                        some = np.flatnonzero(hits.sum(0))
-                        out.append((base[1][some], np.zeros(len(some), np.int64), hits.sum(0)[some]))
+                        of_base, of_rows = weights[start:end] @ hits, hits @ base[2]
+                        some, others = np.flatnonzero(of_base), np.flatnonzero((of_rows > 0) & ~asked[start:end])
+                        for nodes, n in ((base[1][some], of_base[some]), (ids[start:end][others], of_rows[others])):
+                            out.append((nodes, np.full(len(nodes), -1), n))
+                        left, right = forest_of(hits, ids[start:end], base[1])
+                        out.append((left, right, np.zeros(len(left), np.int64)))
                     else:
                         i, j = np.nonzero(hits)
                         out.append((base[1][j], ids[start:end][i], np.ones(len(i), np.int64)))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
+            absent = (cols[2] > 0) if counts_only else np.zeros(len(cols[2]), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64(), mask=absent), pa.array(cols[2], pa.int64())], names=["a", "b", "n"])
 
     return run
 
 
 def in_blocks(queries: DataFrame, rows: DataFrame, group: str, threshold: float, counts_only: bool) -> DataFrame:
-    """a, b, n: links of each query with all rows of its group; with counts_only, n links in parts and no pairs.
+    """a, b, n: links of each query with all rows of its group; with counts_only, what compared says, in parts.
 
-    queries: id, v and group; rows: id, v and group. Blocks of queries meet all rows of the group, a piece at a time.
+    queries: id, v, weight and group; rows: also asked, whether the row is a query. Blocks of queries meet all rows of the group, a piece at a time.
     """
     size = queries.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     whole = rows.groupBy(group).agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("pieces"))
     plan = written(size.join(whole, group))
-    own = queries.join(plan, group).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("inside", F.lit(True))
+    own = queries.withColumn("asked", F.lit(True)).join(plan, group).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("inside", F.lit(True))
     every = rows.join(plan, group).withColumn("piece", F.pmod(F.xxhash64("id", F.lit(1)), "pieces").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("inside", F.lit(False))
     cell = F.concat_ws("|", F.col(group).cast("string"), "block", "piece").alias("cell")
-    cells = own.select(cell, "inside", "id", "v").unionByName(every.select(cell, "inside", "id", "v"))
+    cells = own.select(cell, "inside", "id", "v", "weight", "asked").unionByName(every.select(cell, "inside", "id", "v", "weight", "asked"))
     return cells.repartition("cell").sortWithinPartitions("cell", F.col("inside").desc()).mapInArrow(tidy(compared(threshold, counts_only)), "a long, b long, n long")
 
 
@@ -214,8 +247,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K) ->
     small_batches(vectors.sparkSession, 2048)
     rows = usable(vectors)
     rows = written(rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v"))
+    rows, copies = folded(rows)
     audit_rows = rows.where(F.col("id") % EVERY == 0)
-    truth = written(in_blocks(audit_rows, rows, "label", threshold, False).select("a", "b"))
+    truth = written(in_blocks(audit_rows, rows.withColumn("asked", F.lit(False)), "label", threshold, False).select("a", "b"))
     asked = truth.count()
     graph = first_graph(rows, k)
     turn = 0
@@ -223,26 +257,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K) ->
         for _ in range(ROUNDS):
             graph, turn = refined(graph, rows, k, turn), turn + 1
         links = graph.where(F.col("sim") >= threshold)
-        links = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        roots = written(components(links))
-        # Components larger than a list are saturated regions: their lists grow to the whole component, in blocks.
-        dense = roots.join(roots.groupBy("root").agg(F.count("*").alias("all")).where(F.col("all") > k), "root").select(F.col("node").alias("id"), "root")
-        dense = written(dense.join(rows, "id").select("id", "root", "label", "v"))
-        sparse = links.join(dense.select(F.col("id").alias("a")), "a", "left_anti")
-        inside = truth.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        whole = dense.select(F.col("root").alias("ra")).distinct().withColumn("dense", F.lit(True))
-        inside = inside.join(whole, "ra", "left").where("dense AND ra = rb").count()
-        found = inside + truth.join(sparse, ["a", "b"]).count()
-        recall = found / asked if asked else 1.0
+        # Full lists of links may have lost others, in their own group or outside it.
+        full = written(links.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("id"), F.lit(True).alias("asked")))
+        links = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        few = written(links.join(full.select(F.col("id").alias("a")), "a", "left_anti").join(full.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"))
+        loose = truth.join(full.select(F.col("id").alias("a")), "a", "left_anti").join(full.select(F.col("id").alias("b")), "b", "left_anti")
+        lost = loose.join(few, ["a", "b"], "left_anti").count()
+        recall = 1 - lost / asked if asked else 1.0
         if recall >= RECALL or turn > 4 * ROUNDS:
             break
         k *= 2  # longer lists see further
-    # Links of saturated regions are counted, not listed; each component holds rows of one label only.
-    many = in_blocks(dense.select("id", "root", "v"), dense.select("id", "root", "v"), "root", threshold, True).groupBy("a").agg(F.sum("n").alias("n"))
-    few = exact(sparse, rows, threshold)
-    counts = many.unionByName(few.groupBy("a").agg(F.count("*").alias("n")))
+    if recall < RECALL:  # no list is trusted
+        full, few, recall = rows.select("id", F.lit(True).alias("asked")), few.limit(0), 1.0
+    # Links of saturated vectors are counted, not listed; those of two others come from the lists.
+    flagged = written(rows.join(full, "id", "left").withColumn("asked", F.coalesce("asked", F.lit(False))))
+    many = written(in_blocks(flagged.where("asked").drop("asked"), flagged, "label", threshold, True))
+    few = written(exact(few, rows, threshold))
+    roots = written(components(few.select("a", "b").unionByName(many.where("b IS NOT NULL").select("a", "b"))))
+    counts = many.where("b IS NULL").select("a", "n").unionByName(few.join(rows.select(F.col("id").alias("b"), "weight"), "b").select("a", F.col("weight").alias("n"))).groupBy("a").agg(F.sum("n").alias("n"))
+    nodes = rows.select(F.col("id").alias("node"), "weight").join(counts.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left")
+    nodes = written(nodes.select("node", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "node").alias("root"), "weight"))
+    shared = written(nodes.where("weight > 1").drop("weight"))
+    values = nodes.where("weight = 1").select("node", "n", "root").unionByName(copies.join(sent(shared), "node").select(F.col("id").alias("node"), "n", "root"))
     placed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    placed = placed.join(counts.select(F.col("a").alias("vec_id"), "n"), "vec_id", "left").join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left")
+    placed = placed.join(values.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("root", "vec_id")
     return placed.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(recall).alias("recall"))
 

@@ -48,3 +48,20 @@ def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = vectors.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 1, 1, "x"), (2, None, 1, 1, "x")], SCHEMA)).collect()
     assert sorted(tuple(r)[:4] for r in alone) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def grouped(rng, sizes, noise, cosine=0.95, width=64):
+    """Rows of one label: pairs of groups of these sizes, the centres of each pair at this cosine."""
+    rows = []
+    for n, m in sizes:
+        x, y = np.linalg.qr(rng.normal(size=(width, 2)))[0].T
+        for size, centre in ((n, x), (m, cosine * x + (1 - cosine**2) ** 0.5 * y)):
+            rows += [(len(rows) + i, (centre + noise * rng.normal(size=width)).tolist(), 1, 1, "x") for i in range(size)]
+    return rows
+
+
+def test_links_between_saturated_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = grouped(rng, [(250, 250)], 0.0) + [(1000 + i, *r[1:]) for i, r in enumerate(grouped(rng, [(250, 250), (20, 20)], 1e-3))]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == brute(rows, 0.93)
