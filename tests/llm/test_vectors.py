@@ -65,3 +65,17 @@ def test_links_between_saturated_groups(spark):
     rows = grouped(rng, [(250, 250)], 0.0) + [(1000 + i, *r[1:]) for i, r in enumerate(grouped(rng, [(250, 250), (20, 20)], 1e-3))]
     got = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((tuple(r)[:4] for r in got), key=str) == brute(rows, 0.93)
+
+
+def test_a_dense_group_hides_no_loss(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, *r[1:]) for i, r in enumerate(grouped(rng, [(200, 0)], 1e-3) + sum((grouped(rng, [(1, 1)], 1e-3) for _ in range(30)), []))]
+    whole = vectors.refined
+
+    def lossy(graph, rows, k, turn):
+        graph = whole(graph, rows, k, turn)
+        return graph.where("a < 200 AND b < 200") if k == vectors.K else graph
+
+    monkeypatch.setattr(vectors, "refined", lossy)
+    got = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == brute(rows, 0.93)
