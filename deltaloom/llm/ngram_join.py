@@ -13,10 +13,13 @@ more empty segments join on these too, so nothing is lost.
 Documents with the same set are one node. Nothing is expanded into all pairs of a group: in each segment's group every
 node is compared with one centre only (map tasks choose local centres first, so that a hot segment reaches its reducer as
 one row for each task). Pairs whose whole sketches already differ in too many bits go; the rest is verified on the whole
-sets and connected components are taken. What the centres leave
-open, groups whose nodes still lie in several components, is settled exactly: small groups by the pairs across components,
-wider ones by comparing their sketches and verifying what these leave, and the widest cluster by cluster, blocks of the nodes
-outside the cluster's largest component against all its nodes.
+sets and connected components are taken. What the centres leave open, groups whose nodes still lie in several components,
+is settled exactly and without listing its pairs: two nodes of different components are never both in the group's largest
+one, so a task holds a block of the nodes outside it and meets all nodes of the group as they stream by. Rounds over whole
+sketches join components by pairs that form trees; then only nodes that still have a partner that their sketches don't rule
+out bring their sets, which the task compares through an index of shingles, and again only joining links leave it. Groups
+of more than WIDE nodes that share nodes are one cluster, so that no pair is compared for each segment again. A group of m nodes,
+u of them outside its largest component, is read u / BLOCK times, and m * u sketches are compared.
 
 Words are maximal runs of non-space characters (ASCII white space) after lower-casing A to Z. Sets hold 64-bit hashes of
 shingles. Defined results: null and blank texts have no shingles and link with nothing; texts with fewer words than a
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import components, sent, small_batches, tidy, written
 
-#: Keys that a map task groups at once; members of a small group, and of one whose sketches one task compares; nodes of a block.
-FOLD_KEYS, SMALL, WIDE, BLOCK = 250_000, 64, 2048, 256
+#: Keys that a map task groups at once; nodes of a group from which on it becomes part of a cluster; nodes of a block of sketches, and of sets or of what streams by; rounds by sketches.
+FOLD_KEYS, WIDE, BLOCK, PART, ROUNDS = 250_000, 2048, 1024, 256, 3
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("n", pa.int32())])
@@ -144,7 +147,7 @@ def sketched(words: int, percent: int):
             yield rows_of(PAIR, key[new], node[new], centre[new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, sizes, many = [], [], [], 0
+        keys, nodes, sizes, many, passed = [], [], [], 0, 0
         for b in batches:
             docs = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -160,7 +163,9 @@ def sketched(words: int, percent: int):
                     yield from folded(keys, nodes, sizes)
                     keys, nodes, sizes, many = [], [], [], 0
             node, doc, n = zip(*docs, strict=True) if docs else ((), (), ())
-            place = pa.array([x if x is not None else (d or 0) for x, d in zip(node, doc, strict=True)], pa.int64())
+            # Documents only pass through the shuffle: their keys are their ids and places, so that copies don't meet in a task.
+            place = np.array([d or 0 for d in doc], np.int64).view(np.uint64) + np.arange(passed, passed + len(docs), dtype=np.uint64)
+            place, passed = pa.array(mixed(place).view(np.int64)), passed + len(docs)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), DOCUMENT, np.int8)), place, pa.array(node, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int32())], schema=ROWS)
         if many:
             yield from folded(keys, nodes, sizes)
@@ -193,8 +198,8 @@ def reaches(a: int, b: int, both: int, percent: int) -> bool:
 
 
 def whole_sketch(own: np.ndarray) -> bytes:
-    """The parity of the hashes at each of about as many bits as there are shingles, a power of two."""
-    bits = max(256, 1 << (len(own) - 1).bit_length())
+    """The parity of the hashes at each of four times as many bits as there are shingles at least, a power of two."""
+    bits = max(1024, 4 << (len(own) - 1).bit_length())
     return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -230,77 +235,114 @@ def folded_to(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def within(percent: int, spanning: bool):
-    """Rows key, node, root, n, sketch in order of key, WIDE a key at most: pairs across roots that sizes and sketches don't rule out.
+class Forest(dict):
+    """Union-find over roots."""
 
-    spanning: only the closest of them that join the key's roots to trees.
+    def top(self, x: int) -> int:
+        while (y := self.setdefault(x, x)) != x:
+            self[x] = x = self.setdefault(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[tuple]]]:
+    """Rows in order of cell, those inside first: for each cell (True, its inside rows, maybe none), then (False, some others), ..."""
+    at, held, others, begun = None, [], [], True
+    for b in batches:
+        for group, block, inside, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if (group, block) != at:
+                if not begun:
+                    yield True, held
+                if others:
+                    yield False, others
+                at, held, others, begun = (group, block), [], [], False
+            if inside:
+                held.append(row)
+                continue
+            if not begun:
+                yield True, held
+                begun = True
+            others.append(row)
+            if len(others) == PART:
+                yield False, others
+                others = []
+    if not begun:
+        yield True, held
+    if others:
+        yield False, others
+
+
+def stacked(rows: list[tuple]) -> list[tuple[np.ndarray, ...]]:
+    """node, root, n, sketches of the rows of each sketch width."""
+    by_width: dict[int, list[tuple]] = {}
+    for row in rows:
+        by_width.setdefault(len(row[3]), []).append(row)
+    out = []
+    for width, part in sorted(by_width.items()):
+        node, root, n, sketch = zip(*part, strict=True)
+        out.append((np.array(node), np.array(root), np.array(n, np.int64), np.frombuffer(b"".join(sketch), np.uint64).reshape(len(part), width // 8)))
+    return out
+
+
+def plausible(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], percent: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places in both and the share of differing bits of pairs across roots that sizes and sketches don't rule out, a few rows at a time."""
+    width = min(one[3].shape[1], two[3].shape[1])
+    sketch, sketch2 = folded_to(one[3], width), folded_to(two[3], width)
+    step = max(1, (1 << 19) // (len(sketch2) * width))
+    for at in range(0, len(sketch), step):
+        part = slice(at, at + step)
+        a, b = one[2][part, None], two[2][None]
+        keep = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (one[1][part, None] != two[1][None])
+        x, y = np.nonzero(keep)
+        apart = np.bitwise_count(sketch[at + x] ^ sketch2[y]).sum(1, dtype=np.int64) if len(x) * 8 < keep.size else np.bitwise_count(sketch[part, None] ^ sketch2[None]).sum(2, dtype=np.int64)[x, y]
+        both = one[2][at + x] + two[2][y]
+        near = apart * (100 + percent) <= (100 - percent) * both
+        if near.any():
+            yield at + x[near], y[near], (apart / both)[near]
+
+
+def by_sketch(percent: int, spanning: bool):
+    """Cells of rows (group, block, inside, node, root, n, sketch), compared by sizes and sketches.
+
+    spanning: pairs a, b that join the cell's roots to trees, closer pairs of a step first. Else group and node of the rows
+    that have a plausible partner.
     """
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
-        by_width: dict[int, list[tuple]] = {}
-        for row in rows:
-            by_width.setdefault(len(row[4]), []).append(row)
-        own = []
-        for width, part in sorted(by_width.items()):
-            _, node, root, n, sketch = zip(*part, strict=True)
-            own.append((np.array(node), np.array(root), np.array(n), np.frombuffer(b"".join(sketch), np.uint64).reshape(len(part), width // 8)))
-        for i, (node, root, n, sketch) in enumerate(own):
-            for other, (node2, root2, n2, sketch2) in enumerate(own[i:], i):
-                sketch2 = folded_to(sketch2, sketch.shape[1])
-                for at in range(0, len(node), 32):
-                    part = slice(at, at + 32)
-                    apart = np.bitwise_count(sketch[part, None] ^ sketch2[None]).sum(2, dtype=np.int64)
-                    a, b = n[part, None].astype(np.int64), n2[None].astype(np.int64)
-                    keep = (apart * (100 + percent) <= (100 - percent) * (a + b)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (root[part, None] != root2[None])
-                    if other == i:
-                        keep &= node[part, None] < node2[None]
-                    x, y = np.nonzero(keep)
-                    if len(x):
-                        yield node[at + x], node2[y], root[at + x], root2[y], apart[x, y] / (n[at + x] + n2[y])
-
-    def trees(rows: list[tuple]) -> list[tuple[int, int]]:
-        found = [np.concatenate(c) for c in zip(*pairs(rows), strict=True)]
-        if not found:
-            return []
-        node, node2, root, root2, apart = found
-        order = np.lexsort((node2, node, apart))
-        low, high = np.minimum(root, root2)[order], np.maximum(root, root2)[order]
-        _, first = np.unique(np.stack([low, high]), axis=1, return_index=True)  # the closest pair of each two roots
-        parent: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while (y := parent.setdefault(x, x)) != x:
-                x = y
-            return x
-
-        out = []
-        for k in np.sort(first).tolist():
-            x, y = top(int(low[k])), top(int(high[k]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(node[order[k]]), int(node2[order[k]])))
-        return out
+    def batch(a: list, b: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def compared(base: list, rows: list, trees: Forest, same: bool) -> tuple[list, list]:
+        a, b = [], []
+        for i, one in enumerate(base):
+            for two in rows[i:] if same else rows:
+                for x, y, apart in plausible(one, two, percent):
+                    if not spanning:
+                        a += np.unique(np.r_[one[0][x], two[0][y]]).tolist()
+                        continue
+                    # The closest pair of each two roots of this step.
+                    low, high = np.minimum(one[1][x], two[1][y]), np.maximum(one[1][x], two[1][y])
+                    order = np.lexsort((apart, high, low))
+                    first = order[np.r_[True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])]]
+                    for k in first[np.argsort(apart[first], kind="stable")].tolist():
+                        if trees.join(int(low[k]), int(high[k])):
+                            u, v = int(one[0][x[k]]), int(two[0][y[k]])
+                            a.append(min(u, v))
+                            b.append(max(u, v))
+        return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[pa.RecordBatch]:
-            if spanning:
-                x, y = (np.array(c, np.int64) for c in list(zip(*trees(held), strict=True)) or [(), ()])
-                some = [(x, y)]
-            else:
-                some = ((x, y) for x, y, *_ in pairs(held))
-            for x, y in some:
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-        held: list[tuple] = []
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and held[0][0] != row[0]:
-                    yield from out()
-                    held = []
-                held.append(row)
-        if held:
-            yield from out()
+        base, trees = [], Forest()
+        for inside, rows in cells(batches):
+            now = stacked(rows)
+            if inside:
+                base, trees = now, Forest()
+            a, b = compared(base, now, trees, inside)
+            if a:
+                yield batch(a, b) if spanning else batch(sorted(set(a)), [None] * len(set(a)))
 
     return run
 
@@ -348,59 +390,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(linked(percent)), "a long, b long")
 
 
-def blocked(percent: int):
-    """Rows in order of cluster and block, the block's own nodes first: links that join two components."""
+def by_set(percent: int):
+    """Cells of rows (group, block, inside, node, root, set): links a, b that join the cell's roots to trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, index, parent, found = None, [], None, {}, []
-
-        def top(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        def compare(node: int, root: int, own: np.ndarray) -> None:
-            every, who, sizes = index
-            low, high = np.searchsorted(every, own), np.searchsorted(every, own, "right")
-            many = high - low
-            hits = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            both = np.bincount(who[hits], minlength=len(held))
-            for k in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)):
-                x, y = top(root), top(held[k][1])
-                if x != y:
-                    parent[x] = y
-                    found.append((node, held[k][0]))
-
-        def indexed():
-            sizes = np.array([len(own) for _, _, own in held])
-            every = np.concatenate([own for _, _, own in held])
-            order = np.argsort(every, kind="stable")
-            return every[order], np.repeat(np.arange(len(held)), sizes)[order], sizes
-
-        for b in batches:
-            for cluster, block, inside, node, root, data in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if (cluster, block) != at:
-                    if held and index is None:
-                        index = indexed()
-                        for row in held:
-                            compare(*row)
-                    at, held, index, parent = (cluster, block), [], None, {}
-                own = np.frombuffer(data, np.uint64)
-                if inside:
-                    held.append((node, root, own))
-                elif held:
-                    if index is None:
-                        index = indexed()
-                        for row in held:
-                            compare(*row)
-                    compare(node, root, own)
-            cols = list(zip(*found, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
-            found.clear()
-        if held and index is None:
-            index = indexed()
-            for row in held:
-                compare(*row)
+        for inside, rows in cells(batches):
+            own = [(node, root, np.frombuffer(data, np.uint64)) for node, root, data in rows]
+            if inside:
+                held, trees = own, Forest()
+            if not held:
+                continue
+            if inside:
+                sizes = np.array([len(x) for _, _, x in held])
+                every = np.concatenate([x for _, _, x in held])
+                order = np.argsort(every, kind="stable")
+                every, who = every[order], np.repeat(np.arange(len(held)), sizes)[order]
+            found = []
+            for node, root, x in own:
+                low, high = np.searchsorted(every, x), np.searchsorted(every, x, "right")
+                many = high - low
+                hits = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                both = np.bincount(who[hits], minlength=len(held))
+                found += [(node, held[k][0]) for k in np.flatnonzero(100 * both >= percent * (sizes + len(x) - both)) if held[k][1] != root and trees.join(root, held[k][1])]
             cols = list(zip(*found, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
@@ -416,12 +427,22 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(change, every["root"] == change["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
-def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """node, root with the links between components that the comparisons with centres did not find; pairs: key, node, centre; found: node, root.
+def in_cells(members: DataFrame, data: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """group, block, inside, node, root, columns: for each group of members (group, node, root) with several roots, each block of about so many of the
+    nodes outside its largest component with all its nodes, in order of cell and the block's own nodes first."""
+    roots = members.groupBy("group", "root").agg(F.count("*").alias("n"))
+    heads = roots.groupBy("group").agg(F.max(F.struct("n", "root")).alias("head"), F.sum("n").alias("all"))
+    heads = heads.select("group", F.col("head.root").alias("head"), F.ceil((F.col("all") - F.col("head.n")) / most).cast("int").alias("blocks")).where("blocks > 0")
+    rows = members.join(sent(written(heads)), "group")
+    rows = rows.withColumn("own", F.when(F.col("root") != F.col("head"), F.pmod(F.xxhash64("node", "group"), "blocks").cast("int")))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("inside")
+    rows = rows.join(data.select("node", *columns), "node").select("group", "block", inside, "node", "root", *columns)
+    return rows.repartition("group", "block").sortWithinPartitions("group", "block", F.col("inside").desc())
 
-    Wide groups come twice: the closest pairs that would join their components first, then, with what these have
-    joined, all pairs that are still across components.
-    """
+
+def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """node, root with the links between components that the comparisons with centres did not find; pairs: key, node, centre; found: node, root."""
     of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     tested = pairs.select("node", "centre").distinct().join(of("node"), "node", "left").join(of("centre"), "centre", "left")
     failed = tested.where(F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre")).select("node", "centre")
@@ -429,39 +450,29 @@ def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     open_pairs = written(pairs.join(open_keys, "key", "left_semi"))
     if open_pairs.isEmpty():
         return found
-    every = written(open_pairs.select("key", "node").unionByName(open_pairs.select("key", F.col("centre").alias("node"))).distinct())
-    size = written(every.groupBy("key").agg(F.count("*").alias("n")))
-    sketches = sets.select("node", "n", "sketch")
+    every = open_pairs.select("key", "node").unionByName(open_pairs.select("key", F.col("centre").alias("node"))).distinct()
+    # Groups of the same nodes are one, and so are the wide ones that share nodes.
+    named = written(every.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor")))
+    wide = open_pairs.join(named.where(f"n > {WIDE}").select("key"), "key", "left_semi")
+    clusters = components(wide.select(F.col("node").alias("a"), F.col("centre").alias("b"))).select("node", F.col("root").alias("group"))
+    once = named.where(f"n <= {WIDE}").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key")
+    few = every.join(once, "key", "left_semi").select("node", F.xxhash64("key", F.lit(1)).alias("group"))
+    groups = written(few.unionByName(clusters.select("node", F.xxhash64("group", F.lit(2)).alias("group"))))
 
     def members() -> DataFrame:
-        return every.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-
-    def in_wide_groups(spanning: bool) -> DataFrame:
-        own = members().join(size.where(f"n > {SMALL} AND n <= {WIDE}"), "key", "left_semi")
-        across = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        own = own.join(across, "key", "left_semi").join(sketches, "node").select("key", "node", "root", "n", "sketch")
-        return own.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(within(percent, spanning)), "a long, b long")
-
-    closest = written(verified(in_wide_groups(True).distinct(), sets, percent))
-    if not closest.isEmpty():
-        found = joined(found, closest)
-    dense = components(open_pairs.join(size.where(f"n > {WIDE}"), "key", "left_semi").select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    dense = written(dense.withColumnRenamed("root", "cluster"))
-    # Small groups: pairs across components, unless a cluster compares them anyway.
-    few = members().join(size.where(f"n <= {SMALL}"), "key", "left_semi").join(dense, "node", "left")
-    few = few.groupBy("key").agg(F.collect_list(F.struct("node", "root", "cluster")).alias("m"))  # SMALL at most
-    across = "flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node AND y.root <> x.root AND NOT (coalesce(x.cluster = y.cluster, false))), y -> struct(x.node AS a, y.node AS b))))"
-    more = few.select(F.explode(F.expr(across)).alias("p")).select("p.a", "p.b")
-    more = verified(more.unionByName(in_wide_groups(False)).distinct(), sets, percent)
-    # The widest groups: blocks of the nodes outside a cluster's largest component against all of the cluster.
-    dense = dense.join(found, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("root"))
-    heads = dense.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("head"), F.sum("n").alias("all"))
-    heads = heads.select("cluster", F.col("head.root").alias("head"), F.ceil((F.col("all") - F.col("head.n")) / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
-    spread = dense.join(heads, "cluster").withColumn("own", F.when(F.col("root") != F.col("head"), F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = sets.join(sent(written(spread)), "node").select("cluster", "block", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("inside"), "node", "root", "shingles")
-    spread = spread.repartition("cluster", "block").sortWithinPartitions("cluster", "block", F.col("inside").desc())
-    return joined(found, written(more.unionByName(spread.mapInArrow(tidy(blocked(percent)), "a long, b long"))))
+        return groups.join(found, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
+
+    for _ in range(ROUNDS):
+        trees = in_cells(members(), sets, ["n", "sketch"], BLOCK).mapInArrow(tidy(by_sketch(percent, True)), "a long, b long").distinct()
+        links = written(verified(trees, sets, percent))
+        if links.isEmpty():
+            break
+        found = joined(found, links)
+    marked = in_cells(members(), sets, ["n", "sketch"], BLOCK).mapInArrow(tidy(by_sketch(percent, False)), "a long, b long").select(F.col("a").alias("node")).distinct()
+    last = written(members().join(written(marked), "node", "left_semi"))
+    if last.isEmpty():
+        return found
+    return joined(found, written(in_cells(last, sets, ["shingles"], PART).mapInArrow(tidy(by_set(percent)), "a long, b long")))
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -487,10 +498,12 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rest = rest.where(F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre"))
     roots = joined(roots, written(verified(ends(rest), sets, percent)))
     roots = left_open(pairs, sets, roots, percent)
-    placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(smallest, "root", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    # Nodes of one document without a link stand for themselves; the others get the smallest doc_id of their component.
+    own = known.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    own = written(own.join(roots, "node", "left").where("copies > 1 OR root IS NOT NULL").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    smallest = written(own.groupBy("root").agg(F.min("doc_id").alias("least")))
+    labels = sent(written(own.join(sent(smallest), "root").select("node", "least")))
+    return known.join(labels, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -48,11 +48,12 @@ def near_copies(rng, words, n, most):
         yield " ".join(own)
 
 
-@pytest.mark.parametrize(("k", "percent", "small", "wide"), [(4, 85, 64, 2048), (5, 80, 4, 9), (2, 70, 3, 2048), (2, 70, 3, 3)])
-def test_components_equal_brute_force(spark, monkeypatch, k, percent, small, wide):
-    monkeypatch.setattr(nj, "SMALL", small)
+@pytest.mark.parametrize(("k", "percent", "rounds", "wide"), [(4, 85, 3, 2048), (5, 80, 0, 9), (2, 70, 1, 2048), (2, 70, 0, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, k, percent, rounds, wide):
+    monkeypatch.setattr(nj, "ROUNDS", rounds)
     monkeypatch.setattr(nj, "WIDE", wide)
     monkeypatch.setattr(nj, "BLOCK", 5)
+    monkeypatch.setattr(nj, "PART", 3)
     rng = random.Random(k)
     words = [f"w{i}" for i in range(400)]
     texts = [t for _ in range(6) for t in near_copies(rng, words, 8, 3)] + list(near_copies(rng, words, 60, 9))
