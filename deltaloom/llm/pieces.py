@@ -3,19 +3,26 @@
 The model's normaliser is applied here, byte for byte: at each place the longest key of the compiled character map (a
 double-array trie over UTF-8) is replaced, else one character stays; spaces are collapsed if the model says so, a dummy
 prefix is set, and white space becomes the visible space sign. Each byte of the result keeps the place in the original it
-came from. The library segments the text; the byte lengths of its pieces then run over the normalised text, and the kept
-places turn the borders of each piece into a half-open span of original bytes. Spans follow one another without gaps
-from the first byte that the normaliser keeps; begin and end ids have empty spans.
+came from. A byte-pair model is applied here too: of the neighbouring symbols whose union is a piece, the pair with the best
+score merges first, of equal ones the first; what no piece covers becomes byte pieces or the unknown piece. Where no piece holds
+a space sign behind another sign, words are encoded one by one and the frequent ones are kept. Other models are segmented by the
+library, whose pieces run over the same normalised text. The byte lengths of the pieces and the
+kept places turn the borders of each piece into a half-open span of original bytes. Spans follow one another without gaps
+from the first byte that the normaliser keeps; begin and end ids have empty spans. Decoding is the library's.
 
 Tasks read Arrow batches of bounded size; the model travels with the task as its serialised bytes, so executors need no
-file. A null text is encoded as the empty text. Rows with null or repeated ids are rows as any others. An empty table
-gives an empty result. Other columns may have any names; only the columns named are read.
+file. A very long text is encoded whole, in time that grows with n log n for n characters without a space. A null text is encoded as the empty text. Rows with null or repeated ids are rows as any others. An empty table
+gives an empty result. Other columns may have any names; only the columns named are read. A byte-pair model with pieces
+that are user-defined or unused is refused with a ValueError.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +33,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, tidy
 
 SPACE_SIGN = "▁".encode()
+#: Space signs and what follows them.
+WORD = re.compile("▁*[^▁]+|▁+")
+NEVER = float("-inf")
 
 
 class CharacterMap:
@@ -124,6 +134,93 @@ class Normaliser:
         return bytes(out), np.array([*places, at])
 
 
+class Merges(dict):
+    """Byte-pair encoding: ids of a word, kept while a worker has room."""
+
+    def __init__(self, pieces: dict[str, int], scores: dict[str, float], byte_ids: list[int] | None, unknown: int):
+        super().__init__()
+        self.pieces, self.scores, self.byte_ids, self.unknown = pieces, scores, byte_ids, unknown
+        sign = SPACE_SIGN.decode()
+        self.apart = not any(sign in p.lstrip(sign) for p in pieces)
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(word) > 48:
+            return self.named(self.queued(word))
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = self.named(self.scanned(word))
+        return out
+
+    def scanned(self, word: str) -> list[str]:
+        """The symbols of a short word: all pairs are looked through for the best."""
+        score, parts = self.scores.get, list(word)
+        pairs = [score(x + y, NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > NEVER:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], NEVER)
+        return parts
+
+    def queued(self, word: str) -> list[str]:
+        """The same with a queue of pairs, for words of any length."""
+        scores, n = self.scores, len(word)
+        ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        queue: list[tuple[float, int, int, int]] = []
+
+        def offer(left: int, right: int) -> None:
+            if left >= 0 and right < n and (found := scores.get(word[left : ends[right]])) is not None:
+                heapq.heappush(queue, (-found, left, right, ends[right]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while queue:
+            _, left, right, end = heapq.heappop(queue)
+            if ends[left] != right or ends[right] != end:  # one of them has merged since
+                continue
+            ends[left], ends[right] = end, -1
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+            offer(before[left], left)
+            offer(left, after[left])
+        parts, at = [], 0
+        while at < n:
+            parts.append(word[at : ends[at]])
+            at = after[at]
+        return parts
+
+    def named(self, parts: list[str]) -> list[int]:
+        """Ids of the symbols; those that are no piece become byte pieces."""
+        ids = []
+        for part in parts:
+            if (found := self.pieces.get(part)) is not None:
+                ids.append(found)
+            else:
+                ids += [self.byte_ids[x] for x in part.encode()]
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        if not self.apart:
+            return self.named(self.queued(text))
+        return list(itertools.chain.from_iterable(map(self.__getitem__, WORD.findall(text))))
+
+    def unknown_encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids and widths for a model without byte pieces; symbols without a piece that follow one another are one unknown piece."""
+        ids, widths = [], []
+        for part in self.queued(text):
+            found, wide = self.pieces.get(part, self.unknown), len(part.encode())
+            if ids and found == self.unknown == ids[-1]:
+                widths[-1] += wide
+            else:
+                ids.append(found)
+                widths.append(wide)
+        return ids, widths
+
+
 class Codec:
     """A model's pieces and its normaliser."""
 
@@ -137,31 +234,39 @@ class Codec:
         norm = proto.normalizer_spec
         self.normalise = Normaliser(norm.precompiled_charsmap, norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces, proto.trainer_spec.treat_whitespace_as_suffix)
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
+        self.begin, self.end, self.unknown = self.library.bos_id(), self.library.eos_id(), self.library.unk_id()
         # A byte piece stands for one byte; control pieces, begin and end among them, for none.
-        wide = {kinds.BYTE: lambda p: 1, kinds.CONTROL: lambda p: 0}
-        self.width = np.array([wide.get(p.type, lambda p: len(p.piece.encode()))(p) for p in proto.pieces])
-        self.unknown = self.library.unk_id()
+        self.width = np.array([1 if p.type == kinds.BYTE else 0 if p.type == kinds.CONTROL else len(p.piece.encode()) for p in proto.pieces])
+        self.merges = None
+        if proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE:
+            if any(p.type in (kinds.USER_DEFINED, kinds.UNUSED) for p in proto.pieces):
+                raise ValueError("user-defined and unused pieces are not supported")
+            normal = [(i, p) for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL]
+            pieces, scores = {p.piece: i for i, p in normal}, {p.piece: p.score for _, p in normal}
+            byte_ids = [self.library.piece_to_id(f"<0x{x:02X}>") for x in range(256)] if proto.trainer_spec.byte_fallback else None
+            self.merges = Merges(pieces, scores, byte_ids, self.unknown)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its ids with begin and end, and where each piece begins and ends in the text's UTF-8."""
         out = []
-        for text, ids in zip(texts, self.library.encode(texts, out_type=int, add_bos=True, add_eos=True, num_threads=1), strict=True):
-            ids = np.array(ids, np.uint32)
+        for text in texts:
             data = text.encode("utf-8", "surrogatepass")
             normal, places = self.normalise(data)
-            width = self.width[ids]
-            if (ids == self.unknown).any():
-                width = self.measured(text)
-            ends = np.cumsum(width)
+            ids, widths = self.pieces_of(text, normal.decode())
+            ids = np.array([self.begin, *ids, self.end], np.uint32)
+            widths = self.width[ids] if widths is None else np.array([0, *widths, 0])
+            ends = np.cumsum(widths)
             if ends[-1] != len(normal):
                 raise ValueError("the pieces do not cover the normalised text")
-            out.append((ids, places[ends - width], places[ends]))
+            out.append((ids, places[ends - widths], places[ends]))
         return out
 
-    def measured(self, text: str) -> np.ndarray:
-        """Widths as the library gives them, for models whose unknown piece stands for any text."""
-        pieces = self.library.encode(text, out_type=str)
-        return np.array([0, *(1 if len(p) == 6 and p.startswith("<0x") and self.library.is_byte(self.library.piece_to_id(p)) else len(p.encode()) for p in pieces), 0])
+    def pieces_of(self, text: str, normal: str) -> tuple[list[int], list[int] | None]:
+        """Ids and, where the ids don't tell them, widths."""
+        if self.merges is None:  # another kind of model: as the library gives them
+            ids, pieces = self.library.encode(text), self.library.encode(text, out_type=str)
+            return ids, [1 if self.library.is_byte(i) else len(p.encode()) for i, p in zip(ids, pieces, strict=True)]
+        return (self.merges.encode(normal), None) if self.merges.byte_ids else self.merges.unknown_encode(normal)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
@@ -194,11 +299,12 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
 
 def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (the bytes of the text that the spans of its pieces cover), and the ids if asked for."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, span_bytes (the bytes of the text that the spans of its pieces cover),
+    spans_sha256 (of the begins and then the ends of the spans, little-endian signed 64-bit integers), and the ids if asked for."""
     model = model_bytes(path)
     small_batches(docs.sparkSession)
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", *(["ids"] if with_ids else [])]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), *([pa.list_(pa.int32())] if with_ids else [])]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", "spans_sha256", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -206,8 +312,8 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             rows = []
             own = codec(model)
             for ids, begins, ends in own.encode([t or "" for t in b.column(1).to_pylist()]):
-                rows.append((len(ids), sha(ids.astype("<u4").tobytes()), sha(own.decode(ids).encode()), int((ends - begins).sum()), *([ids] if with_ids else [])))
+                rows.append((len(ids), sha(ids.astype("<u4").tobytes()), sha(own.decode(ids).encode()), int((ends - begins).sum()), sha(np.r_[begins, ends].astype("<i8").tobytes()), *([ids] if with_ids else [])))
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_sha256 string" + ", ids array<int>" * with_ids)

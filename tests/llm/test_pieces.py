@@ -59,3 +59,26 @@ def test_digests(spark):
     rows = pieces.encoded(docs.limit(3), P.path("piece_bpe_32k.model"), keep=("doc_id", "ids")).drop("ids")
     assert rows.columns == ["doc_id", "begins", "ends"]
     assert pieces.digests(docs.limit(0), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_own_merges_equal_the_library():
+    import random
+
+    path, rng = P.path("piece_bpe_32k.model"), random.Random(1)
+    own, lib = pieces.Codec(pieces.model_bytes(path)), sp.SentencePieceProcessor(model_file=path)
+    signs = [*map(chr, [*range(1, 300), 0x4E2D, 0x6587, 0x1F600, 0x2581, 0x200D, 0xFFFD, 0x3000]), *" " * 60, *"etaoin" * 20]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 200))) for _ in range(500)]
+    texts += [" " * 3000, "ab" * 3000 + " x", "the cat sat on " * 2000, "in" * 24, "▁▁ ▁a▁"]
+    assert [x[0].tolist() for x in own.encode(texts)] == lib.encode(texts, add_bos=True, add_eos=True)
+    for text in texts[:200]:
+        assert own.merges.scanned(text) == own.merges.queued(text)
+
+
+def test_unsupported_pieces_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(pieces.model_bytes(P.path("piece_bpe_32k.model")))
+    proto.pieces[400].type = sentencepiece_model_pb2.ModelProto.SentencePiece.USER_DEFINED
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.Codec(proto.SerializeToString())
