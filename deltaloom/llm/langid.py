@@ -1,20 +1,25 @@
 """Language of documents, by a linear-chain conditional random field over their words.
 
-States are the languages; a word's emission is the sum of learned weights of its affixes, character n-grams and its entry
-in a lexicon; transitions between words are learned as well. Training sequences are documents of one language, and
-code-switched ones that are spliced from spans of several, so staying and switching both are learned. Forward-backward
-gives the probability of each language at each word; a document's language has the largest sum of them, and the score is
-its share.
-
-Training runs on a sample of at most ``SAMPLE`` labelled documents (a documented bound: those with the smallest hashed
-ids) by stochastic gradients of the sequence likelihood. Prediction reads every whole text, in Arrow batches: the words
-of a batch are laid out in blocks, transfer matrices of the blocks are multiplied first, then messages pass from block to
-block and inside all blocks at once, so that a very long text costs no more for each word than a short one.
-
-Words are maximal runs of letters, in lower case. Defined results: a text that is null or has no letter is ``und`` with
+States are the languages; a word's emission is the sum of learned weights of its affixes, its character n-grams and, if
+the lexicon has it, the languages it is listed for; transitions between words are learned as well. The lexicon is a table
+of words for each language, learned from the sample: words of at least two of its documents, listed for every language that
+has a fifth of their uses. Training sequences are spans of documents of one language, and code-switched ones that are
+spliced from spans of several, so staying and switching both are learned. Forward-backward gives the probability of each
+language at each word; a document's language has the largest sum of them, and the score is its share.
+
+Training runs on a bounded, documented sample: at most ``SAMPLE`` labelled documents, those with the smallest hashed ids, and
+of each at most ``SPANS`` spans of ``SPAN`` words from places all over its text (a text of no more words is taken whole).
+The spans are cut on the executors, so only they reach the driver. Stochastic gradients of the sequence likelihood follow. Prediction reads
+every whole text, in Arrow batches: the words of a batch are laid out in blocks, transfer matrices of the blocks are
+multiplied first, then messages pass from block to block and inside all blocks at once, so that a very long text costs no
+more for each word than a short one.
+
+Words are maximal runs of letters, in lower case; a run of more than ``LETTERS_MOST`` letters is several words, one after
+another, so that each of its letters counts. Defined results: a text that is null or has no letter is ``und`` with
 score 0. A tie goes to the first language by name. Training ignores null languages and null texts; without any labelled
-document all languages are ``und``. Rows with null or repeated ids are rows as any others (held_out is null for a null
-id). An empty table gives an empty result. Other columns may have any names.
+document all languages are ``und``. Of rows that repeat an id, one is learned from, the least by language and words. Rows
+with null or repeated ids are predicted as any others (held_out is null for a null id). An empty table gives an
+empty result. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import pickle
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +40,16 @@ from pyspark.sql import types as T
 
 from .common import small_batches, tidy
 
-#: Documents to learn from, and their words for one step.
-SAMPLE, SPAN = 600, 80
+#: Documents to learn from, the spans of each, and the words of a span.
+SAMPLE, SPANS, SPAN = 600, 3, 80
+#: Share of a document that its language must have to be its language in a filter.
+LEAST_SHARE = 0.5
+#: Letters of a word.
+LETTERS_MOST = 24
 #: Hashed features; those of one word are at most the columns below.
 WIDTH = 1 << 15
 BLOCK = 48
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LETTERS_MOST)
 #: Words whose emissions a worker keeps.
 KEPT = 60_000
 
@@ -48,16 +58,20 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed prefixes, suffixes, n-grams with borders, and the word itself as its lexicon entry: which word, which feature."""
-    texts = [f"<{w}>" if len(w) <= 24 else f"<{w[:12]}{w[-12:]}>" for w in words]
+Lexicon = dict[str, tuple[int, ...]]
+
+
+def features(words: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed prefixes, suffixes and n-grams with borders, and the word's languages in the lexicon: which word, which feature."""
+    texts = [f"<{w}>" for w in words]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     of = np.repeat(np.arange(len(words)), sizes)
     after = ends[of] - np.arange(len(chars))  # characters from here to the end of the word
-    which, hashed = [np.arange(len(words))], [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))]
+    which, hashed = [], []
+    listed = [(i, k) for i, w in enumerate(words) for k in lexicon.get(w, ())]
 
     def gram(kind: int, word: np.ndarray, at: np.ndarray, n: int) -> None:
         h = np.full(len(at), kind, np.uint64)
@@ -74,18 +88,31 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         word = np.flatnonzero(sizes >= n + 2)
         gram(3 + n, word, begins[word] + 1, n)
         gram(6 + n, word, ends[word] - 1 - n, n)
-    return np.concatenate(which), (np.concatenate(hashed) % np.uint64(WIDTH)).astype(np.int64)
+    ids = (np.concatenate(hashed) % np.uint64(WIDTH)).astype(np.int64)
+    own, language = np.array(listed, np.int64).reshape(-1, 2).T
+    return np.concatenate([*which, own]), np.concatenate([ids, WIDTH + language])
+
+
+def lexicon_of(split: list[tuple[list[str], int]]) -> Lexicon:
+    """From words and language of each document."""
+    uses: dict[str, Counter] = {}
+    docs: Counter = Counter()
+    for words, y in split:
+        for w in words:
+            uses.setdefault(w, Counter())[y] += 1
+        docs.update(set(words))
+    return {w: tuple(sorted(y for y, n in c.items() if 5 * n >= c.total())) for w, c in uses.items() if docs[w] > 1}
 
 
-def scored(words: list[str], weights: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Emission scores of each word."""
-    which, ids = found or features(words)
+def scored(words: list[str], weights: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Emission scores of each word, whose features are found."""
+    which, ids = found
     return np.stack([np.bincount(which, weights[ids, k], len(words)) for k in range(weights.shape[1])], axis=1)
 
 
 class Model:
-    def __init__(self, languages: list[str], weights: np.ndarray, start: np.ndarray, moves: np.ndarray):
-        self.languages, self.weights, self.start, self.moves = languages, weights, start, moves
+    def __init__(self, languages: list[str], weights: np.ndarray, start: np.ndarray, moves: np.ndarray, lexicon: Lexicon):
+        self.languages, self.weights, self.start, self.moves, self.lexicon = languages, weights, start, moves, lexicon
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(languages)))
 
@@ -100,7 +127,7 @@ class Model:
             self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
             if at + len(fresh) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros((max(len(fresh), len(self.rows)), self.rows.shape[1]))])
-            self.rows[at : at + len(fresh)] = scored(fresh, self.weights)
+            self.rows[at : at + len(fresh)] = scored(fresh, self.weights, features(fresh, self.lexicon))
         return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def shares(self, texts: list[list[str]]) -> np.ndarray:
@@ -164,17 +191,24 @@ def marginals(scores: np.ndarray, sizes: np.ndarray, start: np.ndarray, moves: n
     return np.add.reduceat(total, first, axis=0) / sizes[:, None]
 
 
-def learn(docs: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate: float = 0.25) -> Model | None:
-    """From (text, language); Adagrad on the likelihood of the state sequences."""
+def spans_of(text: str, seed: int) -> list[list[str]]:
+    """The words of a text, or of SPANS spans that begin anywhere in it."""
+    words = LETTERS.findall(text.lower())
+    if len(words) <= SPANS * SPAN:
+        return [words[i : i + SPAN] for i in range(0, len(words), SPAN)]
+    rng = random.Random(seed)
+    return [words[at : at + SPAN] for at in sorted(rng.randrange(len(words) - SPAN + 1) for _ in range(SPANS))]
+
+
+def learn(docs: list[tuple[list[list[str]], str]], seed: int = 7, epochs: int = 3, rate: float = 0.25) -> Model | None:
+    """From (spans of words, language); Adagrad on the likelihood of the state sequences."""
     languages = sorted({lang for _, lang in docs})
-    split = [(LETTERS.findall(t.lower()), languages.index(lang)) for t, lang in docs]
-    split = [(w, y) for w, y in split if w]
+    spans = [(span, languages.index(lang)) for own, lang in docs for span in own if span]
+    split = [([w for span in own for w in span], languages.index(lang)) for own, lang in docs if any(own)]
     if not split:
         return None
-    k, rng = len(languages), random.Random(seed)
-    sequences = []
-    for words, y in split:
-        sequences += [(words[i : i + SPAN], [y] * len(words[i : i + SPAN])) for i in range(0, min(len(words), 3 * SPAN), SPAN)]
+    k, rng, lexicon = len(languages), random.Random(seed), lexicon_of(split)
+    sequences = [(words, [y] * len(words)) for words, y in spans]
     for _ in range(len(sequences) // 3):  # code-switched: spans of documents, one after another
         words, states = [], []
         for _ in range(rng.randint(2, 4)):
@@ -183,9 +217,9 @@ def learn(docs: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate: flo
             words += own[at : at + n]
             states += [y] * len(own[at : at + n])
         sequences.append((words, states))
-    weights, start, moves = np.zeros((WIDTH, k)), np.zeros(k), np.zeros((k, k))
+    weights, start, moves = np.zeros((WIDTH + k, k)), np.zeros(k), np.zeros((k, k))
     grown = [np.full_like(x, 1e-2) for x in (weights, start, moves)]
-    known = [features(words) for words, _ in sequences]
+    known = [features(words, lexicon) for words, _ in sequences]
     order = list(range(len(sequences)))
     for _ in range(epochs):
         rng.shuffle(order)
@@ -205,7 +239,7 @@ def learn(docs: list[tuple[str, str]], seed: int = 7, epochs: int = 3, rate: flo
                 grown[s] += g**2
                 x -= rate * g / np.sqrt(grown[s])
     moves = np.clip(moves, -8, 8) + 1e-6 * np.eye(k)
-    return Model(languages, weights.astype(np.float32), start, moves)
+    return Model(languages, weights.astype(np.float32), start, moves, lexicon)
 
 
 def expected(scores: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,13 +263,23 @@ def expected(scores: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[
     return node, pair
 
 
-def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most so many labelled documents that are not held out: those with the smallest hashed ids. Only ids are ordered."""
+def sample(docs: DataFrame, most: int = SAMPLE) -> list[tuple[list[list[str]], str]]:
+    """Spans and language of at most so many labelled documents that are not held out: those with the smallest hashed ids. Only ids are ordered."""
     able = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit(3))
     chosen = able.select("doc_id", order.alias("o")).distinct().orderBy("o", "doc_id").limit(most).select("doc_id")
-    rows = able.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()  # at most `most` documents, or repeats of them
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))][: 2 * most]
+    small_batches(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [spans_of(t, zlib.crc32(str(d).encode())) for d, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.list_(pa.string())))], names=["doc_id", "lang", "spans"])
+
+    rows = able.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").alias("own"))
+    rows = rows.join(F.broadcast(chosen.withColumnRenamed("doc_id", "own")), "own").select("doc_id", "lang", "text")
+    rows = rows.mapInArrow(tidy(cut), "doc_id string, lang string, spans array<array<string>>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "spans")).alias("x")).orderBy("doc_id").collect()  # `most` rows of a few spans
+    return [(r.x.spans, r.x.lang) for r in rows]
 
 
 @functools.lru_cache(maxsize=1)
@@ -246,7 +290,7 @@ def loaded(data: bytes) -> Model:
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """row (a struct of all columns), lang_pred, score. docs has a column text."""
     small_batches(docs.sparkSession)
-    data = model and pickle.dumps(Model(model.languages, model.weights, model.start, model.moves))
+    data = model and pickle.dumps(Model(model.languages, model.weights, model.start, model.moves, model.lexicon))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     place = docs.columns.index("text")
 
@@ -279,7 +323,14 @@ def languages(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def in_some_language(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is not ``und``."""
-    out = predicted(docs, learn(sample(docs, most))).where("lang_pred <> 'und'")
-    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+def in_some_language(docs: DataFrame, least: float = LEAST_SHARE, most: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, in which one language has a share of at least ``least``; a null lang becomes that language.
+
+    Rows without a letter go. Where nothing can be learned from (no row has a language), all others stay as they are.
+    """
+    model = learn(sample(docs, most))
+    if model is None:
+        return docs.where(F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False)))
+    out = predicted(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    own = lambda c: F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col(f"row.`{c}`")
+    return out.select(*(own(c).alias(c) for c in docs.columns))

@@ -56,13 +56,45 @@ def test_languages(spark):
 
 
 def test_code_switched_words():
-    docs = [(f"{a} {b} the of and with " * 12, "en") for a, b in zip("abcdefgh", "stuvwxyz")] + [(f"{a} {b} der die und nicht " * 12, "de") for a, b in zip("abcdefgh", "stuvwxyz")]
+    docs = [(langid.spans_of(f"{a} {b} the of and with " * 12, 1), "en") for a, b in zip("abcdefgh", "stuvwxyz", strict=True)]
+    docs += [(langid.spans_of(f"{a} {b} der die und nicht " * 12, 1), "de") for a, b in zip("abcdefgh", "stuvwxyz", strict=True)]
     m = langid.learn(docs)
     words = ["the", "of", "x", "and", "with", "the", "of"] * 3 + ["der", "die", "x", "nicht", "und", "die"] * 3
     node, _ = langid.expected(m.emissions(words), m.start, m.moves)
     assert [m.languages[i] for i in node.argmax(1)] == ["en"] * 21 + ["de"] * 18
 
 
+def test_all_letters_of_a_long_run_count():
+    assert [len(w) for w in langid.LETTERS.findall("a" * 60 + " b2c")] == [24, 24, 12, 1, 1]
+    model = langid.learn([([["abcd" * 6, "efgh"]], "x"), ([["zyxw" * 6, "vuts"]], "y")])
+    row = lambda w: model.emissions(langid.LETTERS.findall(w)).sum(0).argmax()
+    assert row("abcd" * 2 + "qqqq" * 8 + "abcd" * 9) == 0 and row("zyxw" * 2 + "qqqq" * 8 + "zyxw" * 9) == 1
+
+
+def test_spans_come_from_the_whole_text():
+    words = [f"{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(9000)]
+    words = [w for w in words if langid.LETTERS.fullmatch(w)]
+    own = [langid.spans_of(" ".join(words), seed) for seed in range(30)]
+    assert all(len(s) == langid.SPANS and all(len(x) == langid.SPAN for x in s) for s in own)
+    assert max(words.index(s[-1][-1]) for s in own) > 0.8 * len(words)
+    assert langid.spans_of("one two", 1) == [["one", "two"]] and langid.spans_of("12", 1) == []
+
+
+def test_lexicon_lists_words_of_two_documents():
+    got = langid.lexicon_of([(["a", "b", "b"], 0), (["a", "c", "b"], 0), (["a"] * 9, 1)])
+    assert got == {"a": (1,), "b": (0,)}  # a has two of its eleven uses in the first language
+
+
+def test_filter_fills_null_languages_and_keeps_rows_without_labels(spark):
+    rows = [(i, "the cat and the dog of the house " * 3, "en") for i in range(12)] + [(20 + i, "der Hund und die Katze nicht das Haus " * 3, "de") for i in range(12)]
+    rows += [(50, "the dog and the cat", None), (51, "12 !", "en"), (52, None, None), (53, "x " * 40_000 + "the of and " * 30_000, None), (50, "die Katze und der Hund", None), (None, "the house", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.lang) for r in langid.in_some_language(docs).collect()), key=str)
+    assert [x for x in got if x[0] not in range(50)] == [(50, "de"), (50, "en"), (53, "en"), (None, "en")] and len(got) == 28
+    none = langid.in_some_language(docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang"))
+    assert sorted((r.doc_id for r in none.collect()), key=str) == sorted((d for d, t, _ in rows if t and t != "12 !"), key=str)
+
+
 @has_data
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+from deltaloom.llm import langid  # noqa: E402
 from tests.llm.test_ngram_join import sets_of  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,7 +19,13 @@ def test_run_equals_brute_force(spark):
 
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
     rows = corpus_pipeline.run(spark, SF).collect()
-    kept = [(d, t, s) for d, t, s in docs if t and re.search(r"[^\W\d_]", t)]
+    model = langid.learn(langid.sample(spark.read.parquet(f"{SF}/documents.parquet")))
+
+    def share(text):
+        words = langid.LETTERS.findall((text or "").lower())
+        return langid.expected(model.emissions(words), model.start, model.moves)[0].mean(0).max() if words else 0
+
+    kept = [(d, t, s) for d, t, s in docs if share(t) >= 0.5]
     first = {}
     for d, t, s in sorted(kept):
         first.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", t), (d, t, s))
@@ -59,3 +66,16 @@ def test_stages_keep_columns_and_clean_rows(spark):
         assert sorted((r.doc_id for r in docs.collect()), key=str) == [1, 4, None]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_long_texts_ties_and_repeated_rows(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17_000))
+    rows = [(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, "same text of three rows", "en", "b"), (3, "same text of three rows", "en", "b"), (4, "same  text of three rows", "en", "c"), (5, "a text of its own, with a null language", None, None), (6, "", "en", "a"), (6, "another text of the id six", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "")
+        ids = sorted(r.doc_id for r in docs.collect())
+        assert ids == {"language": [1, 2, 3, 3, 4, 5, 6], "exact_dedup": [1, 2, 3, 5, 6], "near_dedup": [1, 3, 5, 6]}[name]
+        assert [r.lang for r in docs.where("doc_id = 5").collect()] == ["en"]
+    (row,) = (r for r in corpus_pipeline.STAGES[4][1](spark, docs, "").collect() if r.doc_id == 1)
+    assert row.n_tokens > 17_000
