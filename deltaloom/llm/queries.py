@@ -93,11 +93,11 @@ FROM f LEFT JOIN own ON own.path = f.path LEFT JOIN n ON n.path = f.path
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 OP7_SQL = """
@@ -106,7 +106,7 @@ WITH RECURSIVE g AS (SELECT vec_id, label, list_transform(embedding, lambda x: x
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
 r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.vec_id),
 n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
-SELECT r.vec_id, coalesce(max(n.n), 0) AS n_links, min(r.root) AS component_id, r.vec_id = min(r.root) AS kept
+SELECT r.vec_id, coalesce(max(n.n), 0) AS n_links, min(r.root) AS component_id, r.vec_id = min(r.root) AS kept, CAST(1.0 AS DOUBLE) AS recall
 FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id
 """
 

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from deltaloom.llm import mixing, sharding
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,3 +90,65 @@ def test_mix(spark):
     again = mixing.mix(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def dense_rates(words, goals, ridge, most):
+    """The dual solved at once by damped Newton steps over all multipliers; words: source by language."""
+    k, m = words.shape
+    share = words.sum(0) * goals.sum() / words.sum()
+    x = np.zeros(k + m)
+
+    def parts(x):
+        raw = np.exp(x[:k, None] + x[k:])
+        return raw, words * np.minimum(most, raw)
+
+    def value(x):
+        raw = np.exp(x[:k, None] + x[k:])
+        own = np.where(raw < most, raw, most + most * np.log(np.maximum(raw, most) / most))
+        return (words * own).sum() - goals @ x[:k] - share @ x[k:] + ridge / 2 * words.sum(0) @ x[k:] ** 2
+
+    for _ in range(500):
+        raw, got = parts(x)
+        gradient = np.r_[got.sum(1) - goals, got.sum(0) - share + ridge * words.sum(0) * x[k:]]
+        curve = np.where(raw < most, words * raw, 0)
+        hessian = np.block([[np.diag(curve.sum(1)), curve], [curve.T, np.diag(curve.sum(0) + ridge * words.sum(0))]])
+        step = -np.linalg.solve(hessian + 1e-9 * np.eye(k + m), gradient)
+        size = 1.0
+        while value(x + size * step) > value(x) and size > 1e-9:
+            size /= 2
+        x = x + size * step
+        if np.abs(gradient).max() < 1e-9 * goals.sum():
+            break
+    return np.minimum(most, np.exp(x[:k, None] + x[k:]))
+
+
+def test_rates_equal_a_dense_solver(spark):
+    rng = np.random.default_rng(4)
+    names, langs = ["a", "b", "c", "d", "e"], ["x", "y", None]
+    words = rng.integers(50, 4000, (5, 3)) * np.array([[9, 1, 1], [1, 9, 1], [2, 2, 9], [1, 5, 1], [30, 1, 2]])
+    sizes = spark.createDataFrame([(s, g, int(words[i, j])) for i, s in enumerate(names) for j, g in enumerate(langs)], "source string, lang string, words long")
+    own = sizes.groupBy("source").sum("words").withColumnRenamed("sum(words)", "source_size")
+    goals = mixing.targets(own, (5, 2, 1), 3)
+    goal = {r.source: r.target for r in goals.collect()}
+    rates = {(r.source, r.lang): r.rate for r in mixing.balanced(sizes, goals, 3, 60).collect()}
+    got = np.array([[rates[s, g] for g in langs] for s in names])
+    want = dense_rates(words, np.array([goal[s] for s in names]), mixing.RIDGE, 3)
+    assert np.allclose(got, want, rtol=1e-3), (got, want)
+    assert np.allclose((got * words).sum(1), [goal[s] for s in names], rtol=1e-6)
+    tilt = got[np.array([goal[s] < 2.99 * words[i].sum() for i, s in enumerate(names)])]
+    assert (tilt.max(1) / tilt.min(1)).max() > 1.05  # documents of one source have other rates in another language
+    before, plain = words.sum(0) / words.sum(), (words * (np.array([goal[s] for s in names]) / words.sum(1))[:, None]).sum(0)
+    off = lambda x: np.abs(x / x.sum() - before).sum()
+    assert off((got * words).sum(0)) < 0.6 * off(plain)
+
+
+def test_repeats_are_taken_one_by_one(spark):
+    rows = [(i % 40, f"{'w ' * (5 + i % 3)}{i}", "b" if i % 2 else "a", "en") for i in range(400)] + [(None, "w x y z", "a", None)] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    took = Counter()
+    for r in mixing.mix(docs).collect():
+        took[r.source] += r.taken
+    got = Counter()
+    for r in mixing.repeated(docs).collect():
+        got[r.source] += len(WORDS.findall(r.text))
+    assert got == took
