@@ -16,8 +16,8 @@ one row for each task). Pairs whose whole sketches already differ in too many bi
 sets and connected components are taken. What the centres leave open, groups whose nodes still lie in several components,
 is settled exactly and without listing its pairs: two nodes of different components are never both in the group's largest
 one, so a task holds a block of the nodes outside it and meets all nodes of the group as they stream by. Rounds over whole
-sketches join components by pairs that form trees; then only nodes that still have a partner that their sketches don't rule
-out bring their sets, which the task compares through an index of shingles, and again only joining links leave it. Groups
+sketches, of the nodes that folded ones don't rule out for all partners, join components by pairs that form trees; then only
+nodes that still have a plausible partner bring their sets, which the task compares through an index of shingles, and again only joining links leave it. Groups
 of more than WIDE nodes that share nodes are one cluster, so that no pair is compared for each segment again. A group of m nodes,
 u of them outside its largest component, is read u / BLOCK times, and m * u sketches are compared.
 
@@ -42,12 +42,12 @@ from pyspark.sql import functions as F
 from .common import components, sent, small_batches, tidy, written
 
 #: Keys that a map task groups at once; nodes of a group from which on it becomes part of a cluster; nodes of a block of sketches, and of sets or of what streams by; rounds by sketches.
-FOLD_KEYS, WIDE, BLOCK, PART, ROUNDS = 250_000, 2048, 1024, 256, 3
+FOLD_KEYS, WIDE, BLOCK, PART, ROUNDS = 250_000, 2048, 1024, 256, 1
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("n", pa.int32())])
 DOCUMENT, MEMBER, PAIR = 0, 1, 2
-SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("shingles", pa.binary())])
+SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("thin", pa.binary()), ("sketch", pa.binary()), ("shingles", pa.binary())])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -249,31 +249,31 @@ class Forest(dict):
         return x != y
 
 
-def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[tuple]]]:
-    """Rows in order of cell, those inside first: for each cell (True, its inside rows, maybe none), then (False, some others), ..."""
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, list[tuple]]]:
+    """Rows in order of cell, those inside first: for each cell (group, True, its inside rows, maybe none), then (group, False, some others), ..."""
     at, held, others, begun = None, [], [], True
     for b in batches:
         for group, block, inside, *row in zip(*[c.to_pylist() for c in b.columns], strict=True):
             if (group, block) != at:
                 if not begun:
-                    yield True, held
+                    yield at[0], True, held
                 if others:
-                    yield False, others
+                    yield at[0], False, others
                 at, held, others, begun = (group, block), [], [], False
             if inside:
                 held.append(row)
                 continue
             if not begun:
-                yield True, held
+                yield at[0], True, held
                 begun = True
             others.append(row)
             if len(others) == PART:
-                yield False, others
+                yield at[0], False, others
                 others = []
     if not begun:
-        yield True, held
+        yield at[0], True, held
     if others:
-        yield False, others
+        yield at[0], False, others
 
 
 def stacked(rows: list[tuple]) -> list[tuple[np.ndarray, ...]]:
@@ -308,8 +308,8 @@ def plausible(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], percent:
 def by_sketch(percent: int, spanning: bool):
     """Cells of rows (group, block, inside, node, root, n, sketch), compared by sizes and sketches.
 
-    spanning: pairs a, b that join the cell's roots to trees, closer pairs of a step first. Else group and node of the rows
-    that have a plausible partner.
+    spanning: pairs a, b that join the cell's roots to trees, closer pairs of a step first. Else group (a) and node (b) of
+    the rows that have a plausible partner.
     """
 
     def batch(a: list, b: list) -> pa.RecordBatch:
@@ -336,13 +336,13 @@ def by_sketch(percent: int, spanning: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, trees = [], Forest()
-        for inside, rows in cells(batches):
+        for group, inside, rows in cells(batches):
             now = stacked(rows)
             if inside:
                 base, trees = now, Forest()
             a, b = compared(base, now, trees, inside)
             if a:
-                yield batch(a, b) if spanning else batch(sorted(set(a)), [None] * len(set(a)))
+                yield batch(a, b) if spanning else batch([group] * len(set(a)), sorted(set(a)))
 
     return run
 
@@ -350,15 +350,16 @@ def by_sketch(percent: int, spanning: bool):
 def set_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, sketches, sets = [], [], [], []
+            nodes, sizes, thin, sketches, sets = [], [], [], [], []
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = shingles(text, words)
                 if len(own) and name_of(own) == node:  # another text of a repeated doc_id is not meant
                     nodes.append(node)
                     sizes.append(len(own))
                     sketches.append(whole_sketch(own))
+                    thin.append(folded_to(np.frombuffer(sketches[-1], np.uint64)[None], len(sketches[-1]) // 32).tobytes())
                     sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((nodes, sizes, sketches, sets), SETS, strict=True)], schema=SETS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((nodes, sizes, thin, sketches, sets), SETS, strict=True)], schema=SETS)
 
     return run
 
@@ -394,7 +395,7 @@ def by_set(percent: int):
     """Cells of rows (group, block, inside, node, root, set): links a, b that join the cell's roots to trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for inside, rows in cells(batches):
+        for _, inside, rows in cells(batches):
             own = [(node, root, np.frombuffer(data, np.uint64)) for node, root, data in rows]
             if inside:
                 held, trees = own, Forest()
@@ -451,28 +452,33 @@ def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     if open_pairs.isEmpty():
         return found
     every = open_pairs.select("key", "node").unionByName(open_pairs.select("key", F.col("centre").alias("node"))).distinct()
-    # Groups of the same nodes are one, and so are the wide ones that share nodes.
+    # Groups of the same nodes are one, and so are the wide ones that share nodes. The only pair of a group of two has been compared.
     named = written(every.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor")))
     wide = open_pairs.join(named.where(f"n > {WIDE}").select("key"), "key", "left_semi")
     clusters = components(wide.select(F.col("node").alias("a"), F.col("centre").alias("b"))).select("node", F.col("root").alias("group"))
-    once = named.where(f"n <= {WIDE}").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key")
+    once = named.where(f"n > 2 AND n <= {WIDE}").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key")
     few = every.join(once, "key", "left_semi").select("node", F.xxhash64("key", F.lit(1)).alias("group"))
-    groups = written(few.unionByName(clusters.select("node", F.xxhash64("group", F.lit(2)).alias("group"))))
+    groups = few.unionByName(clusters.select("node", F.xxhash64("group", F.lit(2)).alias("group")))
 
-    def members() -> DataFrame:
+    def plausible_members(groups: DataFrame, sketch: str) -> DataFrame:
+        """group, node of those that have a partner across components which the sketches don't rule out."""
+        marks = in_cells(members(groups), sets, ["n", sketch], BLOCK).mapInArrow(tidy(by_sketch(percent, False)), "a long, b long")
+        return written(marks.select(F.col("a").alias("group"), F.col("b").alias("node")).distinct())
+
+    def members(groups: DataFrame) -> DataFrame:
         return groups.join(found, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
 
+    groups = plausible_members(groups, "thin")  # few are left for wide sketches and sets
     for _ in range(ROUNDS):
-        trees = in_cells(members(), sets, ["n", "sketch"], BLOCK).mapInArrow(tidy(by_sketch(percent, True)), "a long, b long").distinct()
+        trees = in_cells(members(groups), sets, ["n", "sketch"], BLOCK).mapInArrow(tidy(by_sketch(percent, True)), "a long, b long").distinct()
         links = written(verified(trees, sets, percent))
         if links.isEmpty():
             break
         found = joined(found, links)
-    marked = in_cells(members(), sets, ["n", "sketch"], BLOCK).mapInArrow(tidy(by_sketch(percent, False)), "a long, b long").select(F.col("a").alias("node")).distinct()
-    last = written(members().join(written(marked), "node", "left_semi"))
-    if last.isEmpty():
+    groups = plausible_members(groups, "sketch")
+    if groups.isEmpty():
         return found
-    return joined(found, written(in_cells(last, sets, ["shingles"], PART).mapInArrow(tidy(by_set(percent)), "a long, b long")))
+    return joined(found, written(in_cells(members(groups), sets, ["shingles"], PART).mapInArrow(tidy(by_set(percent)), "a long, b long")))
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -488,7 +494,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tests = written(pairs.groupBy("node", "centre").agg(F.count("*").alias("shared")))
     nodes = tests.select("node").unionByName(tests.select(F.col("centre").alias("node"))).distinct()
     first = written(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(tidy(set_rows(words)), "node long, n int, sketch binary, shingles binary"))
+    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(tidy(set_rows(words)), "node long, n int, thin binary, sketch binary, shingles binary"))
     # Each node meets the centre that it shares most segments with first; of the other pairs, those still across components follow.
     ends = lambda df: df.select(F.col("node").alias("a"), F.col("centre").alias("b"))
     likely = tests.groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("x")).select("node", "x.centre")
