@@ -2,13 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How much a category weighs; others weigh 0.1.
-WEIGHTS = {"API_SURFACE_CHANGED": 0.9, "FUNCTION_RENAMED": 0.85, "FUNCTION_ADDED": 0.8, "FUNCTION_REMOVED": 0.8, "CONDITION_CHANGED": 0.6, "CONSTANT_UPDATED": 0.5, "JSON_VALUE_CHANGED": 0.4, "FILE_ADDED": 0.3}
-#: What a template needs of a cluster (category, least count), and its confidence.
-TEMPLATES = [("rename_function", "FUNCTION_RENAMED", 1, 0.9), ("add_function", "FUNCTION_ADDED", 1, 0.8), ("replace_function", "FUNCTION_ADDED", 1, 0.85), ("replace_function", "FUNCTION_REMOVED", 1, 0.85), ("tune_constants", "CONSTANT_UPDATED", 1, 0.6), ("tune_logic", "CONDITION_CHANGED", 1, 0.7), ("tune_logic", "CONSTANT_UPDATED", 1, 0.7)]
+WEIGHTS = {
+    "FUNCTION_RENAMED": 0.9, "API_SURFACE_CHANGED": 0.9, "PARAMETER_ADDED": 0.85, "PARAMETER_REMOVED": 0.85, "FUNCTION_ADDED": 0.8, "FUNCTION_REMOVED": 0.8,
+    "DEPENDENCY_ADDED": 0.75, "DEPENDENCY_REMOVED": 0.75, "DEPENDENCY_UPDATED": 0.7, "FUNCTION_BODY_CHANGED": 0.6, "IMPORT_ADDED": 0.5, "IMPORT_REMOVED": 0.5,
+    "CONDITION_CHANGED": 0.5, "CONSTANT_UPDATED": 0.4, "FEATURE_FLAG_CHANGED": 0.7, "CREDENTIAL_CHANGED": 0.85, "ENDPOINT_CHANGED": 0.6, "TIMEOUT_CHANGED": 0.55,
+    "LIMIT_CHANGED": 0.55, "RETRY_CONFIG_CHANGED": 0.5, "SCHEMA_FIELD_ADDED": 0.8, "SCHEMA_FIELD_REMOVED": 0.85, "SCHEMA_FIELD_CHANGED": 0.8, "MIGRATION_ADDED": 0.9,
+    "JSON_FIELD_ADDED": 0.3, "JSON_FIELD_REMOVED": 0.3, "JSON_VALUE_CHANGED": 0.2, "JSON_ARRAY_CHANGED": 0.2, "YAML_KEY_ADDED": 0.3, "YAML_KEY_REMOVED": 0.3,
+    "YAML_VALUE_CHANGED": 0.2, "FILE_ADDED": 0.5, "FILE_DELETED": 0.5, "FILE_CONTENT_CHANGED": 0.1,
+}
+#: Templates with their priorities, confidences and conditions. A condition is a category that is there, a
+#: (category, comparator, count), a tag as #tag, or a type of cluster as @type.
+TEMPLATES = (
+    ("rename_function", 100, 0.95, ["FUNCTION_RENAMED"]),
+    ("add_single_function", 95, 0.92, [("FUNCTION_ADDED", "eq", 1), ("FUNCTION_REMOVED", "eq", 0)]),
+    ("remove_single_function", 95, 0.92, [("FUNCTION_REMOVED", "eq", 1), ("FUNCTION_ADDED", "eq", 0)]),
+    ("add_multiple_functions", 90, 0.90, [("FUNCTION_ADDED", "gt", 1), ("FUNCTION_REMOVED", "eq", 0)]),
+    ("refactor_functions", 85, 0.88, ["FUNCTION_ADDED", "FUNCTION_REMOVED"]),
+    ("update_api_parameters", 80, 0.85, ["PARAMETER_ADDED"]),
+    ("update_api_parameters_removed", 80, 0.85, ["PARAMETER_REMOVED"]),
+    ("update_api_surface", 75, 0.80, ["API_SURFACE_CHANGED"]),
+    ("add_dependency", 75, 0.90, [("DEPENDENCY_ADDED", "eq", 1), ("DEPENDENCY_REMOVED", "eq", 0)]),
+    ("remove_dependency", 75, 0.90, [("DEPENDENCY_REMOVED", "eq", 1), ("DEPENDENCY_ADDED", "eq", 0)]),
+    ("update_dependency", 75, 0.90, [("DEPENDENCY_UPDATED", "eq", 1)]),
+    ("update_dependencies", 70, 0.85, [("DEPENDENCY_UPDATED", "gt", 1)]),
+    ("modify_function", 65, 0.75, ["FUNCTION_BODY_CHANGED"]),
+    ("update_imports", 60, 0.70, ["IMPORT_ADDED"]),
+    ("modify_condition", 55, 0.65, ["CONDITION_CHANGED"]),
+    ("update_constant", 50, 0.60, ["CONSTANT_UPDATED"]),
+    ("add_file", 50, 0.80, ["FILE_ADDED"]),
+    ("remove_file", 50, 0.80, ["FILE_DELETED"]),
+    ("update_json_config", 45, 0.55, ["JSON_VALUE_CHANGED"]),
+    ("update_yaml_config", 45, 0.55, ["YAML_VALUE_CHANGED"]),
+    ("update_tests", 40, 0.60, ["@test"]),
+    ("update_config", 35, 0.55, ["@config"]),
+    ("toggle_feature_flag", 72, 0.85, ["FEATURE_FLAG_CHANGED"]),
+    ("update_timeout", 68, 0.80, ["TIMEOUT_CHANGED"]),
+    ("update_limit", 68, 0.80, ["LIMIT_CHANGED"]),
+    ("update_retry_config", 65, 0.78, ["RETRY_CONFIG_CHANGED"]),
+    ("update_endpoint", 67, 0.80, ["ENDPOINT_CHANGED"]),
+    ("update_credential", 78, 0.88, ["CREDENTIAL_CHANGED"]),
+    ("add_schema_field", 82, 0.90, ["SCHEMA_FIELD_ADDED"]),
+    ("remove_schema_field", 82, 0.90, ["SCHEMA_FIELD_REMOVED"]),
+    ("update_schema_field", 80, 0.88, ["SCHEMA_FIELD_CHANGED"]),
+    ("add_migration", 88, 0.92, ["MIGRATION_ADDED"]),
+    ("update_auth_flow", 76, 0.85, ["#security", "FUNCTION_BODY_CHANGED"]),
+    ("update_permissions", 74, 0.82, ["#security"]),
+    ("update_file", 20, 0.40, ["FILE_CONTENT_CHANGED"]),
+    ("generic_update", 0, 0.30, []),
+)
+#: Categories by what they do to confidence, to a cluster's type and to its mixture.
+BOOSTS = ((1.15, ("FUNCTION_RENAMED",)), (1.12, ("SCHEMA_FIELD_ADDED", "SCHEMA_FIELD_REMOVED", "SCHEMA_FIELD_CHANGED", "MIGRATION_ADDED")), (1.10, ("FEATURE_FLAG_CHANGED", "CREDENTIAL_CHANGED")),
+          (1.08, ("DEPENDENCY_ADDED", "DEPENDENCY_REMOVED", "DEPENDENCY_UPDATED", "PARAMETER_ADDED", "PARAMETER_REMOVED")))
+ADDS = ("FUNCTION_ADDED", "FILE_ADDED", "DEPENDENCY_ADDED", "IMPORT_ADDED")
+REMOVES = ("FUNCTION_REMOVED", "FILE_DELETED", "DEPENDENCY_REMOVED", "IMPORT_REMOVED")
+CHANGES = ("FUNCTION_BODY_CHANGED", "FUNCTION_RENAMED", "CONDITION_CHANGED", "CONSTANT_UPDATED")
+DOCS = (".md", ".txt", ".rst", ".adoc")
+CONFIG = ("JSON_VALUE_CHANGED", "JSON_FIELD_ADDED", "JSON_FIELD_REMOVED", "YAML_VALUE_CHANGED", "YAML_KEY_ADDED", "YAML_KEY_REMOVED",
+          "FEATURE_FLAG_CHANGED", "TIMEOUT_CHANGED", "LIMIT_CHANGED", "RETRY_CONFIG_CHANGED", "ENDPOINT_CHANGED", "CREDENTIAL_CHANGED")
+SCHEMA = ("SCHEMA_FIELD_ADDED", "SCHEMA_FIELD_REMOVED", "SCHEMA_FIELD_CHANGED", "MIGRATION_ADDED")
+DEPENDENCIES = ("DEPENDENCY_ADDED", "DEPENDENCY_REMOVED", "DEPENDENCY_UPDATED")
+#: Tags that a category brings with it.
+TAGS = (
+    ("api", ("API_SURFACE_CHANGED", "PARAMETER_ADDED", "PARAMETER_REMOVED", "FUNCTION_RENAMED")), ("breaking", ("FUNCTION_REMOVED", "PARAMETER_REMOVED", "DEPENDENCY_REMOVED", "SCHEMA_FIELD_REMOVED")),
+    ("security", ("CREDENTIAL_CHANGED",)), ("tuning", ("TIMEOUT_CHANGED", "LIMIT_CHANGED", "RETRY_CONFIG_CHANGED")), ("feature-flag", ("FEATURE_FLAG_CHANGED",)),
+    ("config", ("ENDPOINT_CHANGED",)), ("schema", SCHEMA),
+)
+#: Categories whose evidence is of high or of medium quality; others are low.
+HIGH = ("FUNCTION_RENAMED", *SCHEMA, "FEATURE_FLAG_CHANGED", "CREDENTIAL_CHANGED")
+MEDIUM = (*DEPENDENCIES, "PARAMETER_ADDED", "PARAMETER_REMOVED", "API_SURFACE_CHANGED", "TIMEOUT_CHANGED", "LIMIT_CHANGED", "ENDPOINT_CHANGED")
+COHESIVE = 0.5
 
 
 def weighted(signals: DataFrame) -> DataFrame:
@@ -17,41 +85,117 @@ def weighted(signals: DataFrame) -> DataFrame:
     return signals.groupBy("category").agg(F.count("*").alias("n")).select("category", "n", weight.alias("weight"))
 
 
+def tags_of(category: Column) -> Column:
+    """The tags that a category brings with it."""
+    return F.array_compact(F.array(*(F.when(category.isin(*kinds), F.lit(tag)) for tag, kinds in TAGS)))
+
+
+def quality_of(category: Column) -> Column:
+    """Quality of a category's evidence: 3 high, 2 medium, 1 low."""
+    return F.when(category.isin(*HIGH), 3).when(category.isin(*MEDIUM), 2).otherwise(1)
+
+
+def clusters(signals: DataFrame) -> DataFrame:
+    """One row for each cluster, gathered in one pass: n, files, c (sum of confidences), counts (of categories), tags (counts), and flags.
+
+    signals may have enriched: the product of the factors for known parameters and roles. Counts hold as many entries as
+    there are categories and tags.
+    """
+    enriched = F.col("enriched") if "enriched" in signals.columns else F.lit(1.0)
+    per_file = signals.groupBy("cluster", "category", "tag", "path").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.sum(F.ln(enriched)).alias("log"))
+    is_doc = reduce(lambda a, b: a | b, (F.endswith(F.col("path"), F.lit(x)) for x in DOCS))
+    small = per_file.groupBy("cluster", "category", "tag").agg(
+        F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("log").alias("log"), F.bool_or(is_doc).alias("doc")
+    )
+    files = per_file.groupBy("cluster").agg(F.countDistinct("path").alias("files"))
+    has = lambda kinds: F.bool_or(F.col("category").isin(*kinds))
+    rows = small.groupBy("cluster").agg(
+        F.sum("n").alias("n"), F.sum("c").cast("double").alias("c"), F.sum("log").alias("log"), F.collect_list(F.struct("category", "tag", "n")).alias("parts"),
+        F.bool_or("doc").alias("doc"), has(ADDS).alias("adds"), has(REMOVES).alias("removes"), has(CHANGES).alias("changes"), has(CONFIG).alias("config"),
+        F.bool_or(~F.col("category").isin(*CONFIG)).alias("other"), F.countDistinct("category").alias("kinds"),
+    )
+    return rows.join(files, "cluster")
+
+
+def count_of(field: str, name: str) -> Column:
+    """How many signals of the cluster have this category or tag."""
+    return F.aggregate(F.filter("parts", lambda p: p[field] == name), F.lit(0).cast("long"), lambda s, p: s + p["n"])
+
+
+def largest(field: str) -> Column:
+    """The largest number of signals of a cluster that share a category or a tag."""
+    names = F.array_distinct(F.transform("parts", lambda p: p[field]))
+    sums = F.transform(names, lambda x: F.aggregate(F.filter("parts", lambda p: p[field] == x), F.lit(0).cast("long"), lambda s, p: s + p["n"]))
+    return F.array_max(sums)
+
+
+def cohesion_of() -> Column:
+    value = 0.3 * largest("category") / F.col("n") + 0.3 / F.greatest(F.lit(1), "files") + 0.2 * largest("tag") / F.col("n") + 0.2 * F.col("c") / F.col("n")
+    return F.when(F.col("n") <= 1, 1.0).otherwise(value)
+
+
+def kind_of() -> Column:
+    """The type of a cluster; a test, docs or config only if nothing is added or removed."""
+    still = ~F.col("adds") & ~F.col("removes")
+    return (
+        F.when((count_of("tag", "test") > 0) & still, "test").when(F.col("doc") & still, "docs").when((count_of("tag", "config") > 0) & still, "config")
+        .when(F.col("adds") & F.col("removes"), "refactor").when(F.col("adds") & ~F.col("changes"), "feature").when(F.col("changes") & still, "bugfix").otherwise("mixed")
+    )
+
+
+def mixed() -> Column:
+    """Three categories or more, or configuration and anything else, or little cohesion."""
+    return (F.col("kinds") >= 3) | (F.col("config") & F.col("other")) | (cohesion_of() < COHESIVE)
+
+
 def cohesion(signals: DataFrame) -> DataFrame:
     """cluster, n, cohesion: .3 largest category share + .3 / files + .2 largest tag share + .2 mean confidence; 1 for a single signal."""
-    once = signals.groupBy("cluster", "category", "tag", "path").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"))
-    most = lambda c, name: once.groupBy("cluster", c).agg(F.sum("n").alias("k")).groupBy("cluster").agg(F.max("k").alias(name))
-    whole = once.groupBy("cluster").agg(F.sum("n").alias("n"), F.countDistinct("path").alias("files"), F.sum("c").cast("double").alias("c"))
-    rows = whole.join(most("category", "cat"), "cluster").join(most("tag", "top"), "cluster")
-    value = 0.3 * F.col("cat") / F.col("n") + 0.3 / F.greatest(F.lit(1), "files") + 0.2 * F.col("top") / F.col("n") + 0.2 * F.col("c") / F.col("n")
-    return rows.select("cluster", "n", F.round(F.when(F.col("n") <= 1, 1.0).otherwise(F.least(F.lit(1.0), value)), 6).alias("cohesion"))
+    return clusters(signals).select("cluster", "n", F.round(cohesion_of(), 6).alias("cohesion"))
 
 
 def cluster_types(signals: DataFrame) -> DataFrame:
-    """cluster, kind: mixed with three categories or more, or with config and others; else by what it holds."""
-    any_of = lambda c: F.bool_or(c)
-    flags = signals.groupBy("cluster").agg(
-        F.countDistinct("category").alias("kinds"), any_of(F.col("category").startswith("FUNCTION")).alias("code"), any_of(F.col("category").startswith("JSON")).alias("config"), any_of(~F.col("category").startswith("JSON")).alias("other")
-    )
-    kind = F.when((F.col("kinds") >= 3) | (F.col("config") & F.col("other")), "mixed").when(F.col("config"), "config").when(F.col("code"), "feature").otherwise("refactor")
-    return flags.select("cluster", kind.alias("kind"))
+    """cluster, kind, mixed."""
+    return clusters(signals).select("cluster", kind_of().alias("kind"), mixed().alias("mixed"))
+
+
+def meets(conditions: list) -> Column:
+    compare = {"eq": Column.__eq__, "gt": Column.__gt__, "lt": Column.__lt__, "gte": Column.__ge__, "lte": Column.__le__}
+    met = F.lit(True)
+    for c in conditions:
+        if isinstance(c, tuple):
+            met = met & compare[c[1]](count_of("category", c[0]), F.lit(c[2]))
+        elif c.startswith("#"):
+            met = met & (count_of("tag", c[1:]) > 0)
+        elif c.startswith("@"):
+            met = met & (F.col("kind") == c[1:])
+        else:
+            met = met & (count_of("category", c) > 0)
+    return met
+
+
+def matched(signals: DataFrame) -> DataFrame:
+    """The clusters with matches: (base, priority, template) of every template all of whose conditions they meet, the best first."""
+    rows = clusters(signals).withColumns({"kind": kind_of(), "mixed": mixed(), "cohesion": cohesion_of()})
+    every = F.array(*(F.when(meets(c), F.struct((-F.lit(base)).alias("minus"), F.lit(-priority).alias("back"), F.lit(name).alias("template"))) for name, priority, base, c in TEMPLATES))
+    return rows.withColumn("matches", F.array_sort(F.array_compact(every)))
 
 
 def template_matches(signals: DataFrame) -> DataFrame:
-    """cluster, template, base: the best template all of whose conditions a cluster meets; ties go to the first name."""
-    spark = signals.sparkSession
-    rules = spark.createDataFrame(TEMPLATES, "template string, category string, least int, base double")  # a fixed, short table
-    need = rules.groupBy("template").agg(F.count("*").alias("need"))
-    counts = signals.groupBy("cluster", "category").agg(F.count("*").alias("n"))
-    met = counts.join(F.broadcast(rules), "category").where(F.col("n") >= F.col("least")).groupBy("cluster", "template").agg(F.count("*").alias("met"), F.max("base").alias("base"))
-    full = met.join(F.broadcast(need), "template").where(F.col("met") == F.col("need"))
-    best = full.groupBy("cluster").agg(F.min(F.struct((-F.col("base")).alias("minus"), "template")).alias("x"))
-    return best.select("cluster", "x.template", (-F.col("x.minus")).alias("base"))
+    """cluster, template, base, priority, n_matches: the template with the largest confidence, then priority, then by name; all others are alternatives."""
+    best = F.col("matches")[0]
+    return matched(signals).select("cluster", best["template"].alias("template"), (-best["minus"]).alias("base"), (-best["back"]).alias("priority"), F.size("matches").alias("n_matches"))
 
 
 def confidence(signals: DataFrame) -> DataFrame:
-    """cluster, template, confidence, band: base x cohesion x mean confidence, each as of the operators above; 5 % less without a breaking tag."""
-    mean = signals.groupBy("cluster").agg((F.sum("confidence").cast("double") / F.count("*")).alias("mean"), F.bool_or(F.col("tag") == "breaking").alias("breaking"))
-    rows = template_matches(signals).join(cohesion(signals), "cluster").join(mean, "cluster")
-    value = F.round(F.least(F.lit(1.0), F.col("base") * F.col("cohesion") * F.col("mean") * F.when(F.col("breaking"), 1.0).otherwise(0.95)) + 1e-9, 5)  # half a digit rounds up, whatever the order of the factors
-    return rows.select("cluster", "template", value.alias("confidence"), F.when(value >= 0.8, "high").when(value >= 0.5, "medium").otherwise("low").alias("band"))
+    """cluster, template, confidence, band: base x cohesion x mean confidence, with boosts for evidence and penalties for noise."""
+    rows = matched(signals)
+    # Every boost is above 1 and the product is cut at 1, so their order does not matter.
+    boosts = reduce(lambda a, b: a * b, (F.pow(F.lit(f), sum(count_of("category", c) for c in kinds)) for f, kinds in BOOSTS))
+    valued = reduce(lambda a, b: a + b, (count_of("category", c) for _, kinds in BOOSTS for c in kinds)) > 0
+    start = -F.col("matches")[0]["minus"] * F.col("cohesion") * F.col("c") / F.col("n")
+    value = F.least(F.lit(1.0), start * boosts * F.exp("log")) * F.when(valued, 1.0).otherwise(0.95)
+    value = value * F.when(F.col("n") > 5, F.greatest(F.lit(0.5), 1 - (F.col("n") - 5) * 0.04)).otherwise(1.0) * F.when(F.col("mixed"), 0.85).otherwise(1.0)
+    value = value * F.when(F.col("cohesion") < COHESIVE, 0.7 + 0.3 * F.col("cohesion") / COHESIVE).otherwise(1.0)
+    value = value * F.when(F.col("kinds") > 4, 0.9).otherwise(1.0) * F.when(F.col("files") > 5, 0.92).otherwise(1.0)
+    value = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)) + 1e-9, 5)  # half a digit rounds up, whatever the order of the factors
+    return rows.select("cluster", F.col("matches")[0]["template"].alias("template"), value.alias("confidence"), F.when(value >= 0.8, "high").when(value >= 0.5, "medium").otherwise("low").alias("band"))

@@ -52,8 +52,12 @@ head AS (SELECT *, sha256(content) AS digest FROM head0)"""
 RANGES = """ranges AS (SELECT l_partkey AS file, l_linenumber::BIGINT * 10 AS start_line, l_linenumber::BIGINT * 10 + l_quantity::BIGINT - 1 AS end_line,
   CASE WHEN l_returnflag = 'R' THEN 'human' ELSE 'ai' END AS author_type, CASE WHEN l_returnflag = 'R' THEN '' ELSE l_suppkey::VARCHAR END AS agent,
   l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS seq, l_returnflag FROM lineitem)"""
-SIGNALS = """signals AS (SELECT l_orderkey AS cluster, ['FUNCTION_ADDED','FUNCTION_REMOVED','FUNCTION_RENAMED','CONDITION_CHANGED','CONSTANT_UPDATED','JSON_VALUE_CHANGED','FILE_ADDED'][(l_linenumber - 1) % 7 + 1] AS category,
-  round(1 - l_discount, 2)::DECIMAL(6,2) AS confidence, CASE l_returnflag WHEN 'R' THEN 'breaking' WHEN 'A' THEN 'api' ELSE 'config' END AS tag, 'part/' || l_partkey AS path FROM lineitem)"""
+SIGNALS = """signals AS (SELECT l_orderkey AS cluster, ['FUNCTION_RENAMED','API_SURFACE_CHANGED','PARAMETER_ADDED','PARAMETER_REMOVED','FUNCTION_ADDED','FUNCTION_REMOVED','DEPENDENCY_ADDED','DEPENDENCY_REMOVED','DEPENDENCY_UPDATED',
+  'FUNCTION_BODY_CHANGED','IMPORT_ADDED','IMPORT_REMOVED','CONDITION_CHANGED','CONSTANT_UPDATED','FEATURE_FLAG_CHANGED','CREDENTIAL_CHANGED','ENDPOINT_CHANGED','TIMEOUT_CHANGED','LIMIT_CHANGED','RETRY_CONFIG_CHANGED',
+  'SCHEMA_FIELD_ADDED','SCHEMA_FIELD_REMOVED','SCHEMA_FIELD_CHANGED','MIGRATION_ADDED','JSON_FIELD_ADDED','JSON_FIELD_REMOVED','JSON_VALUE_CHANGED','JSON_ARRAY_CHANGED','YAML_KEY_ADDED','YAML_KEY_REMOVED','YAML_VALUE_CHANGED',
+  'FILE_ADDED','FILE_DELETED','FILE_CONTENT_CHANGED','OTHER'][(l_orderkey * 3 + l_linenumber // 3) % 35 + 1] AS category,
+  round(1 - l_discount, 2)::DECIMAL(6,2) AS confidence, ['breaking', 'api', 'config', 'test', 'security'][l_suppkey % 5 + 1] AS tag,
+  'part/' || l_partkey || CASE WHEN l_partkey % 11 = 0 THEN '.md' ELSE '.go' END AS path, CASE WHEN l_quantity > 40 THEN 1.05 WHEN l_quantity > 25 THEN 1.03 ELSE 1.0 END::DOUBLE AS enriched FROM lineitem)"""
 
 
 # Graph
@@ -278,38 +282,71 @@ def band_condition(spark, sf_dir):
 # Signals
 
 
-@query(f"WITH {SIGNALS} SELECT category, count(*) AS n, CASE category WHEN 'FUNCTION_RENAMED' THEN 0.85 WHEN 'FUNCTION_ADDED' THEN 0.8 WHEN 'FUNCTION_REMOVED' THEN 0.8 WHEN 'CONDITION_CHANGED' THEN 0.6 WHEN 'CONSTANT_UPDATED' THEN 0.5 WHEN 'JSON_VALUE_CHANGED' THEN 0.4 WHEN 'FILE_ADDED' THEN 0.3 ELSE 0.1 END::DOUBLE AS weight FROM signals GROUP BY 1")
+@query(f"""WITH {SIGNALS} SELECT category, count(*) AS n, CASE
+  WHEN category IN ('FUNCTION_RENAMED', 'API_SURFACE_CHANGED', 'MIGRATION_ADDED') THEN 0.9
+  WHEN category IN ('PARAMETER_ADDED', 'PARAMETER_REMOVED', 'CREDENTIAL_CHANGED', 'SCHEMA_FIELD_REMOVED') THEN 0.85
+  WHEN category IN ('FUNCTION_ADDED', 'FUNCTION_REMOVED', 'SCHEMA_FIELD_ADDED', 'SCHEMA_FIELD_CHANGED') THEN 0.8
+  WHEN category IN ('DEPENDENCY_ADDED', 'DEPENDENCY_REMOVED') THEN 0.75 WHEN category IN ('DEPENDENCY_UPDATED', 'FEATURE_FLAG_CHANGED') THEN 0.7
+  WHEN category IN ('FUNCTION_BODY_CHANGED', 'ENDPOINT_CHANGED') THEN 0.6 WHEN category IN ('TIMEOUT_CHANGED', 'LIMIT_CHANGED') THEN 0.55
+  WHEN category IN ('IMPORT_ADDED', 'IMPORT_REMOVED', 'CONDITION_CHANGED', 'RETRY_CONFIG_CHANGED', 'FILE_ADDED', 'FILE_DELETED') THEN 0.5 WHEN category = 'CONSTANT_UPDATED' THEN 0.4
+  WHEN category IN ('JSON_FIELD_ADDED', 'JSON_FIELD_REMOVED', 'YAML_KEY_ADDED', 'YAML_KEY_REMOVED') THEN 0.3 WHEN category IN ('JSON_VALUE_CHANGED', 'JSON_ARRAY_CHANGED', 'YAML_VALUE_CHANGED') THEN 0.2
+  ELSE 0.1 END::DOUBLE AS weight FROM signals GROUP BY 1""")
 def signal_weights(spark, sf_dir):
     return signals.weighted(src.signals(spark, sf_dir))
 
 
 COHESION = """c AS (SELECT cluster, max(n) AS cat FROM (SELECT cluster, category, count(*) AS n FROM signals GROUP BY 1, 2) GROUP BY 1), t AS (SELECT cluster, max(n) AS top FROM (SELECT cluster, tag, count(*) AS n FROM signals GROUP BY 1, 2) GROUP BY 1),
 w AS (SELECT cluster, count(*) AS n, count(DISTINCT path) AS files, sum(confidence)::DOUBLE AS c FROM signals GROUP BY 1),
-cohesion AS (SELECT cluster, n, round(CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 0.3::DOUBLE * cat / n + 0.3::DOUBLE / greatest(1, files) + 0.2::DOUBLE * top / n + 0.2::DOUBLE * w.c / n) END, 6) AS cohesion FROM w JOIN c USING (cluster) JOIN t USING (cluster))"""
-MATCHED = "rules(template, category, least, base) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c}, {d}::DOUBLE)" for a, b, c, d in signals.TEMPLATES) + """), need AS (SELECT template, count(*) AS need FROM rules GROUP BY 1),
-met AS (SELECT cluster, template, count(*) AS met, max(base) AS base FROM (SELECT cluster, category, count(*) AS n FROM signals GROUP BY 1, 2) JOIN rules USING (category) WHERE n >= least GROUP BY 1, 2),
-matched AS (SELECT cluster, template, base FROM met JOIN need USING (template) WHERE met = need QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY base DESC, template) = 1)"""
-
-
-@query(f"WITH {SIGNALS}, {COHESION} SELECT cluster, n, cohesion FROM cohesion")
+cohesion AS (SELECT cluster, n, (CASE WHEN n <= 1 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 0.3::DOUBLE * cat / n + 0.3::DOUBLE / greatest(1, files) + 0.2::DOUBLE * top / n + 0.2::DOUBLE * w.c / n) END) AS cohesion FROM w JOIN c USING (cluster) JOIN t USING (cluster))"""
+KINDS = """f AS (SELECT cluster, count(DISTINCT category) AS kinds, bool_or(tag = 'test') AS test, bool_or(tag = 'config') AS conf, bool_or(path LIKE '%.md') AS doc,
+  bool_or(category IN ('FUNCTION_ADDED', 'FILE_ADDED', 'DEPENDENCY_ADDED', 'IMPORT_ADDED')) AS adds, bool_or(category IN ('FUNCTION_REMOVED', 'FILE_DELETED', 'DEPENDENCY_REMOVED', 'IMPORT_REMOVED')) AS removes,
+  bool_or(category IN ('FUNCTION_BODY_CHANGED', 'FUNCTION_RENAMED', 'CONDITION_CHANGED', 'CONSTANT_UPDATED')) AS changes,
+  bool_or(category IN ('JSON_VALUE_CHANGED', 'JSON_FIELD_ADDED', 'JSON_FIELD_REMOVED', 'YAML_VALUE_CHANGED', 'YAML_KEY_ADDED', 'YAML_KEY_REMOVED', 'FEATURE_FLAG_CHANGED', 'TIMEOUT_CHANGED', 'LIMIT_CHANGED', 'RETRY_CONFIG_CHANGED', 'ENDPOINT_CHANGED', 'CREDENTIAL_CHANGED')) AS config,
+  bool_or(category NOT IN ('JSON_VALUE_CHANGED', 'JSON_FIELD_ADDED', 'JSON_FIELD_REMOVED', 'YAML_VALUE_CHANGED', 'YAML_KEY_ADDED', 'YAML_KEY_REMOVED', 'FEATURE_FLAG_CHANGED', 'TIMEOUT_CHANGED', 'LIMIT_CHANGED', 'RETRY_CONFIG_CHANGED', 'ENDPOINT_CHANGED', 'CREDENTIAL_CHANGED')) AS other
+  FROM signals GROUP BY 1),
+kinds AS (SELECT cluster, kinds, CASE WHEN test AND NOT adds AND NOT removes THEN 'test' WHEN doc AND NOT adds AND NOT removes THEN 'docs' WHEN conf AND NOT adds AND NOT removes THEN 'config'
+  WHEN adds AND removes THEN 'refactor' WHEN adds AND NOT changes THEN 'feature' WHEN changes AND NOT adds AND NOT removes THEN 'bugfix' ELSE 'mixed' END AS kind,
+  kinds >= 3 OR config AND other OR cohesion < 0.5 AS mixed, cohesion FROM f JOIN cohesion USING (cluster))"""
+MATCHED = """rules(template, priority, base, what, least, most) AS (VALUES ('rename_function', 100, 0.95, 'FUNCTION_RENAMED', 1, 99), ('add_single_function', 95, 0.92, 'FUNCTION_ADDED', 1, 1), ('add_single_function', 95, 0.92, 'FUNCTION_REMOVED', 0, 0),
+  ('remove_single_function', 95, 0.92, 'FUNCTION_REMOVED', 1, 1), ('remove_single_function', 95, 0.92, 'FUNCTION_ADDED', 0, 0), ('add_multiple_functions', 90, 0.90, 'FUNCTION_ADDED', 2, 99), ('add_multiple_functions', 90, 0.90, 'FUNCTION_REMOVED', 0, 0),
+  ('refactor_functions', 85, 0.88, 'FUNCTION_ADDED', 1, 99), ('refactor_functions', 85, 0.88, 'FUNCTION_REMOVED', 1, 99), ('update_api_parameters', 80, 0.85, 'PARAMETER_ADDED', 1, 99), ('update_api_parameters_removed', 80, 0.85, 'PARAMETER_REMOVED', 1, 99),
+  ('update_api_surface', 75, 0.80, 'API_SURFACE_CHANGED', 1, 99), ('add_dependency', 75, 0.90, 'DEPENDENCY_ADDED', 1, 1), ('add_dependency', 75, 0.90, 'DEPENDENCY_REMOVED', 0, 0), ('remove_dependency', 75, 0.90, 'DEPENDENCY_REMOVED', 1, 1), ('remove_dependency', 75, 0.90, 'DEPENDENCY_ADDED', 0, 0),
+  ('update_dependency', 75, 0.90, 'DEPENDENCY_UPDATED', 1, 1), ('update_dependencies', 70, 0.85, 'DEPENDENCY_UPDATED', 2, 99), ('modify_function', 65, 0.75, 'FUNCTION_BODY_CHANGED', 1, 99), ('update_imports', 60, 0.70, 'IMPORT_ADDED', 1, 99), ('modify_condition', 55, 0.65, 'CONDITION_CHANGED', 1, 99),
+  ('update_constant', 50, 0.60, 'CONSTANT_UPDATED', 1, 99), ('add_file', 50, 0.80, 'FILE_ADDED', 1, 99), ('remove_file', 50, 0.80, 'FILE_DELETED', 1, 99), ('update_json_config', 45, 0.55, 'JSON_VALUE_CHANGED', 1, 99), ('update_yaml_config', 45, 0.55, 'YAML_VALUE_CHANGED', 1, 99),
+  ('update_tests', 40, 0.60, '@test', 1, 99), ('update_config', 35, 0.55, '@config', 1, 99), ('toggle_feature_flag', 72, 0.85, 'FEATURE_FLAG_CHANGED', 1, 99), ('update_timeout', 68, 0.80, 'TIMEOUT_CHANGED', 1, 99), ('update_limit', 68, 0.80, 'LIMIT_CHANGED', 1, 99),
+  ('update_retry_config', 65, 0.78, 'RETRY_CONFIG_CHANGED', 1, 99), ('update_endpoint', 67, 0.80, 'ENDPOINT_CHANGED', 1, 99), ('update_credential', 78, 0.88, 'CREDENTIAL_CHANGED', 1, 99), ('add_schema_field', 82, 0.90, 'SCHEMA_FIELD_ADDED', 1, 99), ('remove_schema_field', 82, 0.90, 'SCHEMA_FIELD_REMOVED', 1, 99),
+  ('update_schema_field', 80, 0.88, 'SCHEMA_FIELD_CHANGED', 1, 99), ('add_migration', 88, 0.92, 'MIGRATION_ADDED', 1, 99), ('update_auth_flow', 76, 0.85, '#security', 1, 99), ('update_auth_flow', 76, 0.85, 'FUNCTION_BODY_CHANGED', 1, 99), ('update_permissions', 74, 0.82, '#security', 1, 99),
+  ('update_file', 20, 0.40, 'FILE_CONTENT_CHANGED', 1, 99), ('generic_update', 0, 0.30, '*', 1, 99)),
+need AS (SELECT template, count(*) AS need FROM rules GROUP BY 1),
+facts AS (SELECT cluster, category AS what, count(*) AS n FROM signals GROUP BY 1, 2 UNION ALL SELECT cluster, '#' || tag, count(*) FROM signals GROUP BY 1, 2 UNION ALL SELECT cluster, '@' || kind, 1 FROM kinds UNION ALL SELECT cluster, '*', 1 FROM kinds),
+met AS (SELECT k.cluster, r.template, any_value(r.priority) AS priority, any_value(r.base)::DOUBLE AS base, count(*) AS met FROM kinds k CROSS JOIN rules r LEFT JOIN facts USING (cluster, what) WHERE coalesce(facts.n, 0) BETWEEN least AND most GROUP BY 1, 2),
+matched AS (SELECT cluster, template, base, priority, count(*) OVER (PARTITION BY cluster) AS n_matches FROM met JOIN need USING (template) WHERE met = need QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY base DESC, priority DESC, template) = 1)"""
+
+
+@query(f"WITH {SIGNALS}, {COHESION} SELECT cluster, n, round(cohesion, 6) AS cohesion FROM cohesion")
 def cohesion(spark, sf_dir):
     return signals.cohesion(src.signals(spark, sf_dir))
 
 
-@query(f"WITH {SIGNALS}, f AS (SELECT cluster, count(DISTINCT category) AS kinds, bool_or(category LIKE 'FUNCTION%') AS code, bool_or(category LIKE 'JSON%') AS config, bool_or(category NOT LIKE 'JSON%') AS other FROM signals GROUP BY 1)\n"
-       "SELECT cluster, CASE WHEN kinds >= 3 OR config AND other THEN 'mixed' WHEN config THEN 'config' WHEN code THEN 'feature' ELSE 'refactor' END AS kind FROM f")
+@query(f"WITH {SIGNALS}, {COHESION}, {KINDS} SELECT cluster, kind, mixed FROM kinds")
 def cluster_type(spark, sf_dir):
     return signals.cluster_types(src.signals(spark, sf_dir))
 
 
-@query(f"WITH {SIGNALS}, {MATCHED} SELECT cluster, template, base FROM matched")
+@query(f"WITH {SIGNALS}, {COHESION}, {KINDS}, {MATCHED} SELECT cluster, template, base, priority, n_matches FROM matched")
 def template_match(spark, sf_dir):
     return signals.template_matches(src.signals(spark, sf_dir))
 
 
-@query(f"WITH {SIGNALS}, {COHESION}, {MATCHED}, m AS (SELECT cluster, sum(confidence)::DOUBLE / count(*) AS mean, bool_or(tag = 'breaking') AS breaking FROM signals GROUP BY 1),\n"
-       "v AS (SELECT cluster, template, round(least(1.0::DOUBLE, base * cohesion * mean * CASE WHEN breaking THEN 1.0::DOUBLE ELSE 0.95::DOUBLE END) + 1e-9::DOUBLE, 5) AS confidence FROM matched JOIN cohesion USING (cluster) JOIN m USING (cluster))\n"
-       "SELECT cluster, template, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM v")
+@query(f"""WITH {SIGNALS}, {COHESION}, {KINDS}, {MATCHED},
+m AS (SELECT cluster, count(*) AS n, sum(confidence)::DOUBLE / count(*) AS mean, count(DISTINCT path) AS files, exp(sum(ln(enriched))) AS enriched, count_if(category = 'FUNCTION_RENAMED') AS a,
+  count_if(category IN ('SCHEMA_FIELD_ADDED', 'SCHEMA_FIELD_REMOVED', 'SCHEMA_FIELD_CHANGED', 'MIGRATION_ADDED')) AS b, count_if(category IN ('FEATURE_FLAG_CHANGED', 'CREDENTIAL_CHANGED')) AS c,
+  count_if(category IN ('DEPENDENCY_ADDED', 'DEPENDENCY_REMOVED', 'DEPENDENCY_UPDATED', 'PARAMETER_ADDED', 'PARAMETER_REMOVED')) AS d FROM signals GROUP BY 1),
+x AS (SELECT cluster, template, least(1.0::DOUBLE, base * cohesion * mean * power(1.15, a) * power(1.12, b) * power(1.10, c) * power(1.08, d) * enriched) * CASE WHEN a + b + c + d > 0 THEN 1.0::DOUBLE ELSE 0.95::DOUBLE END
+  * CASE WHEN n > 5 THEN greatest(0.5, 1.0 - (n - 5) * 0.04)::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN mixed THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END
+  * CASE WHEN cohesion < 0.5 THEN 0.7::DOUBLE + 0.3::DOUBLE * cohesion / 0.5::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN kinds > 4 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN files > 5 THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END AS v
+  FROM matched JOIN kinds USING (cluster) JOIN m USING (cluster)), v AS (SELECT cluster, template, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, v)) + 1e-9::DOUBLE, 5) AS confidence FROM x)
+SELECT cluster, template, confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM v""")
 def confidence(spark, sf_dir):
     return signals.confidence(src.signals(spark, sf_dir))
 
@@ -427,14 +464,6 @@ def config_diff(spark, sf_dir):
     return rows.select("id", "user", F.when(F.col("before").isNull(), "KEY_ADDED").when(F.col("file").isNull(), "KEY_REMOVED").otherwise("VALUE_CHANGED").alias("category"))
 
 
-VALID = [("click", "view"), ("view", "click"), ("view", "purchase")]
-
-
-@query("WITH m AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events) SELECT before, after, count(*) AS n FROM m WHERE before <> after AND (before, after) NOT IN (('click', 'view'), ('view', 'click'), ('view', 'purchase')) GROUP BY 1, 2")
-def review_fsm(spark, sf_dir):
-    return activity.transitions(live_events(spark, sf_dir).select(F.col("user").alias("key"), "ts", "id", F.col("op").alias("state")), VALID)
-
-
 # Texts and paths
 
 
@@ -473,3 +502,6 @@ def module_match(spark, sf_dir):
 def scalar_functions(spark, sf_dir):
     camel = F.concat_ws("", F.transform(F.split("p_type", " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))))
     return src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower(F.substring_index("p_type", " ", -1)).alias("tail"), F.regexp_replace("p_name", "[^A-Za-z0-9]+", "-").alias("label"), camel.alias("camel"))
+
+
+from deltaloom.plans import records  # noqa: E402, F401  registers its queries; it uses the views above

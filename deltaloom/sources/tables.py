@@ -75,13 +75,23 @@ def authorship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Categories that the lines of an order stand for, in turn.
+KINDS = (
+    "FUNCTION_RENAMED API_SURFACE_CHANGED PARAMETER_ADDED PARAMETER_REMOVED FUNCTION_ADDED FUNCTION_REMOVED DEPENDENCY_ADDED DEPENDENCY_REMOVED DEPENDENCY_UPDATED "
+    "FUNCTION_BODY_CHANGED IMPORT_ADDED IMPORT_REMOVED CONDITION_CHANGED CONSTANT_UPDATED FEATURE_FLAG_CHANGED CREDENTIAL_CHANGED ENDPOINT_CHANGED TIMEOUT_CHANGED LIMIT_CHANGED RETRY_CONFIG_CHANGED "
+    "SCHEMA_FIELD_ADDED SCHEMA_FIELD_REMOVED SCHEMA_FIELD_CHANGED MIGRATION_ADDED JSON_FIELD_ADDED JSON_FIELD_REMOVED JSON_VALUE_CHANGED JSON_ARRAY_CHANGED YAML_KEY_ADDED YAML_KEY_REMOVED YAML_VALUE_CHANGED "
+    "FILE_ADDED FILE_DELETED FILE_CONTENT_CHANGED OTHER"
+).split()
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cluster, category, confidence, tag, path of change signals."""
-    kinds = ["FUNCTION_ADDED", "FUNCTION_REMOVED", "FUNCTION_RENAMED", "CONDITION_CHANGED", "CONSTANT_UPDATED", "JSON_VALUE_CHANGED", "FILE_ADDED"]
+    """cluster, category, confidence, tag, path, enriched (factor of known parameters or roles) of change signals."""
     lines = table(spark, sf_dir, "lineitem")
+    kind = (F.col("l_orderkey") * 3 + F.floor(F.col("l_linenumber") / 3)) % len(KINDS)
+    tags = F.array(*map(F.lit, ("breaking", "api", "config", "test", "security")))
     return lines.select(
-        F.col("l_orderkey").alias("cluster"), F.get(F.array(*map(F.lit, kinds)), (F.col("l_linenumber") - 1) % len(kinds)).alias("category"),
-        F.round(1 - F.col("l_discount"), 2).cast("decimal(6,2)").alias("confidence"),
-        F.when(F.col("l_returnflag") == "R", "breaking").when(F.col("l_returnflag") == "A", "api").otherwise("config").alias("tag"),
-        named("part/", "l_partkey").alias("path"),
+        F.col("l_orderkey").alias("cluster"), F.get(F.array(*map(F.lit, KINDS)), kind.cast("int")).alias("category"),
+        F.round(1 - F.col("l_discount"), 2).cast("decimal(6,2)").alias("confidence"), F.get(tags, (F.col("l_suppkey") % 5).cast("int")).alias("tag"),
+        F.concat(named("part/", "l_partkey"), F.when(F.col("l_partkey") % 11 == 0, ".md").otherwise(".go")).alias("path"),
+        F.when(F.col("l_quantity") > 40, 1.05).when(F.col("l_quantity") > 25, 1.03).otherwise(1.0).alias("enriched"),
     )

@@ -76,3 +76,28 @@ def test_streams_group_bursts_and_drop_repeats(spark, tmp_path):
         run.awaitTermination(120)
     assert {r.id for r in spark.table("once").collect()} == {1, 2, 3, 4}
     assert 3 in {r.n for r in spark.table("bursts").collect()} and spark.table("recent").count() > 0
+
+
+def test_confidence_boosts_and_penalties(spark):
+    from deltaloom.operators import signals
+
+    rows = [("one", "FUNCTION_RENAMED", 0.9, "api", "a.go")] + [("many", c, 1.0, "x", f"{i}.go") for i, c in enumerate(["IMPORT_ADDED"] * 7)]
+    rows += [("docs", "CONSTANT_UPDATED", 1.0, "x", "readme.md"), ("auth", "FUNCTION_BODY_CHANGED", 1.0, "security", "b.go"), ("none", "OTHER", 1.0, "x", "c.go")]
+    view = spark.createDataFrame(rows, "cluster string, category string, confidence double, tag string, path string")
+    got = {r.cluster: r for r in signals.confidence(view).collect()}
+    assert (got["one"].template, got["one"].confidence) == ("rename_function", round(0.95 * 0.9 * 1.15, 5))
+    cohesion = 0.3 + 0.3 / 7 + 0.2 + 0.2
+    assert (got["many"].template, got["many"].confidence) == ("update_imports", round(0.7 * cohesion * 0.95 * 0.92 * 0.92, 5))
+    assert got["auth"].template == "update_auth_flow" and got["none"].template == "generic_update"
+    kinds = {r.cluster: r.kind for r in signals.cluster_types(view).collect()}
+    assert kinds == {"one": "bugfix", "many": "feature", "docs": "docs", "auth": "bugfix", "none": "mixed"}
+
+
+def test_updates_need_their_nodes(spark):
+    from deltaloom.operators import records
+
+    nodes = spark.createDataFrame([(1, "a"), (2, "b")], "id int, payload string")
+    new = spark.createDataFrame([(2, "c")], "id int, payload string")
+    assert sorted(map(tuple, records.updated(nodes, new, "id", "payload").collect())) == [(1, "a", False), (2, "c", True)]
+    with pytest.raises(ValueError, match="not there"):
+        records.updated(nodes, new.selectExpr("id + 7 AS id", "payload"), "id", "payload")
