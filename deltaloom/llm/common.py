@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SENT_ROWS = 1_000_000
 #: Bytes that a writer of a table holds before they go to the file.
 ROW_GROUP = 16 << 20
+#: Tasks for each core of the session that write a table of ids.
+WAVES = 4
 #: Nodes that one task contracts at once.
 FOREST = 300_000
 
@@ -58,6 +60,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def noted(df: DataFrame) -> DataFrame:
+    """As written, for tables of ids and numbers that come from such tables: neighbouring partitions go to one file, so that a round leaves few small files.
+
+    Their number grows with the cores of the session; without a shuffle, and nothing changes where there are fewer partitions.
+    """
+    return written(df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def sent(df: DataFrame) -> DataFrame:
     """A narrow written table, marked for broadcast if it has at most SENT_ROWS rows."""
     return F.broadcast(df) if df.count() <= SENT_ROWS else df
@@ -108,16 +118,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     never the key of a shuffle. Each round is written to the shared folder.
     """
     given = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    state = written(given.mapInArrow(tidy(forest), given.schema).distinct())
+    state = noted(given.mapInArrow(tidy(forest), given.schema).distinct())
     for _ in range(most_rounds):
         low = state.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        inner = written(low.join(state.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("v"), "m"))
+        inner = noted(low.join(state.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("v"), "m"))
         if inner.isEmpty() and low.where("n > 1").isEmpty():
             break
         large = state.join(sent(inner), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         split = large.join(low.where("n > 1"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = written(low.select("u", F.col("m").alias("v")).unionByName(split).distinct())
+        state = noted(low.select("u", F.col("m").alias("v")).unionByName(split).distinct())
     else:
         raise RuntimeError("the components have not settled")
     roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))

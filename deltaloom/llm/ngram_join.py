@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, sent, small_batches, tidy, written
+from .common import components, noted, sent, small_batches, tidy, written
 
 #: Keys that a map task groups at once; nodes of a group from which on it becomes part of a cluster; nodes of a block of sketches, and of sets or of what streams by; rounds by sketches.
 FOLD_KEYS, WIDE, BLOCK, PART, ROUNDS = 250_000, 2048, 1024, 256, 1
@@ -385,7 +385,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for c in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
     pairs = written(pairs.mapInArrow(tidy(close(percent)), "a long, b long"))
-    needed = sent(written(pairs.select("b").distinct()))
+    needed = sent(noted(pairs.select("b").distinct()))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(sent(pairs), "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(needed, "b", "left_semi")
     return left.join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(linked(percent)), "a long, b long")
@@ -423,9 +423,9 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """node, root after more links (a, b) between the components of roots (node, root); nodes without a row are their own roots."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    change = written(components(between)).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    change = noted(components(between)).select(F.col("node").alias("old"), F.col("root").alias("new"))
     every = roots.unionByName(change.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
-    return written(every.join(change, every["root"] == change["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
+    return noted(every.join(change, every["root"] == change["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
 def in_cells(members: DataFrame, data: DataFrame, columns: list[str], most: int) -> DataFrame:
@@ -434,7 +434,7 @@ def in_cells(members: DataFrame, data: DataFrame, columns: list[str], most: int)
     roots = members.groupBy("group", "root").agg(F.count("*").alias("n"))
     heads = roots.groupBy("group").agg(F.max(F.struct("n", "root")).alias("head"), F.sum("n").alias("all"))
     heads = heads.select("group", F.col("head.root").alias("head"), F.ceil((F.col("all") - F.col("head.n")) / most).cast("int").alias("blocks")).where("blocks > 0")
-    rows = members.join(sent(written(heads)), "group")
+    rows = members.join(sent(noted(heads)), "group")
     rows = rows.withColumn("own", F.when(F.col("root") != F.col("head"), F.pmod(F.xxhash64("node", "group"), "blocks").cast("int")))
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     inside = F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("inside")
@@ -448,12 +448,12 @@ def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     tested = pairs.select("node", "centre").distinct().join(of("node"), "node", "left").join(of("centre"), "centre", "left")
     failed = tested.where(F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre")).select("node", "centre")
     open_keys = pairs.join(failed, ["node", "centre"]).select("key").distinct()
-    open_pairs = written(pairs.join(open_keys, "key", "left_semi"))
+    open_pairs = noted(pairs.join(open_keys, "key", "left_semi"))
     if open_pairs.isEmpty():
         return found
     every = open_pairs.select("key", "node").unionByName(open_pairs.select("key", F.col("centre").alias("node"))).distinct()
     # Groups of the same nodes are one, and so are the wide ones that share nodes. The only pair of a group of two has been compared.
-    named = written(every.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor")))
+    named = noted(every.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor")))
     wide = open_pairs.join(named.where(f"n > {WIDE}").select("key"), "key", "left_semi")
     clusters = components(wide.select(F.col("node").alias("a"), F.col("centre").alias("b"))).select("node", F.col("root").alias("group"))
     once = named.where(f"n > 2 AND n <= {WIDE}").groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key")
@@ -463,7 +463,7 @@ def left_open(pairs: DataFrame, sets: DataFrame, found: DataFrame, percent: int)
     def plausible_members(groups: DataFrame, sketch: str) -> DataFrame:
         """group, node of those that have a partner across components which the sketches don't rule out."""
         marks = in_cells(members(groups), sets, ["n", sketch], BLOCK).mapInArrow(tidy(by_sketch(percent, False)), "a long, b long")
-        return written(marks.select(F.col("a").alias("group"), F.col("b").alias("node")).distinct())
+        return noted(marks.select(F.col("a").alias("group"), F.col("b").alias("node")).distinct())
 
     def members(groups: DataFrame) -> DataFrame:
         return groups.join(found, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
@@ -491,14 +491,14 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = written(rows)
     known = rows.where(F.col("kind") == DOCUMENT).select(F.col("other").alias("doc_id"), "node", "n")
     pairs = rows.where(F.col("kind") == PAIR).select("key", "node", F.col("other").alias("centre"))
-    tests = written(pairs.groupBy("node", "centre").agg(F.count("*").alias("shared")))
+    tests = noted(pairs.groupBy("node", "centre").agg(F.count("*").alias("shared")))
     nodes = tests.select("node").unionByName(tests.select(F.col("centre").alias("node"))).distinct()
-    first = written(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    first = noted(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(tidy(set_rows(words)), "node long, n int, thin binary, sketch binary, shingles binary"))
     # Each node meets the centre that it shares most segments with first; of the other pairs, those still across components follow.
     ends = lambda df: df.select(F.col("node").alias("a"), F.col("centre").alias("b"))
     likely = tests.groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("x")).select("node", "x.centre")
-    roots = written(components(written(verified(ends(likely), sets, percent))))
+    roots = noted(components(written(verified(ends(likely), sets, percent))))
     at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     rest = tests.join(likely, ["node", "centre"], "left_anti").join(at("node"), "node", "left").join(at("centre"), "centre", "left")
     rest = rest.where(F.coalesce("node_root", "node") != F.coalesce("centre_root", "centre"))
@@ -506,9 +506,9 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     roots = left_open(pairs, sets, roots, percent)
     # Nodes of one document without a link stand for themselves; the others get the smallest doc_id of their component.
     own = known.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    own = written(own.join(roots, "node", "left").where("copies > 1 OR root IS NOT NULL").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
-    smallest = written(own.groupBy("root").agg(F.min("doc_id").alias("least")))
-    labels = sent(written(own.join(sent(smallest), "root").select("node", "least")))
+    own = noted(own.join(roots, "node", "left").where("copies > 1 OR root IS NOT NULL").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
+    smallest = noted(own.groupBy("root").agg(F.min("doc_id").alias("least")))
+    labels = sent(noted(own.join(sent(smallest), "root").select("node", "least")))
     return known.join(labels, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
@@ -518,5 +518,5 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Rows that repeat a doc_id go only if all of them have such a document.
     """
     gone = similar(docs, words, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(F.col("component_id") < F.col("doc_id")).alias("gone"))
-    gone = written(gone.where("gone").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")))
+    gone = noted(gone.where("gone").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")))
     return docs.join(sent(gone), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
