@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, sent, written
+from .common import WORD, noted, sent, written
 
 #: Documents that one task of a prefix sum orders, about; weight of the languages' ridge.
 BUCKET_ROWS, RIDGE = 500, 0.1
@@ -86,7 +86,7 @@ def balanced(sizes: DataFrame, goals: DataFrame, most: int, rounds: int) -> Data
     cells = cells.join(langs, same(cells, langs, ("lang",))).drop("lang_")
     share = F.col("lang_words") * float(total / max(1, corpus))
     name = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
-    cells = written(cells.select("source", "lang", name.alias("name"), "words", "target", "lang_words", share.alias("share"), F.lit(0.0).alias("m_source")))
+    cells = noted(cells.select("source", "lang", name.alias("name"), "words", "target", "lang_words", share.alias("share"), F.lit(0.0).alias("m_source")))
     of_source = W.partitionBy("source")  # a row for each language
     m_lang: dict[str, float] = {}
 
@@ -107,7 +107,7 @@ def balanced(sizes: DataFrame, goals: DataFrame, most: int, rounds: int) -> Data
         return cells.select("source", "lang", "name", "words", "target", "lang_words", "share", "m_source")
 
     for _ in range(rounds):
-        cells = written(settled_sources(cells))
+        cells = noted(settled_sources(cells))
         at = at_rates(cells).withColumn("row", F.collect_list(F.struct("name", "curve")).over(of_source))
         pairs = at.select("*", F.when(F.col("sum") > 0, 1 / F.col("sum")).otherwise(0.0).alias("inverse"), F.explode("row").alias("other"))
         own = F.col("other.name") == F.col("name")
@@ -156,8 +156,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), language(docs), size.alias("size")))
     # Rows that agree are numbered; only those, so that nothing but rare repeats meets in a window.
     rows = rows.groupBy(*KEY).agg(F.count("*").alias("n")).select(*KEY, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
-    sizes = written(rows.groupBy("source", "lang").agg(F.sum(F.col("size")).alias("words")))
-    goals = written(targets(sizes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most))
+    sizes = noted(rows.groupBy("source", "lang").agg(F.sum(F.col("size")).alias("words")))
+    goals = noted(targets(sizes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most))
     rates = renamed(balanced(sizes, goals, most, rounds), ("source", "lang"))
     known = sizes.join(rates, same(sizes, rates, ("source", "lang")), "left").select("source", "lang", F.coalesce("rate", F.lit(0.0)).alias("rate"))
     known = known.join(renamed(goals, ("source",)), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
