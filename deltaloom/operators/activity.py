@@ -57,8 +57,8 @@ def transitions(events: DataFrame, valid: list[tuple[str, str]]) -> DataFrame:
 
 def first_rule(text: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(kind, severity) of the first rule (pattern, kind, severity) that a text matches; null if none does."""
-    kind = severity = F
-    for pattern, k, s in rules:
+    kind = severity = F.lit(None).cast("string")
+    for pattern, k, s in reversed(rules):
         hit = text.rlike(pattern)
-        kind, severity = kind.when(hit, F.lit(k)), severity.when(hit, F.lit(s))
+        kind, severity = F.when(hit, F.lit(k)).otherwise(kind), F.when(hit, F.lit(s)).otherwise(severity)
     return kind, severity

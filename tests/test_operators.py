@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 
 from deltaloom.functions.paths import glob_pattern
-from deltaloom.operators import graph, history
+from deltaloom.operators import activity, graph, history
 from deltaloom.streaming import live
 
 
@@ -101,3 +101,11 @@ def test_updates_need_their_nodes(spark):
     assert sorted(map(tuple, records.updated(nodes, new, "id", "payload").collect())) == [(1, "a", False), (2, "c", True)]
     with pytest.raises(ValueError, match="not there"):
         records.updated(nodes, new.selectExpr("id + 7 AS id", "payload"), "id", "payload")
+
+
+def test_first_rule_that_matches_counts(spark):
+    texts = spark.createDataFrame([("a b",), ("b",), ("c",), (None,)], "text string")
+    rules = [("a", "first", "high"), ("b", "second", "low")]
+    got = {r.text: (r.kind, r.severity) for r in texts.select("text", *(c.alias(n) for c, n in zip(activity.first_rule(texts.text, rules), ("kind", "severity"), strict=True))).collect()}
+    assert got == {"a b": ("first", "high"), "b": ("second", "low"), "c": (None, None), None: (None, None)}
+    assert texts.select(activity.first_rule(texts.text, [])[0].alias("kind")).where("kind IS NOT NULL").isEmpty()
