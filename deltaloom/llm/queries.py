@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licences, mixing, ngram_join, pieces, quality, sharding, vectors, warc
+from . import codes, exact_dedup, langid, licences, mixing, ngram_join, pieces, quality, sharding, tokencounts, vectors, warc, whitening
 from .common import table
 
 
@@ -129,9 +129,44 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counted(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sql() -> str:
+    """The rounds of one codebook a position, each one a table: parts p, books b0 to b4, assignments by the least distance, then index."""
+    near = """SELECT * FROM (SELECT p.row, p.vec_id, p.label, p.pos, p.part, b.entry, list_inner_product(p.part, p.part) - 2 * list_inner_product(p.part, b.part) + list_inner_product(b.part, b.part) AS apart
+  FROM p JOIN {book} b ON b.pos = p.pos) QUALIFY row_number() OVER (PARTITION BY row, pos ORDER BY apart, entry) = 1"""
+    rounds = "".join(
+        f""",
+a{i} AS MATERIALIZED ({near.format(book=f"b{i}")}),
+m{i} AS (SELECT pos, entry, list(mean ORDER BY j) AS part FROM (SELECT pos, entry, j, floor(sum(part[j]) / count(*)) AS mean FROM a{i}, range(1, 1 + len(part)) r(j) GROUP BY ALL) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b{i}.pos, b{i}.entry, coalesce(m{i}.part, b{i}.part) AS part FROM b{i} LEFT JOIN m{i} ON m{i}.pos = b{i}.pos AND m{i}.entry = b{i}.entry)"""
+        for i in range(4)
+    )
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT row, vec_id, label, pos, x[pos * (len(x) // 4) + 1 : (pos + 1) * (len(x) // 4)] AS part FROM v, range(4) r(pos)),
+b0 AS MATERIALIZED (SELECT pos, row - 1 AS entry, part FROM p WHERE row <= 256){rounds},
+a AS MATERIALIZED ({near.format(book="b4")}),
+e AS (SELECT row, vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, CAST(sum(apart) AS BIGINT) AS error FROM a GROUP BY ALL),
+h AS (SELECT sha256(string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY pos, entry, j)) AS sha FROM (SELECT pos, entry, j, part[j] AS value FROM b4, range(1, 1 + len(part)) r(j)))
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM e, h
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_sharding, op4_exact_dedup, op5_licences, op6_mixing, op7_vectors, op8_sentencepiece, op9_quality, op10_language)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_warc, op3_sharding, op4_exact_dedup, op5_licences, op6_mixing, op7_vectors, op8_sentencepiece, op9_quality, op10_language, op11_token_counts, op12_codes, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_licences": op5_sql(), "op7_vectors": OP7_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_warc": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op5_licences": op5_sql(), "op7_vectors": OP7_SQL, "op12_codes": op12_sql()}
