@@ -2,40 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.functions import paths
 from deltaloom.operators import activity, graph, history, signals
+from deltaloom.plans.registry import query
 from deltaloom.sources import tables as src
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-
 # The derived views of deltaloom.sources.tables, in SQL.
 EDGES = """ord AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 'tests/ord/' || o_orderkey || '.test' ELSE 'ord/' || o_orderkey END AS path FROM orders),
 used AS (SELECT DISTINCT path, l_partkey FROM lineitem JOIN ord ON l_orderkey = o_orderkey),
@@ -457,13 +430,6 @@ def merge_check(spark, sf_dir):
     return own.join(own.groupBy("file").agg(F.count("*").alias("n")), "file").groupBy("agent").agg(F.count_if(F.col("n") > 1).alias("shared"), F.count("*").alias("own"))
 
 
-@query("WITH l AS (SELECT event_id AS id, user_id AS \"user\", json_extract(props, '$.k')::INT AS now, lag(json_extract(props, '$.k')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT id, \"user\", CASE WHEN before IS NULL THEN 'KEY_ADDED' WHEN now IS NULL THEN 'KEY_REMOVED' ELSE 'VALUE_CHANGED' END AS category FROM l WHERE now IS DISTINCT FROM before")
-def config_diff(spark, sf_dir):
-    before = F.lag("file").over(history.W.partitionBy("user").orderBy("ts", "id"))
-    rows = live_events(spark, sf_dir).withColumn("before", before).where(~F.col("file").eqNullSafe(F.col("before")))
-    return rows.select("id", "user", F.when(F.col("before").isNull(), "KEY_ADDED").when(F.col("file").isNull(), "KEY_REMOVED").otherwise("VALUE_CHANGED").alias("category"))
-
-
 # Texts and paths
 
 
@@ -502,6 +468,3 @@ def module_match(spark, sf_dir):
 def scalar_functions(spark, sf_dir):
     camel = F.concat_ws("", F.transform(F.split("p_type", " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))))
     return src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower(F.substring_index("p_type", " ", -1)).alias("tail"), F.regexp_replace("p_name", "[^A-Za-z0-9]+", "-").alias("label"), camel.alias("camel"))
-
-
-from deltaloom.plans import records  # noqa: E402, F401  registers its queries; it uses the views above

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from deltaloom.operators import activity, graph, records, signals
-from deltaloom.plans.catalogue import EDGES, SIGNALS, VERSIONS, query
+from deltaloom.plans.catalogue import EDGES, SIGNALS, VERSIONS
+from deltaloom.plans.registry import query
 from deltaloom.sources import tables as src
 
 # Lines of an order as edges with the file they are found at, in SQL.

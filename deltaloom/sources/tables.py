@@ -95,3 +95,40 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(named("part/", "l_partkey"), F.when(F.col("l_partkey") % 11 == 0, ".md").otherwise(".go")).alias("path"),
         F.when(F.col("l_quantity") > 40, 1.05).when(F.col("l_quantity") > 25, 1.03).otherwise(1.0).alias("enriched"),
     )
+
+
+#: Types of parts, as the table has them.
+TYPES = "ECONOMY MEDIUM PROMO LARGE SMALL STANDARD".lower().split()
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path of files of five languages that the parts stand for; several parts may be one file."""
+    brand, kind, size, key = F.lower(F.translate("p_brand", "#", "")), F.lower("p_type"), F.col("p_size").cast("string"), F.col("p_partkey")
+    at = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    path = (
+        F.when(key % 5 == 0, at("svc/", brand, "/", kind, "/f", key.cast("string"), ".go"))
+        .when(key % 5 == 1, at("web/", brand, "/", kind, "/", F.when(F.col("p_size") % 3 == 0, at("m", size, ".tsx")).when(F.col("p_size") % 3 == 1, "index.ts").otherwise(at("m", size, "/index.js"))))
+        .when(key % 5 == 2, at("py/", kind, "/", F.when(F.col("p_size") % 4 == 0, "__init__").otherwise(brand), ".py"))
+        .when(key % 5 == 3, at("app/models/", kind, "/", brand, "_x", F.substring(size, 1, 1), ".rb"))
+        .otherwise(at("core/src/", brand, "/", F.when(F.col("p_size") % 4 == 0, "mod").otherwise(kind), ".rs"))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+
+
+def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """importer, source: each line of an order is an import in the file of its part; its numbers say what is imported, in the manner of the file's language."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("size"))
+    rows = lines.join(tree(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+    brand = F.concat(F.lit("brand"), (F.col("l_orderkey") % 25 + 1).cast("string"))
+    kind = F.get(F.array(*map(F.lit, TYPES)), (F.col("l_suppkey") % 6).cast("int"))
+    size, way, language = F.col("size").cast("string"), F.col("l_linenumber") % 3, F.col("l_partkey") % 5
+    at = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    pick = lambda *ways: F.when(way == 0, ways[0]).when(way == 1, ways[1]).otherwise(ways[2])
+    source = (
+        F.when(language == 0, pick(at("example/svc/", brand, "/", kind), at("other/mod/", kind), "fmt"))
+        .when(language == 1, pick(at("./m", size), at("../", kind, "/m", size), at("../../", brand, "/./", kind)))
+        .when(language == 2, pick(at("py.", kind, ".", brand), at("py.", kind, ".Name"), at(kind, ".", brand)))
+        .when(language == 3, pick(at("autoload:", F.initcap(kind), "::", F.initcap(brand), "X", F.substring(size, 1, 1)), at(kind, "/", brand, "_x1"), at("autoload:Outer::", F.initcap(kind))))
+        .otherwise(pick(at("crate::", brand, "::", kind, "::Name"), at("super::", brand, "::*"), at("mod:", kind)))
+    )
+    return rows.select(F.col("path").alias("importer"), source.alias("source"))

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from deltaloom.plans import catalogue
+from deltaloom.plans import library
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -29,10 +29,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.queries()))
+@pytest.mark.parametrize("name", sorted(library.queries()))
 def test_query_equals_its_sql(spark, duck, name):
-    got = catalogue.queries()[name](spark, SF)
-    want = duck.execute(catalogue.oracle_sql()[name])
+    got = library.queries()[name](spark, SF)
+    want = duck.execute(library.oracle_sql()[name])
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, want.fetchall())
