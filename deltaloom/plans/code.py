@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from deltaloom.operators import configs, imports, renames
+from deltaloom.operators import configs, graph, imports, merges, renames
+from deltaloom.plans.catalogue import EDGES
 from deltaloom.plans.registry import query
 from deltaloom.sources import tables as src
 
@@ -182,3 +183,85 @@ SELECT id, n, path, key_category, CASE WHEN category <> 'JSON_VALUE_CHANGED' THE
   WHEN 'retry' THEN 'RETRY_CONFIG_CHANGED' WHEN 'endpoint' THEN 'ENDPOINT_CHANGED' WHEN 'credential' THEN 'CREDENTIAL_CHANGED' ELSE category END END AS category FROM g""")
 def config_diff(spark, sf_dir):
     return configs.enriched(configs.json_changes(config_pairs(spark, sf_dir), ["id", "n"])).select("id", "n", "path", "key_category", "category")
+
+
+# Test edges
+
+
+@query(f"WITH RECURSIVE {EDGES}, c AS (SELECT src AS test, dst AS path FROM edges WHERE src LIKE 'tests/%' UNION SELECT test, dst FROM c JOIN edges ON src = path) SELECT test, path FROM c WHERE path NOT LIKE 'tests/%'")
+def test_closure(spark, sf_dir):
+    return graph.test_edges(src.edges(spark, sf_dir))
+
+
+# Merges
+
+MERGES = """sides AS (SELECT doc_id, coalesce(text, '') AS base, doc_id % 6 AS w FROM documents),
+versions AS (SELECT doc_id, base, CASE WHEN w IN (0, 3) THEN base WHEN w = 4 THEN replace(base, chr(10), chr(10) || 'x') ELSE 'left' || chr(10) || base END AS "left",
+  CASE w WHEN 1 THEN base WHEN 2 THEN base || 'right' WHEN 3 THEN base || chr(10) || 'more' WHEN 4 THEN base || chr(10) || 'end' WHEN 5 THEN 'right' || base ELSE base || '!' END AS "right" FROM sides)"""
+
+
+def text_versions(spark, sf_dir):
+    """doc_id, base, left, right: three versions of each document."""
+    base, w = F.coalesce("text", F.lit("")), F.col("doc_id") % 6
+    at = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    left = F.when(w.isin(0, 3), base).when(w == 4, F.replace(base, F.lit("\n"), F.lit("\nx"))).otherwise(at("left\n", base))
+    right = F.when(w == 1, base).when(w == 2, at(base, "right")).when(w == 3, at(base, "\nmore")).when(w == 4, at(base, "\nend")).when(w == 5, at("right", base)).otherwise(at(base, "!"))
+    return src.table(spark, sf_dir, "documents").select("doc_id", base.alias("base"), left.alias("left"), right.alias("right"))
+
+
+# Lines with their ends are what stands between line feeds, each but the last with its own; equal beginnings and ends by the first place that differs.
+@query(f"""WITH {MERGES}, parts AS (SELECT doc_id, base, "left", "right", [base, "left", "right"] AS t FROM versions),
+p AS (SELECT doc_id, base, "left", "right", list_transform(t, lambda x: list_filter(list_transform(range(1, len(string_split(x, chr(10))) + 1), lambda i: string_split(x, chr(10))[i] || CASE WHEN i < len(string_split(x, chr(10))) THEN chr(10) ELSE '' END), lambda y: y <> '')) AS p FROM parts),
+s AS (SELECT doc_id, base, "left", "right", p[1] AS b, p[k + 1] AS o, k FROM p, range(1, 3) r(k)),
+f AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(b), len(o)) + 1), lambda i: b[i] = o[i]), false) - 1, least(len(b), len(o))) AS pre FROM s),
+g AS (SELECT *, coalesce(list_position(list_transform(range(0, least(len(b), len(o)) - pre), lambda i: b[len(b) - i] = o[len(o) - i]), false) - 1, least(len(b), len(o)) - pre) AS suf FROM f),
+h AS (SELECT doc_id, any_value(base) AS base, any_value("left") AS l, any_value("right") AS r, any_value(b) AS b, max({{'s': pre, 'e': len(b) - suf, 'new': o[pre + 1 : len(o) - suf]}}) FILTER (WHERE k = 1) AS hl, max({{'s': pre, 'e': len(b) - suf, 'new': o[pre + 1 : len(o) - suf]}}) FILTER (WHERE k = 2) AS hr FROM g GROUP BY doc_id),
+d AS (SELECT *, CASE WHEN base = l THEN 'right' WHEN base = r OR l = r THEN 'left' WHEN hl.e <= hr.s THEN 'left then right' WHEN hr.e <= hl.s THEN 'right then left' ELSE 'conflict' END AS decision FROM h)
+SELECT doc_id, decision, sha256(CASE decision WHEN 'right' THEN r WHEN 'left' THEN l
+  WHEN 'left then right' THEN array_to_string(list_concat(b[:hl.s], hl.new, b[hl.e + 1 : hr.s], hr.new, b[hr.e + 1 :]), '') WHEN 'right then left' THEN array_to_string(list_concat(b[:hr.s], hr.new, b[hr.e + 1 : hl.s], hl.new, b[hl.e + 1 :]), '') END) AS merged_sha256 FROM d""")
+def merge_text(spark, sf_dir):
+    return merges.merged_texts(text_versions(spark, sf_dir)).select("doc_id", "decision", F.sha2("merged", 256).alias("merged_sha256"))
+
+
+UNITS = """turns AS (SELECT conv_id AS path, turn AS key, ['function', 'class', 'const', 'import', 'type'][(conv_id + turn) % 5 + 1] AS kind, role AS signature, coalesce(text, '') AS content, (conv_id * 5 + turn * 3) % 11 AS x, (conv_id + turn * 2) % 7 AS y FROM conversations),
+b AS (SELECT * FROM turns WHERE y <> 6),
+l AS (SELECT path, key, kind, CASE WHEN x IN (1, 2, 9) THEN 'l' || signature ELSE signature END AS signature, CASE WHEN x BETWEEN 1 AND 5 OR x = 9 THEN content || 'left' ELSE content END AS content FROM turns WHERE x <> 7),
+r AS (SELECT path, key, kind, CASE WHEN x IN (2, 3) OR y = 3 THEN 'r' || signature ELSE signature END AS signature, CASE WHEN x IN (2, 3, 4) OR y = 3 THEN content || 'right' ELSE content END AS content FROM turns WHERE x <> 8 AND x <> 9),
+j AS (SELECT coalesce(b.path, l.path, r.path) AS path, coalesce(b.key, l.key, r.key) AS key, coalesce(b.kind, l.kind, r.kind) AS kind, b.content AS bc, l.content AS lc, r.content AS rc, b.signature AS bs, l.signature AS ls, r.signature AS rs
+  FROM b FULL JOIN l ON b.path = l.path AND b.key = l.key FULL JOIN r ON coalesce(b.path, l.path) = r.path AND coalesce(b.key, l.key) = r.key),
+u AS (SELECT *, CASE
+  WHEN bc IS NULL THEN CASE WHEN lc <> rc THEN 'CONCURRENT_CREATE' END
+  WHEN lc IS NULL THEN CASE WHEN rc <> bc THEN 'DELETE_vs_MODIFY' END
+  WHEN rc IS NULL THEN CASE WHEN lc <> bc THEN 'MODIFY_vs_DELETE' END
+  WHEN lc = bc OR rc = bc THEN NULL
+  WHEN kind = 'function' THEN CASE WHEN ls <> bs AND rs <> bs AND ls <> rs THEN 'API_SIGNATURE_DIVERGED' WHEN (ls <> bs) <> (rs <> bs) THEN NULL WHEN lc <> rc THEN 'BODY_DIVERGED' END
+  WHEN lc = rc THEN NULL WHEN kind = 'const' THEN 'CONST_VALUE_CONFLICT' WHEN kind = 'import' THEN 'IMPORT_ALIAS_CONFLICT' ELSE 'BODY_DIVERGED' END AS conflict FROM j),
+m AS (SELECT *, CASE WHEN conflict IS NOT NULL THEN 'conflict' WHEN bc IS NULL THEN CASE WHEN lc IS NULL THEN 'right' ELSE 'left' END WHEN lc IS NULL OR rc IS NULL THEN 'deleted'
+  WHEN lc = bc AND rc = bc THEN 'base' WHEN rc = bc THEN 'left' WHEN lc = bc THEN 'right' WHEN kind = 'function' AND rs <> bs AND ls = bs THEN 'right' ELSE 'left' END AS decision FROM u)"""
+
+
+def unit_versions(spark, sf_dir):
+    """base, left, right: turns are the units of a conversation; some are changed, signed anew, created or deleted on a side."""
+    rows = src.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("path"), F.col("turn").alias("key"), F.get(F.array(*map(F.lit, ("function", "class", "const", "import", "type"))), ((F.col("conv_id") + F.col("turn")) % 5).cast("int")).alias("kind"),
+        F.col("role").alias("signature"), F.coalesce("text", F.lit("")).alias("content"), F.col("turn").alias("line"), F.lit(0).alias("col"),
+        ((F.col("conv_id") * 5 + F.col("turn") * 3) % 11).alias("x"), ((F.col("conv_id") + F.col("turn") * 2) % 7).alias("y"),
+    )
+    x, y = F.col("x"), F.col("y")
+    add = lambda c, when, text: F.when(when, F.concat(c, F.lit(text))).otherwise(F.col(c))
+    mark = lambda when, text: F.when(when, F.concat(F.lit(text), "signature")).otherwise(F.col("signature"))
+    left = rows.where("x <> 7").withColumns({"signature": mark(x.isin(1, 2, 9), "l"), "content": add("content", x.between(1, 5) | (x == 9), "left")})
+    right = rows.where("x <> 8 AND x <> 9").withColumns({"signature": mark(x.isin(2, 3) | (y == 3), "r"), "content": add("content", x.isin(2, 3, 4) | (y == 3), "right")})
+    return rows.where("y <> 6"), left, right
+
+
+@query(f"WITH {UNITS} SELECT path, key, kind, decision, conflict FROM m")
+def merge_units(spark, sf_dir):
+    return merges.merged_units(*unit_versions(spark, sf_dir)).drop("taken")
+
+
+@query(f"""WITH {UNITS}, t AS (SELECT path, key, conflict, CASE decision WHEN 'base' THEN bc WHEN 'left' THEN lc WHEN 'right' THEN rc END AS content FROM m)
+SELECT path, count(conflict) AS conflicts, CASE WHEN count(conflict) = 0 THEN sha256(coalesce(string_agg(content, chr(10) || chr(10) ORDER BY key), '') || chr(10)) END AS content_sha256 FROM t GROUP BY path""")
+def merge_files(spark, sf_dir):
+    files = merges.rebuilt_files(merges.merged_units(*unit_versions(spark, sf_dir)))
+    return files.select("path", "conflicts", F.sha2("content", 256).alias("content_sha256"))
