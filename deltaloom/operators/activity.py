@@ -62,3 +62,21 @@ def first_rule(text: Column, rules: list[tuple[str, str, str]]) -> tuple[Column,
         hit = text.rlike(pattern)
         kind, severity = F.when(hit, F.lit(k)).otherwise(kind), F.when(hit, F.lit(s)).otherwise(severity)
     return kind, severity
+
+
+def repo_verdicts(runs: DataFrame, failure: Column, passing: Column, selected: Column, least: float) -> DataFrame:
+    """repo, baseline, selective (mean values), fallback_rate, missed, flaky, fallbacks, verdict for runs (repo, test, event_type, value, ts, event_id).
+
+    A failure is flaky if the same test of the repository passes later; one that never does and has a value above least was missed. Verdicts: missed, then flaky, then fallback (any failure), then safe.
+    """
+    order = F.struct("ts", "event_id")
+    passed = runs.where(passing).groupBy("repo", "test").agg(F.max(order).alias("last"))  # a later pass is there if the last one is later
+    flagged = runs.withColumn("failed", failure).withColumn("at", order).join(passed, ["repo", "test"], "left")
+    later = F.coalesce(F.col("last") > F.col("at"), F.lit(False))
+    mean = lambda kind: F.round(F.avg(F.when(kind, F.col("value"))), 6)
+    rows = flagged.groupBy("repo").agg(
+        mean(passing).alias("baseline"), mean(selected).alias("selective"), F.round(F.count_if("failed") / F.count("*"), 6).alias("fallback_rate"),
+        F.count_if(F.col("failed") & ~later & (F.col("value") > least)).alias("missed"), F.count_if(F.col("failed") & later).alias("flaky"), F.count_if("failed").alias("fallbacks"),
+    )
+    verdict = F.when(F.col("missed") > 0, "missed").when(F.col("flaky") > 0, "flaky").when(F.col("fallbacks") > 0, "fallback").otherwise("safe")
+    return rows.withColumn("verdict", verdict)

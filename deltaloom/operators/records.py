@@ -91,3 +91,14 @@ def overlap(a: Column, b: Column) -> Column:
 def major(version: Column) -> Column:
     """The part of a version before the first dot, without range signs."""
     return F.split_part(F.regexp_replace(version, "^[\\^~>=<]+", ""), F.lit("."), F.lit(1))
+
+
+def primary_areas(rows: DataFrame) -> DataFrame:
+    """cluster, area for the signals (cluster, symbol, path): the commonest symbol, else the name of the one file without its ending, else the last directory that all files share."""
+    symbols = rows.where("symbol IS NOT NULL").groupBy("cluster", "symbol").agg(F.count("*").alias("n"))
+    named = symbols.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("minus"), "symbol"))["symbol"].alias("named"))  # ties: the first by name
+    files = rows.where("path IS NOT NULL").groupBy("cluster").agg(F.min("path").alias("one"), F.max("path").alias("other"))
+    single = F.when(F.col("one") == F.col("other"), F.regexp_replace(F.regexp_extract("one", "[^/]*$", 0), r"\.[^.]*$", ""))
+    shared = common_area(rows.where("path IS NOT NULL"), "cluster", "path").withColumnRenamed("area", "shared")
+    whole = rows.select("cluster").distinct().join(named, "cluster", "left").join(files, "cluster", "left").join(shared, "cluster", "left")
+    return whole.select("cluster", F.coalesce("named", single, "shared", F.lit("codebase")).alias("area"))

@@ -76,7 +76,12 @@ TAGS = (
 #: Categories whose evidence is of high or of medium quality; others are low.
 HIGH = ("FUNCTION_RENAMED", *SCHEMA, "FEATURE_FLAG_CHANGED", "CREDENTIAL_CHANGED")
 MEDIUM = (*DEPENDENCIES, "PARAMETER_ADDED", "PARAMETER_REMOVED", "API_SURFACE_CHANGED", "TIMEOUT_CHANGED", "LIMIT_CHANGED", "ENDPOINT_CHANGED")
+#: What names of test files begin or end with, and what names of configuration files end with.
+TEST_NAMES = ("_test.go", ".test.js", ".test.ts", ".spec.js", ".spec.ts", "test_", "_test.py", "_spec.rb", "_test.rb")
+CONFIG_NAMES = ("package.json", "tsconfig.json", "jest.config", "webpack.config", ".eslintrc", ".prettierrc", "Makefile", "Dockerfile", ".yaml", ".yml", ".toml", ".ini", ".env")
 COHESIVE = 0.5
+#: Tags that templates and types of clusters ask for.
+MEANT = ("test", "config", "security")
 
 
 def weighted(signals: DataFrame) -> DataFrame:
@@ -90,62 +95,73 @@ def tags_of(category: Column) -> Column:
     return F.array_compact(F.array(*(F.when(category.isin(*kinds), F.lit(tag)) for tag, kinds in TAGS)))
 
 
+def path_tags(path: Column) -> Column:
+    """test for a path that begins or ends like a test file, config for one that ends like a configuration file."""
+    either = reduce(lambda a, b: a | b, (F.endswith(path, F.lit(x)) | F.startswith(path, F.lit(x)) for x in TEST_NAMES))
+    ends = reduce(lambda a, b: a | b, (F.endswith(path, F.lit(x)) for x in CONFIG_NAMES))
+    return F.array_compact(F.array(F.when(either, "test"), F.when(ends, "config")))
+
+
 def quality_of(category: Column) -> Column:
     """Quality of a category's evidence: 3 high, 2 medium, 1 low."""
     return F.when(category.isin(*HIGH), 3).when(category.isin(*MEDIUM), 2).otherwise(1)
 
 
 def clusters(signals: DataFrame) -> DataFrame:
-    """One row for each cluster, gathered in one pass: n, files, c (sum of confidences), counts (of categories), tags (counts), and flags.
+    """One row for each cluster: n, files, kinds, c (sum of confidences), log, doc, counts of the known categories (c_NAME) and of the tags with a meaning (t_name), and the largest counts.
 
-    signals may have enriched: the product of the factors for known parameters and roles. Counts hold as many entries as
-    there are categories and tags.
+    signals have a tag, or tags (an array), and may have enriched: the product of the factors for known parameters and roles. Each signal is counted under its category, its tag and its path in one
+    aggregation, which map tasks begin; a second one brings the counts of a cluster into one row. Nothing is gathered in arrays.
     """
     enriched = F.col("enriched") if "enriched" in signals.columns else F.lit(1.0)
-    per_file = signals.groupBy("cluster", "category", "tag", "path").agg(F.count("*").alias("n"), F.sum("confidence").alias("c"), F.sum(F.ln(enriched)).alias("log"))
-    is_doc = reduce(lambda a, b: a | b, (F.endswith(F.col("path"), F.lit(x)) for x in DOCS))
-    small = per_file.groupBy("cluster", "category", "tag").agg(
-        F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("log").alias("log"), F.bool_or(is_doc).alias("doc")
-    )
-    files = per_file.groupBy("cluster").agg(F.countDistinct("path").alias("files"))
-    has = lambda kinds: F.bool_or(F.col("category").isin(*kinds))
-    rows = small.groupBy("cluster").agg(
-        F.sum("n").alias("n"), F.sum("c").cast("double").alias("c"), F.sum("log").alias("log"), F.collect_list(F.struct("category", "tag", "n")).alias("parts"),
-        F.bool_or("doc").alias("doc"), has(ADDS).alias("adds"), has(REMOVES).alias("removes"), has(CHANGES).alias("changes"), has(CONFIG).alias("config"),
-        F.bool_or(~F.col("category").isin(*CONFIG)).alias("other"), F.countDistinct("category").alias("kinds"),
+    no_log, no_c = F.lit(0.0), F.lit(0).cast(signals.schema["confidence"].dataType)
+    under = lambda what, name, c, log: F.struct(F.lit(what).alias("what"), name.alias("name"), c.alias("c"), log.alias("log"))
+    each = F.array(under("category", F.col("category"), F.col("confidence"), F.ln(enriched)), under("path", F.col("path"), no_c, no_log))
+    tags = F.col("tags") if "tags" in signals.columns else F.array("tag")
+    each = F.concat(each, F.transform(tags, lambda t: under("tag", t, no_c, no_log)))
+    counts = signals.select("cluster", F.explode(each).alias("x")).groupBy("cluster", "x.what", "x.name").agg(F.count("*").alias("k"), F.sum("x.c").alias("c"), F.sum("x.log").alias("log"))
+    of = lambda what: F.col("what") == what
+    number = lambda what, name: F.coalesce(F.sum(F.when(of(what) & (F.col("name") == name), F.col("k"))), F.lit(0).cast("long"))
+    is_doc = reduce(lambda a, b: a | b, (F.endswith(F.col("name"), F.lit(x)) for x in DOCS))
+    return counts.groupBy("cluster").agg(
+        F.sum(F.when(of("category"), F.col("k"))).alias("n"), F.count_if(of("path") & F.col("name").isNotNull()).alias("files"), F.count_if(of("category") & F.col("name").isNotNull()).alias("kinds"),
+        F.sum("c").cast("double").alias("c"), F.sum("log").alias("log"), F.coalesce(F.bool_or(of("path") & is_doc), F.lit(False)).alias("doc"),
+        F.max(F.when(of("category"), F.col("k"))).alias("most_category"), F.max(F.when(of("tag"), F.col("k"))).alias("most_tag"),
+        *(number("category", c).alias(f"c_{c}") for c in WEIGHTS), *(number("tag", t).alias(f"t_{t}") for t in MEANT),
     )
-    return rows.join(files, "cluster")
 
 
 def count_of(field: str, name: str) -> Column:
     """How many signals of the cluster have this category or tag."""
-    return F.aggregate(F.filter("parts", lambda p: p[field] == name), F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    return F.col(f"{field[0]}_{name}")
+
+
+def any_of(kinds: tuple[str, ...]) -> Column:
+    return sum_of(kinds) > 0
 
 
-def largest(field: str) -> Column:
-    """The largest number of signals of a cluster that share a category or a tag."""
-    names = F.array_distinct(F.transform("parts", lambda p: p[field]))
-    sums = F.transform(names, lambda x: F.aggregate(F.filter("parts", lambda p: p[field] == x), F.lit(0).cast("long"), lambda s, p: s + p["n"]))
-    return F.array_max(sums)
+def sum_of(kinds: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a + b, (count_of("category", c) for c in kinds))
 
 
 def cohesion_of() -> Column:
-    value = 0.3 * largest("category") / F.col("n") + 0.3 / F.greatest(F.lit(1), "files") + 0.2 * largest("tag") / F.col("n") + 0.2 * F.col("c") / F.col("n")
+    value = 0.3 * F.col("most_category") / F.col("n") + 0.3 / F.greatest(F.lit(1), "files") + 0.2 * F.coalesce("most_tag", F.lit(0)) / F.col("n") + 0.2 * F.col("c") / F.col("n")
     return F.when(F.col("n") <= 1, 1.0).otherwise(value)
 
 
 def kind_of() -> Column:
     """The type of a cluster; a test, docs or config only if nothing is added or removed."""
-    still = ~F.col("adds") & ~F.col("removes")
+    adds, removes, changes = any_of(ADDS), any_of(REMOVES), any_of(CHANGES)
+    still = ~adds & ~removes
     return (
         F.when((count_of("tag", "test") > 0) & still, "test").when(F.col("doc") & still, "docs").when((count_of("tag", "config") > 0) & still, "config")
-        .when(F.col("adds") & F.col("removes"), "refactor").when(F.col("adds") & ~F.col("changes"), "feature").when(F.col("changes") & still, "bugfix").otherwise("mixed")
+        .when(adds & removes, "refactor").when(adds & ~changes, "feature").when(changes & still, "bugfix").otherwise("mixed")
     )
 
 
 def mixed() -> Column:
     """Three categories or more, or configuration and anything else, or little cohesion."""
-    return (F.col("kinds") >= 3) | (F.col("config") & F.col("other")) | (cohesion_of() < COHESIVE)
+    return (F.col("kinds") >= 3) | (any_of(CONFIG) & (sum_of(CONFIG) < F.col("n"))) | (F.col("cohesion") < COHESIVE)
 
 
 def cohesion(signals: DataFrame) -> DataFrame:
@@ -155,7 +171,7 @@ def cohesion(signals: DataFrame) -> DataFrame:
 
 def cluster_types(signals: DataFrame) -> DataFrame:
     """cluster, kind, mixed."""
-    return clusters(signals).select("cluster", kind_of().alias("kind"), mixed().alias("mixed"))
+    return clusters(signals).withColumn("cohesion", cohesion_of()).select("cluster", kind_of().alias("kind"), mixed().alias("mixed"))
 
 
 def meets(conditions: list) -> Column:
@@ -175,7 +191,7 @@ def meets(conditions: list) -> Column:
 
 def matched(signals: DataFrame) -> DataFrame:
     """The clusters with matches: (base, priority, template) of every template all of whose conditions they meet, the best first."""
-    rows = clusters(signals).withColumns({"kind": kind_of(), "mixed": mixed(), "cohesion": cohesion_of()})
+    rows = clusters(signals).withColumns({"kind": kind_of(), "cohesion": cohesion_of()}).withColumn("mixed", mixed())
     every = F.array(*(F.when(meets(c), F.struct((-F.lit(base)).alias("minus"), F.lit(-priority).alias("back"), F.lit(name).alias("template"))) for name, priority, base, c in TEMPLATES))
     return rows.withColumn("matches", F.array_sort(F.array_compact(every)))
 

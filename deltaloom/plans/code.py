@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from deltaloom.operators import configs, graph, imports, merges, renames
-from deltaloom.plans.catalogue import EDGES
+from deltaloom.operators import clusters, configs, graph, imports, merges, renames
+from deltaloom.plans.catalogue import EDGES, SIGNALS
 from deltaloom.plans.registry import query
 from deltaloom.sources import tables as src
 
@@ -265,3 +265,53 @@ SELECT path, count(conflict) AS conflicts, CASE WHEN count(conflict) = 0 THEN sh
 def merge_files(spark, sf_dir):
     files = merges.rebuilt_files(merges.merged_units(*unit_versions(spark, sf_dir)))
     return files.select("path", "conflicts", F.sha2("content", 256).alias("content_sha256"))
+
+
+# Clusters of signals
+
+CHANGE_SIGNALS = SIGNALS.replace("SELECT l_orderkey AS cluster,", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,") + """,
+raw AS (SELECT l_orderkey % 50 AS change, l_orderkey * 10 + l_linenumber AS id, l_partkey AS p, category, confidence::DOUBLE AS confidence, tag, l_suppkey AS s, l_quantity AS q FROM signals
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, confidence) = 1),
+sig AS (SELECT change, id, CASE WHEN p % 40 < 36 THEN 'm' || p % 40 % 6 ELSE 'General' END AS module, 'd' || p % 40 || '/f' || p % 200 || '.go' AS path, 'd' || p % 40 AS dir, category, confidence,
+  CASE WHEN id % 2 = 1 THEN ['s' || s % 30, 't' || id % 9] ELSE [] END AS symbols, list_distinct(CASE WHEN q > 40 THEN [tag, 'api'] ELSE [tag] END) AS tags FROM raw),
+imports AS (SELECT DISTINCT 'd' || p_partkey % 40 || '/f' || p_partkey % 200 || '.go' AS importer, 'd' || p_partkey * 7 % 40 || '/f' || p_partkey * 7 % 200 || '.go' AS file FROM part WHERE p_partkey % 9 = 0)"""
+
+
+def change_signals(spark, sf_dir):
+    """Signals of changes (orders in fifties), and imports of the files they stand in."""
+    lines = src.signals(spark, sf_dir, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").withColumn("confidence", F.col("confidence").cast("double"))
+    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "confidence", "category", "tag")).alias("x"))
+    p, text = F.col("x.l_partkey"), lambda c: c.cast("string")
+    file = lambda p: F.concat(F.lit("d"), text(p % 40), F.lit("/f"), text(p % 200), F.lit(".go"))
+    code = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = one.select(
+        (F.col("l_orderkey") % 50).alias("change"), code.alias("id"), F.when(p % 40 < 36, F.concat(F.lit("m"), text(p % 40 % 6))).alias("module"), file(p).alias("path"), "x.category", "x.confidence",
+        F.when(code % 2 == 1, F.array(F.concat(F.lit("s"), text(F.col("x.l_suppkey") % 30)), F.concat(F.lit("t"), text(code % 9)))).otherwise(F.array().cast("array<string>")).alias("symbols"),
+        F.when(F.col("x.l_quantity") > 40, F.array("x.tag", F.lit("api"))).otherwise(F.array("x.tag")).alias("tags"),
+    )
+    part = src.table(spark, sf_dir, "part").where("p_partkey % 9 = 0")
+    return rows, part.select(file(F.col("p_partkey")).alias("importer"), file(F.col("p_partkey") * 7).alias("file"))
+
+
+@query(f"""WITH RECURSIVE {CHANGE_SIGNALS}, fl AS MATERIALIZED (SELECT DISTINCT change, module, path, dir FROM sig),
+e AS MATERIALIZED (SELECT a.change, a.module, a.path AS a, b.path AS b FROM fl a JOIN fl b ON a.change = b.change AND a.module = b.module AND (a.dir = b.dir OR (a.path, b.path) IN (SELECT (importer, file) FROM imports) OR (b.path, a.path) IN (SELECT (importer, file) FROM imports))),
+w AS (SELECT change, module, path, path AS root FROM fl UNION SELECT e.change, e.module, e.b, w.root FROM w JOIN e ON e.change = w.change AND e.module = w.module AND e.a = w.path),
+c AS (SELECT change, module, path, min(root) AS root FROM w GROUP BY ALL),
+z AS (SELECT change, module, root, count(*) AS n FROM sig JOIN c USING (change, module, path) GROUP BY ALL),
+h AS (SELECT change, module, root, CASE WHEN n > 1 THEN root ELSE coalesce(min(root) FILTER (WHERE n > 1) OVER (PARTITION BY change, module), min(root) OVER (PARTITION BY change, module)) END AS host FROM z),
+m AS MATERIALIZED (SELECT sig.*, host, row_number() OVER (PARTITION BY sig.change, sig.module, host ORDER BY id) AS i FROM sig JOIN c USING (change, module, path) JOIN h ON h.change = sig.change AND h.module = sig.module AND h.root = c.root),
+k AS (SELECT change, module, host, count(*) AS n, count(DISTINCT path) AS files, avg(confidence) AS conf FROM m GROUP BY ALL),
+kc AS (SELECT change, module, host, max(x) AS most FROM (SELECT change, module, host, category, count(*) AS x FROM m GROUP BY ALL) GROUP BY ALL),
+kt AS (SELECT change, module, host, max(x) AS most FROM (SELECT change, module, host, tag, count(*) AS x FROM (SELECT change, module, host, unnest(tags) AS tag FROM m) GROUP BY ALL) GROUP BY ALL),
+loose AS MATERIALIZED (SELECT k.change, k.module, k.host FROM k JOIN kc USING (change, module, host) JOIN kt USING (change, module, host)
+  WHERE n > 8 AND 0.3::DOUBLE * kc.most / n + 0.3::DOUBLE / files + 0.2::DOUBLE * kt.most / n + 0.2::DOUBLE * conf < 0.5),
+lm AS MATERIALIZED (SELECT m.change, m.module, m.host, i, id, {{'id': id, 'path': path, 'category': category, 'symbols': symbols, 'tags': tags}} AS x FROM m JOIN loose USING (change, module, host)),
+r AS (SELECT change, module, host, 1::BIGINT AS i, id, id AS seed, [x] AS seeds FROM lm WHERE i = 1
+  UNION ALL SELECT change, module, host, i, id, coalesce(s.id, id), CASE WHEN s IS NULL THEN list_append(seeds, x) ELSE seeds END FROM (
+    SELECT lm.change, lm.module, lm.host, lm.i, lm.id, lm.x, r.seeds, list_filter(r.seeds, lambda y: CASE WHEN y.path = lm.x.path THEN 0.4::DOUBLE ELSE 0 END
+      + 0.3::DOUBLE * (len(list_intersect(y.symbols, lm.x.symbols)) / greatest(len(y.symbols), len(lm.x.symbols), 1)) + CASE WHEN y.category = lm.x.category THEN 0.2::DOUBLE ELSE 0 END
+      + 0.1::DOUBLE * (len(list_intersect(y.tags, lm.x.tags)) / greatest(len(y.tags), len(lm.x.tags), 1)) > 0.3::DOUBLE)[1] AS s
+    FROM r JOIN lm ON lm.change = r.change AND lm.module = r.module AND lm.host = r.host AND lm.i = r.i + 1))
+SELECT m.change, m.id, m.module, m.host || CASE WHEN r.seed IS NULL THEN '' ELSE '#' || r.seed END AS cluster FROM m LEFT JOIN r ON r.change = m.change AND r.module = m.module AND r.host = m.host AND r.id = m.id""")
+def change_clusters(spark, sf_dir):
+    return clusters.clustered(*change_signals(spark, sf_dir))

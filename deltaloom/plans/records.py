@@ -271,41 +271,44 @@ def review_states(spark, sf_dir):
 # Runs of a selection
 
 
-@query("""WITH r AS (SELECT user_id AS repo, avg(value) FILTER (WHERE event_type = 'view') AS baseline, avg(value) FILTER (WHERE event_type = 'click') AS selective,
-  count_if(event_type = 'error')::DOUBLE / count(*) AS fallback_rate, count_if(event_type = 'error' AND value > 30) AS missed FROM events GROUP BY 1)
-SELECT repo, round(baseline, 6) AS baseline, round(selective, 6) AS selective, round(fallback_rate, 6) AS fallback_rate,
-  CASE WHEN missed > 0 THEN 'missed' WHEN selective > 2 * baseline THEN 'flaky' WHEN fallback_rate > 0 THEN 'fallback' ELSE 'safe' END AS verdict FROM r""")
+# A test is an hour of the day. Errors of a repository's test are failures, views that follow in the same hour are retries that pass: such a failure is flaky, any other one with a large value is missed.
+REPOS = """runs AS (SELECT user_id AS repo, hour(ts) AS test, event_type, value, ts, event_id FROM events),
+failed AS (SELECT a.repo, a.event_id, a.value, EXISTS (SELECT 1 FROM runs b WHERE b.repo = a.repo AND b.test = a.test AND b.event_type = 'view' AND (b.ts, b.event_id) > (a.ts, a.event_id)) AS passes FROM runs a WHERE a.event_type = 'error'),
+f AS (SELECT repo, count_if(NOT passes AND value > 30) AS missed, count_if(passes) AS flaky, count(*) AS errors FROM failed GROUP BY 1),
+r AS (SELECT runs.repo, count(*) AS n, avg(value) FILTER (WHERE event_type = 'view') AS baseline, avg(value) FILTER (WHERE event_type = 'click') AS selective,
+  any_value(coalesce(missed, 0)) AS missed, any_value(coalesce(flaky, 0)) AS flaky, any_value(coalesce(errors, 0)) AS fallbacks FROM runs LEFT JOIN f ON f.repo = runs.repo GROUP BY 1)"""
+
+
+@query(f"""WITH {REPOS} SELECT repo, round(baseline, 6) AS baseline, round(selective, 6) AS selective, round(fallbacks / n, 6) AS fallback_rate, missed, flaky,
+  CASE WHEN missed > 0 THEN 'missed' WHEN flaky > 0 THEN 'flaky' WHEN fallbacks > 0 THEN 'fallback' ELSE 'safe' END AS verdict FROM r""")
 def repo_stats(spark, sf_dir):
-    return repo_verdicts(spark, sf_dir)
+    return repo_verdicts(spark, sf_dir).drop("fallbacks")
 
 
 def repo_verdicts(spark, sf_dir):
-    mean = lambda kind: F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 6)
-    error = F.col("event_type") == "error"
-    rows = src.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("repo")).agg(
-        mean("view").alias("baseline"), mean("click").alias("selective"), F.round(F.count_if(error) / F.count("*"), 6).alias("fallback_rate"), F.count_if(error & (F.col("value") > 30)).alias("missed")
-    )
-    verdict = F.when(F.col("missed") > 0, "missed").when(F.col("selective") > 2 * F.col("baseline"), "flaky").when(F.col("fallback_rate") > 0, "fallback").otherwise("safe")
-    return rows.select("repo", "baseline", "selective", "fallback_rate", verdict.alias("verdict"))
-
-
-@query("""WITH r AS (SELECT user_id AS repo, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS baseline, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS selective,
-  count_if(event_type = 'error') AS errors FROM events GROUP BY 1)
-SELECT count(*) AS repos, round(avg(baseline), 4) AS baseline, round(avg(selective), 4) AS selective, bool_and(errors = 0) AS all_safe FROM r""")
+    rows = src.table(spark, sf_dir, "events").select(F.col("user_id").alias("repo"), F.hour("ts").alias("test"), "event_type", "value", "ts", "event_id")
+    return activity.repo_verdicts(rows, failure=F.col("event_type") == "error", passing=F.col("event_type") == "view", selected=F.col("event_type") == "click", least=30)
+
+
+@query(f"""WITH {REPOS}, v AS (SELECT round(baseline, 6) AS baseline, round(selective, 6) AS selective, missed = 0 AND flaky = 0 AND fallbacks = 0 AS safe FROM r)
+SELECT count(*) AS repos, round(avg(baseline), 4) AS baseline, round(avg(selective), 4) AS selective, bool_and(safe) AS all_safe FROM v""")
 def cross_repo(spark, sf_dir):
-    rows = repo_verdicts(spark, sf_dir)
     mean = lambda c: F.round(F.avg(c), 4).alias(c)
-    return rows.agg(F.count("*").alias("repos"), mean("baseline"), mean("selective"), F.bool_and(F.col("fallback_rate") == 0).alias("all_safe"))
+    return repo_verdicts(spark, sf_dir).agg(F.count("*").alias("repos"), mean("baseline"), mean("selective"), F.bool_and(F.col("verdict") == "safe").alias("all_safe"))
 
 
 # Change signals
 
 
-@query(f"""WITH {SIGNALS} SELECT cluster, path AS area FROM (SELECT cluster, path, count(*) AS n FROM signals GROUP BY 1, 2)
-QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, path) = 1""")
+# Lines of an order name their part in every third order; the others have files only.
+@query("""WITH s AS (SELECT l_orderkey AS cluster, CASE WHEN l_orderkey % 3 = 0 THEN 'name' || l_partkey % 4 END AS symbol, 'lib/' || l_suppkey % 2 || '/p' || l_partkey || '.go' AS path FROM lineitem),
+n AS (SELECT cluster, symbol FROM (SELECT cluster, symbol, count(*) AS n FROM s WHERE symbol IS NOT NULL GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, symbol) = 1),
+f AS (SELECT cluster, count(DISTINCT path) AS files, min(path) AS one, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS dirs FROM s GROUP BY 1)
+SELECT cluster, CASE WHEN symbol IS NOT NULL THEN symbol WHEN files = 1 THEN regexp_replace(regexp_extract(one, '[^/]*$', 0), '[.][^.]*$', '') WHEN dirs = 1 THEN split_part(one, '/', 2) ELSE 'lib' END AS area FROM f LEFT JOIN n USING (cluster)""")
 def primary_area(spark, sf_dir):
-    counts = src.signals(spark, sf_dir).groupBy("cluster", "path").agg(F.count("*").alias("n"))
-    return counts.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("minus"), "path"))["path"].alias("area"))
+    name = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("name"), (F.col("l_partkey") % 4).cast("string")))
+    path = F.concat(F.lit("lib/"), (F.col("l_suppkey") % 2).cast("string"), F.lit("/p"), F.col("l_partkey").cast("string"), F.lit(".go"))
+    return records.primary_areas(src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cluster"), name.alias("symbol"), path.alias("path")))
 
 
 @query("""WITH p AS (SELECT doc_id % 40 AS grp, string_split(concat_ws('/', coalesce(lang, 'none'), CASE WHEN doc_id % 4 < 2 THEN 'src' ELSE coalesce(source, 'none') END), '/') AS parts FROM documents),
@@ -334,14 +337,23 @@ def sub_intents(spark, sf_dir):
     return rows.select("cluster", "category", what.alias("what"))
 
 
-@query("""WITH c(category) AS (SELECT DISTINCT category FROM (SELECT unnest(['FUNCTION_RENAMED', 'FUNCTION_REMOVED', 'PARAMETER_REMOVED', 'CREDENTIAL_CHANGED', 'LIMIT_CHANGED', 'ENDPOINT_CHANGED', 'MIGRATION_ADDED', 'FILE_ADDED']) AS category))
-SELECT category, CASE category WHEN 'FUNCTION_RENAMED' THEN 'api' WHEN 'FUNCTION_REMOVED' THEN 'breaking' WHEN 'PARAMETER_REMOVED' THEN 'api,breaking' WHEN 'CREDENTIAL_CHANGED' THEN 'security'
-  WHEN 'LIMIT_CHANGED' THEN 'tuning' WHEN 'ENDPOINT_CHANGED' THEN 'config' WHEN 'MIGRATION_ADDED' THEN 'schema' ELSE '' END AS tags,
-  CASE category WHEN 'FUNCTION_RENAMED' THEN 3 WHEN 'CREDENTIAL_CHANGED' THEN 3 WHEN 'MIGRATION_ADDED' THEN 3 WHEN 'PARAMETER_REMOVED' THEN 2 WHEN 'LIMIT_CHANGED' THEN 2 WHEN 'ENDPOINT_CHANGED' THEN 2 ELSE 1 END AS quality FROM c""")
+@query(f"""WITH {SIGNALS}, p AS (SELECT category, CASE tag WHEN 'test' THEN replace(path, '.go', '_test.go') WHEN 'config' THEN replace(path, '.md', '.yaml') WHEN 'api' THEN 'test_' || path ELSE path END AS path FROM signals),
+g AS (SELECT category, regexp_matches(path, '_test[.]go$|^test_') AS of_test, regexp_matches(path, '[.]yaml$') AS of_config, count(*) AS n FROM p GROUP BY ALL)
+SELECT category, of_test, of_config, n, array_to_string(list_filter([
+  CASE WHEN category IN ('API_SURFACE_CHANGED', 'PARAMETER_ADDED', 'PARAMETER_REMOVED', 'FUNCTION_RENAMED') THEN 'api' END,
+  CASE WHEN category IN ('FUNCTION_REMOVED', 'PARAMETER_REMOVED', 'DEPENDENCY_REMOVED', 'SCHEMA_FIELD_REMOVED') THEN 'breaking' END, CASE WHEN category = 'CREDENTIAL_CHANGED' THEN 'security' END,
+  CASE WHEN category IN ('TIMEOUT_CHANGED', 'LIMIT_CHANGED', 'RETRY_CONFIG_CHANGED') THEN 'tuning' END, CASE WHEN category = 'FEATURE_FLAG_CHANGED' THEN 'feature-flag' END,
+  CASE WHEN category = 'ENDPOINT_CHANGED' THEN 'config' END, CASE WHEN category LIKE 'SCHEMA_FIELD_%' OR category = 'MIGRATION_ADDED' THEN 'schema' END,
+  CASE WHEN of_test THEN 'test' END, CASE WHEN of_config THEN 'config' END], lambda x: x IS NOT NULL), ',') AS tags,
+  CASE WHEN category LIKE 'SCHEMA_FIELD_%' OR category IN ('FUNCTION_RENAMED', 'MIGRATION_ADDED', 'FEATURE_FLAG_CHANGED', 'CREDENTIAL_CHANGED') THEN 3
+    WHEN category LIKE 'DEPENDENCY_%' OR category LIKE 'PARAMETER_%' OR category IN ('API_SURFACE_CHANGED', 'TIMEOUT_CHANGED', 'LIMIT_CHANGED', 'ENDPOINT_CHANGED') THEN 2 ELSE 1 END AS quality FROM g""")
 def tags_and_quality(spark, sf_dir):
-    names = ["FUNCTION_RENAMED", "FUNCTION_REMOVED", "PARAMETER_REMOVED", "CREDENTIAL_CHANGED", "LIMIT_CHANGED", "ENDPOINT_CHANGED", "MIGRATION_ADDED", "FILE_ADDED"]
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("category"))
-    return rows.select("category", F.array_join(signals.tags_of(F.col("category")), ",").alias("tags"), signals.quality_of(F.col("category")).alias("quality"))
+    tag, path = F.col("tag"), F.col("path")
+    named = F.when(tag == "test", F.replace(path, F.lit(".go"), F.lit("_test.go"))).when(tag == "config", F.replace(path, F.lit(".md"), F.lit(".yaml"))).when(tag == "api", F.concat(F.lit("test_"), path)).otherwise(path)
+    rows = src.signals(spark, sf_dir).select("category", signals.path_tags(named).alias("own"))
+    rows = rows.groupBy("category", "own").agg(F.count("*").alias("n"))
+    of = lambda x: F.array_contains("own", x).alias(f"of_{x}")
+    return rows.select("category", of("test"), of("config"), "n", F.array_join(F.concat(signals.tags_of(F.col("category")), "own"), ",").alias("tags"), signals.quality_of(F.col("category")).alias("quality"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN regexp_replace(a, '^[\\^~>=<]+', '') <> '' AND string_split(regexp_replace(a, '^[\\^~>=<]+', ''), '.')[1] <> string_split(b, '.')[1] THEN 'config,breaking' ELSE 'config' END AS tags

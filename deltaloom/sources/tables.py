@@ -84,8 +84,8 @@ KINDS = (
 ).split()
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cluster, category, confidence, tag, path, enriched (factor of known parameters or roles) of change signals."""
+def signals(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """cluster, category, confidence, tag, path, enriched (factor of known parameters or roles) of change signals, and more columns of their lines."""
     lines = table(spark, sf_dir, "lineitem")
     kind = (F.col("l_orderkey") * 3 + F.floor(F.col("l_linenumber") / 3)) % len(KINDS)
     tags = F.array(*map(F.lit, ("breaking", "api", "config", "test", "security")))
@@ -93,7 +93,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("cluster"), F.get(F.array(*map(F.lit, KINDS)), kind.cast("int")).alias("category"),
         F.round(1 - F.col("l_discount"), 2).cast("decimal(6,2)").alias("confidence"), F.get(tags, (F.col("l_suppkey") % 5).cast("int")).alias("tag"),
         F.concat(named("part/", "l_partkey"), F.when(F.col("l_partkey") % 11 == 0, ".md").otherwise(".go")).alias("path"),
-        F.when(F.col("l_quantity") > 40, 1.05).when(F.col("l_quantity") > 25, 1.03).otherwise(1.0).alias("enriched"),
+        F.when(F.col("l_quantity") > 40, 1.05).when(F.col("l_quantity") > 25, 1.03).otherwise(1.0).alias("enriched"), *more,
     )
 
 
