@@ -127,12 +127,13 @@ def measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Trees | None:
-    """From at most so many labelled documents that are not held out."""
+    """From at most so many labelled documents that are not held out; of rows that repeat an id, the one with the least statistics counts."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.avg("quality").cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
-    rows = measured(docs.join(F.broadcast(known), "doc_id"), [F.col("doc_id"), F.col("y")]).collect()  # `most` documents, or repeats of them
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.statistics))[: 2 * most]
+    rows = measured(docs.join(F.broadcast(known), "doc_id"), [F.col("doc_id"), F.col("y")])
+    rows = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("statistics").alias("statistics")).collect()  # `most` documents
+    rows = sorted(rows, key=lambda r: r.doc_id)
     if not rows:
         return None
     return grow(np.array([r.statistics for r in rows]), np.clip(np.array([r.y for r in rows]), 0, 1))

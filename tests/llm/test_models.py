@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -120,3 +121,30 @@ def test_trees_walk_like_a_row_at_a_time():
                 k = 2 * k + 1 + int(row[f[k]] > c[k])
             total += leaf[k - 7]
         assert np.isclose(score, 1 / (1 + np.exp(-total)))
+
+
+def test_quality_equals_a_slow_version(spark):
+    """Labels are averaged, repeated rows count once, each tree is walked a row at a time."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "GAMMA!!", "1234", "\n", "x" * 40], rng.integers(1, 60))) for _ in range(120)] + ["", None, "long " * 60_000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "another text of three")] * 400
+    marks = [(i, i % 2) for i in range(0, 120)] + [(4, 1), (5, None), (None, 1), (900, 1)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {(r.doc_id, r.held_out): (r.score, r.predicted) for r in quality.scored(docs.where("doc_id <> 3 OR text LIKE 'another%'"), labels).collect()}
+    by_id = {i: t for i, t in rows}
+    y = {}
+    for i, q in marks:
+        if i is not None and q is not None and i in by_id and zlib.crc32(str(i).encode()) % 5:
+            y.setdefault(i, []).append(q)
+    trees = quality.grow(np.array([quality.statistics(by_id[i]) for i in sorted(y)]), np.array([sum(y[i]) / len(y[i]) for i in sorted(y)], float))
+    for (i, held), (score, predicted) in got.items():
+        assert held == (zlib.crc32(str(i).encode()) % 5 == 0)
+        x, total = quality.statistics(by_id[i]), trees.base
+        for features, cuts, leaves in zip(trees.features, trees.cuts, trees.leaves, strict=True):
+            node = 0
+            while node < len(features):
+                node = 2 * node + 1 + int(x[features[node]] > cuts[node])
+            total += leaves[node - len(features)]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9 and predicted == int(score >= 0.3)
+    assert len(got) == len(by_id)
