@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,12 +80,77 @@ def lines_owned(ranges: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: Lines of a file that one task sweeps at once.
+STRETCH = 100_000
+
+
+class Later:
+    """Authors of edits of the same time and number: the greater one comes first."""
+
+    def __init__(self, author: tuple):
+        self.author = author
+
+    def __lt__(self, other: Later) -> bool:
+        return self.author > other.author
+
+
+def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges in order of file, stretch and start as islands of the latest edit; the edits that are open at a line are all that is held."""
+    names = ("file", "start_line", "end_line", "author_type", "agent")
+    at, line, active, schema = None, 0, [], None
+
+    def emit(upto: int | None) -> None:
+        nonlocal line
+        while active and (upto is None or line < upto):
+            _, _, last, end = active[0]
+            if end < line:
+                heapq.heappop(active)
+                continue
+            stop = end if upto is None else min(end, upto - 1)
+            if out and out[-1][0] == at[0] and out[-1][2] == line - 1 and out[-1][3:] == list(last.author) and line % STRETCH:
+                out[-1][2] = stop
+            else:
+                out.append([at[0], line, stop, *last.author])
+            line = stop + 1
+
+    for b in batches:
+        schema, out = pa.schema([pa.field(n, b.schema.field(n).type) for n in names]), []
+        for file, stretch, start, end, ts, seq, kind, agent in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (file, stretch) != at:
+                if at:
+                    emit(None)
+                at, line = (file, stretch), start
+                active.clear()
+            emit(start)
+            line = max(line, start) if active else start
+            heapq.heappush(active, (-ts, -seq, Later((kind, agent)), end))
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=schema)
+    out = []
+    if at:
+        emit(None)
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=schema)
+
+
 def consolidated(ranges: DataFrame) -> DataFrame:
-    """file, start_line, end_line, author_type, agent: the last writer of each line, runs of the same author as one range."""
-    lines = ranges.select("file", F.explode(F.sequence("start_line", "end_line")).alias("line"), F.struct("ts", "seq", "author_type", "agent").alias("edit"))
-    last = lines.groupBy("file", "line").agg(F.max("edit").alias("edit")).select("file", "line", "edit.author_type", "edit.agent")
-    runs = last.withColumn("run", F.col("line") - F.row_number().over(W.partitionBy("file", "author_type", "agent").orderBy("line")))
-    return runs.groupBy("file", "author_type", "agent", "run").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line")).drop("run")
+    """file, start_line, end_line, author_type, agent: the last writer of each line, runs of the same author as one range.
+
+    A file is cut into stretches of lines, so that a large one is swept by many tasks. A sweep never lists lines: it goes from one start or end of a range
+    to the next and holds the edits that are open there. Islands that end with a batch or a stretch are joined to those that go on behind them.
+    """
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    rows = ranges.where("file IS NOT NULL AND start_line <= end_line").withColumn("stretch", F.explode(F.sequence(stretch("start_line"), stretch("end_line"))))
+    first, last = F.col("stretch") * STRETCH, (F.col("stretch") + 1) * STRETCH - 1
+    rows = rows.select(
+        "file", "stretch", F.greatest("start_line", first).cast("long").alias("start_line"), F.least("end_line", last).cast("long").alias("end_line"),
+        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62))).alias("ts"), F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 62))).alias("seq"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("author_type", "agent")),
+    )
+    types = dict(rows.dtypes)
+    ordered = rows.repartition("file", "stretch").sortWithinPartitions("file", "stretch", "start_line", "end_line")
+    islands = ordered.mapInArrow(swept, ", ".join(f"{c} {types[c]}" for c in ("file", "start_line", "end_line", "author_type", "agent")))
+    by = W.partitionBy("file", "author_type", "agent").orderBy("start_line")
+    new = F.coalesce(F.col("start_line") > F.lag("end_line").over(by) + 1, F.lit(True))
+    runs = islands.withColumn("run", F.sum(new.cast("int")).over(by))
+    return runs.groupBy("file", "author_type", "agent", "run").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line")).drop("run")
 
 
 def not_overlapping(old: DataFrame, new: DataFrame) -> DataFrame:
