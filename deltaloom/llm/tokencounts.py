@@ -26,6 +26,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,11 +37,13 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import small_batches, tidy
 
-#: Entries of the broadcast table and of a summary, entries of half a worker's cache, longest pre-token (bytes) that either holds.
-TABLE, CACHE, LONGEST = 32_768, 131_072, 64
+#: Entries of the broadcast table, of a task's summary and of half a worker's cache, longest pre-token (bytes) that they hold.
+TABLE, SUMMARY, CACHE, LONGEST = 131_072, 32_768, 262_144, 64
 #: Bytes of a text that are split at once, summaries that the driver merges.
 SLICE, LAST = 1 << 20, 8
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: ASCII letters with marks behind them: two pre-tokens of a vocabulary that parts letters from the rest.
+MARKED = re.compile(rb"([A-Za-z]+)([,.;:!?]+)")
 #: What a worker holds from task to task: tables by their key, caches by the path of the vocabulary.
 TABLES: dict[str, dict[bytes, int]] = {}
 CACHES: dict[str, Cache] = {}
@@ -57,57 +60,79 @@ def slices(text: bytes) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def whole_text_length(path: str) -> Callable[[str], int]:
-    """Number of tokens of a text by the library, without tokens that are not in the text."""
+def library(path: str):
+    """The library's tokenizer for the file at path."""
     if path.endswith(".model"):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda text: len(model.encode(text))
+        return sentencepiece.SentencePieceProcessor(model_file=path)
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda text: len(tokenizer.encode(text, add_special_tokens=False))
+    return tokenizer
+
+
+def whole_text_length(path: str) -> Callable[[str], int]:
+    """Number of tokens of a text by the library, without tokens that are not in the text."""
+    own = library(path)
+    if path.endswith(".model"):
+        return lambda text: len(own.encode(text))
+    return lambda text: len(own.encode(text, add_special_tokens=False))
+
+
+class Form(NamedTuple):
+    """Whether white space always ends a token and is no token; whether a run of ASCII letters is, in lower case, one word of the model, whatever stands beside it."""
 
+    parted: bool
+    letters: bool
 
-def parted_by_space(path: str) -> bool:
-    """Whether white space always ends a token and is no token: the first pre-tokenizer keeps only matches, none of which holds white space.
 
-    True only for forms that are known to do so. Special tokens must not take white space in at their sides or hold it.
-    """
+def form(path: str) -> Form:
+    """Only forms that are known to be so count. Special tokens must not take white space in at their sides or hold it."""
     if not path.endswith(".json"):
-        return False
+        return Form(False, False)
     with open(path, encoding="utf-8") as f:
         rules = json.load(f)
     before = rules.get("pre_tokenizer") or {}
-    first = before["pretokenizers"][0] if before.get("type") == "Sequence" else before
+    first, *others = before["pretokenizers"] if before.get("type") == "Sequence" else [before]
     kept = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
-    pattern = first.get("pattern", {}).get("Regex", " ") if kept else " "
     # Fixed value: alternatives of letters, digits and the rest; none matches white space.
-    known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    known = kept and first.get("pattern", {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     steps = (rules.get("normalizer") or {}).get("normalizers", [rules.get("normalizer") or {"type": "NFC"}])
-    special = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in rules.get("added_tokens", []))
     plain = all(s["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (s["type"], s["pattern"], s["content"]) == ("Replace", {"Regex": r"\s+"}, " ") for s in steps)
-    return bool((pattern == known or first.get("type") in ("Whitespace", "WhitespaceSplit")) and special and plain)
+    special = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in rules.get("added_tokens", []))
+    parted = bool((known or first.get("type") in ("Whitespace", "WhitespaceSplit")) and special and plain)
+    bytewise = all((p["type"], p["add_prefix_space"], p["use_regex"]) == ("ByteLevel", False, False) for p in others)
+    unmarked = all(re.search(r"[^A-Za-z,.;:!?]", t["content"]) for t in rules.get("added_tokens", []))  # no special token lies within letters and marks
+    return Form(parted, bool(parted and known and others and bytewise and unmarked and any(s["type"] == "Lowercase" for s in steps)))
 
 
 class Cache:
     """Lengths of rare pre-tokens in two generations: what is asked for stays, the rest goes when the younger one is full."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, letters: bool = False):
         self.encode = whole_text_length(path)
+        self.model = library(path).model if letters else None
         self.young: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
 
+    def encoded(self, word: bytes) -> int:
+        """By the library: its model alone for a word of letters, the parts of a word with marks, the whole tokenizer for others."""
+        if self.model and word.isalpha():
+            return len(self.model.tokenize(word.lower().decode("ascii")))
+        if self.model and (parts := MARKED.fullmatch(word)):
+            return self.length(parts[1]) + self.length(parts[2])
+        return self.encode(word.decode("utf-8"))
+
     def length(self, word: bytes) -> int:
         n = self.young.get(word)
         if n is None:
             n = self.old.get(word)
             if n is None:
-                n = self.encode(word.decode("utf-8"))
+                n = self.encoded(word)
             if len(word) <= LONGEST:
                 if len(self.young) >= CACHE:
                     self.old, self.young = self.young, {}
@@ -142,13 +167,13 @@ def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in texts_of(b):
             for part in slices(text):
                 counts.update(part.split())
-                if len(counts) > 8 * TABLE:
-                    counts = heaviest(counts, TABLE)
-    yield row_of(counts)
+                if len(counts) > 16 * SUMMARY:
+                    counts = heaviest(counts, 2 * SUMMARY)
+    yield row_of(counts, SUMMARY)
 
 
-def row_of(counts: Counter) -> pa.RecordBatch:
-    top = heaviest(Counter({w: n for w, n in counts.items() if len(w) <= LONGEST}), TABLE)
+def row_of(counts: Counter, most: int) -> pa.RecordBatch:
+    top = heaviest(Counter({w: n for w, n in counts.items() if len(w) <= LONGEST}), most)
     return pa.RecordBatch.from_arrays([pa.array([list(top)], pa.list_(pa.binary())), pa.array([list(top.values())], pa.list_(pa.int64()))], names=["words", "counts"])
 
 
@@ -158,9 +183,9 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for words, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             counts.update(dict(zip(words, n, strict=True)))
-            if len(counts) > 8 * TABLE:
+            if len(counts) > 4 * TABLE:
                 counts = heaviest(counts, TABLE)
-    yield row_of(counts)
+    yield row_of(counts, TABLE)
 
 
 def frequent(texts: DataFrame) -> list[bytes]:
@@ -174,10 +199,10 @@ def frequent(texts: DataFrame) -> list[bytes]:
     return list(heaviest(counts, TABLE))
 
 
-def lengths_by(table: Broadcast | None, path: str) -> Callable[[bytes], int]:
+def lengths_by(table: Broadcast | None, path: str, letters: bool) -> Callable[[bytes], int]:
     """A worker's counter of tokens of one text."""
     if path not in CACHES:
-        CACHES[path] = Cache(path)
+        CACHES[path] = Cache(path, letters)
     cache = CACHES[path]
     if table is None:
         return lambda text: cache.encode(text.decode("utf-8"))
@@ -195,14 +220,15 @@ def counted(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     small_batches(spark)
     rows = docs.select("doc_id", "text")
     table = None
-    if parted_by_space(path):
+    kind = form(path)
+    if kind.parted:
         words = frequent(rows.select("text"))
-        size = whole_text_length(path)
-        lengths = array("L", (size(w.decode("utf-8")) for w in words))
+        encoded = Cache(path, kind.letters).encoded
+        lengths = array("L", map(encoded, words))
         table = spark.sparkContext.broadcast((uuid.uuid4().hex, b" ".join(words), lengths.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length = lengths_by(table, path)
+        length = lengths_by(table, path, kind.letters)
         for b in batches:
             n = pa.array([length(t) for t in texts_of(b)], pa.int64())
             size = pc.fill_null(pc.binary_length(b.column(1)).cast(pa.int64()), 0)

@@ -30,6 +30,8 @@ def library(path=WORDS):
 def test_runs_between_white_space_are_independent(text):
     whole = library.__dict__.setdefault("whole", library())
     assert sum(whole(w.decode()) for w in text.encode().split()) == whole(text)
+    cache = library.__dict__.setdefault("cache", tokencounts.Cache(WORDS, letters=True))
+    assert sum(map(cache.length, text.encode().split())) == whole(text)
 
 
 def test_slices_end_at_white_space_and_lose_nothing(monkeypatch):
@@ -57,16 +59,16 @@ def test_other_vocabularies_are_encoded_whole(spark):
     docs = spark.createDataFrame([(1, " a  b the cat"), (2, None), (3, "a\nb")], "doc_id long, text string")
     for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
         size = tokencounts.whole_text_length(tokenizer_path(name))
-        assert not tokencounts.parted_by_space(tokenizer_path(name))
+        assert tokencounts.form(tokenizer_path(name)) == (False, False)
         assert {r.doc_id: r.n_tokens for r in tokencounts.counted(docs, tokenizer_path(name)).collect()} == {1: size(" a  b the cat"), 2: size(""), 3: size("a\nb")}
-    assert tokencounts.parted_by_space(WORDS)
+    assert tokencounts.form(WORDS) == (True, True)
 
 
 def test_small_tables_and_caches_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(tokencounts, "CACHE", 3)
-    cache = tokencounts.Cache(WORDS)
+    cache = tokencounts.Cache(WORDS, letters=True)
     whole = library()
-    words = [f"word{i % 9}x{i % 5}" for i in range(200)]
+    words = [f"word{i % 9}x{i % 5}" for i in range(200)] + ["Word,", "WORD", "word's", "don't,", "a.b", "end...", "<|endoftext|>", "x<|startoftext|>,", "Supercalifragilistic!?"]
     assert [cache.length(w.encode()) for w in words] == [whole(w) for w in words]
     assert len(cache.young) <= 3
 
