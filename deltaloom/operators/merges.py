@@ -46,6 +46,13 @@ def merged_texts(versions: DataFrame) -> DataFrame:
     return v.select(*versions.columns, "decision", text.alias("merged"))
 
 
+def sync_events(versions: DataFrame) -> DataFrame:
+    """The rows (base, left: ours, right: theirs) with event: skip for equal contents, receive or push if one side alone changed, merge or conflict by what the lines allow."""
+    kind = F.col("decision")
+    event = F.when(F.col("left").eqNullSafe(F.col("right")), "skip").when(kind == "right", "receive").when(kind == "left", "push").when(kind == "conflict", "conflict").otherwise("merge")
+    return merged_texts(versions).withColumn("event", event)
+
+
 def merged_units(base: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """path, key, kind, decision, conflict, taken for units (path, key, kind, signature, content, line, col): taken is the unit that stays, null if none does.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.operators import ignore, resolver, selection
 from deltaloom.plans.registry import query
+from deltaloom.sources import packs
 from deltaloom.sources import tables as src
 
 # Names
@@ -149,3 +150,18 @@ def coverage_ingest(spark, sf_dir):
 @query("SELECT DISTINCT l_orderkey AS report, CASE WHEN l_orderkey % 8 = 7 THEN 'nyc' END AS format FROM lineitem WHERE l_orderkey % 4 = 3")
 def coverage_rejects(spark, sf_dir):
     return selection.covered_lines(reports(spark, sf_dir))[1]
+
+
+# Objects
+
+
+@query("""WITH c AS (SELECT DISTINCT coalesce(text, '') AS content FROM documents WHERE text IS NOT NULL UNION SELECT html FROM pages WHERE html IS NOT NULL)
+SELECT sha256(content) AS digest, strlen(content)::BIGINT AS length, sha256(content) AS content_sha256 FROM c""")
+def object_packs(spark, sf_dir):
+    """Texts and pages written as packs, pages twice, and read back."""
+    path = src.new_folder(spark)
+    pages = src.table(spark, sf_dir, "pages").select(F.col("html").alias("content"))
+    packs.stored(src.table(spark, sf_dir, "documents").select(F.col("text").alias("content")), path)
+    packs.stored(pages, path)
+    packs.stored(pages, path)
+    return packs.objects(spark, path).select("digest", "length", F.sha2("content", 256).alias("content_sha256"))

@@ -196,7 +196,7 @@ def test_closure(spark, sf_dir):
 # Merges
 
 MERGES = """sides AS (SELECT doc_id, coalesce(text, '') AS base, doc_id % 6 AS w FROM documents),
-versions AS (SELECT doc_id, base, CASE WHEN w IN (0, 3) THEN base WHEN w = 4 THEN replace(base, chr(10), chr(10) || 'x') ELSE 'left' || chr(10) || base END AS "left",
+versions AS (SELECT doc_id, base, CASE WHEN w IN (0, 3) THEN base WHEN w = 4 THEN replace(base, chr(10), chr(10) || 'x') WHEN w = 5 THEN 'left' || base ELSE 'left' || chr(10) || base END AS "left",
   CASE w WHEN 1 THEN base WHEN 2 THEN base || 'right' WHEN 3 THEN base || chr(10) || 'more' WHEN 4 THEN base || chr(10) || 'end' WHEN 5 THEN 'right' || base ELSE base || '!' END AS "right" FROM sides)"""
 
 
@@ -204,7 +204,7 @@ def text_versions(spark, sf_dir):
     """doc_id, base, left, right: three versions of each document."""
     base, w = F.coalesce("text", F.lit("")), F.col("doc_id") % 6
     at = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    left = F.when(w.isin(0, 3), base).when(w == 4, F.replace(base, F.lit("\n"), F.lit("\nx"))).otherwise(at("left\n", base))
+    left = F.when(w.isin(0, 3), base).when(w == 4, F.replace(base, F.lit("\n"), F.lit("\nx"))).when(w == 5, at("left", base)).otherwise(at("left\n", base))
     right = F.when(w == 1, base).when(w == 2, at(base, "right")).when(w == 3, at(base, "\nmore")).when(w == 4, at(base, "\nend")).when(w == 5, at("right", base)).otherwise(at(base, "!"))
     return src.table(spark, sf_dir, "documents").select("doc_id", base.alias("base"), left.alias("left"), right.alias("right"))
 
@@ -223,6 +223,15 @@ def merge_text(spark, sf_dir):
     return merges.merged_texts(text_versions(spark, sf_dir)).select("doc_id", "decision", F.sha2("merged", 256).alias("merged_sha256"))
 
 
+@query(f"""WITH {MERGES} SELECT doc_id, CASE WHEN "left" = "right" THEN 'skip' WHEN base = "left" THEN 'receive' WHEN base = "right" THEN 'push' WHEN doc_id % 6 IN (2, 4) THEN 'merge' ELSE 'conflict' END AS event FROM versions
+WHERE doc_id % 6 <> 4 AND contains(base, chr(10)) AND length(string_split(base, chr(10))[1]) > 0 AND length(string_split(base, chr(10))[-1]) > 0""")
+def sync_events(spark, sf_dir):
+    rows = text_versions(spark, sf_dir).where("doc_id % 6 <> 4")
+    lines = F.split("base", "\n")
+    rows = rows.where(F.col("base").contains("\n") & (F.length(lines[0]) > 0) & (F.length(F.element_at(lines, -1)) > 0))
+    return merges.sync_events(rows).select("doc_id", "event")
+
+
 UNITS = """turns AS (SELECT conv_id AS path, turn AS key, ['function', 'class', 'const', 'import', 'type'][(conv_id + turn) % 5 + 1] AS kind, role AS signature, coalesce(text, '') AS content, (conv_id * 5 + turn * 3) % 11 AS x, (conv_id + turn * 2) % 7 AS y FROM conversations),
 b AS (SELECT * FROM turns WHERE y <> 6),
 l AS (SELECT path, key, kind, CASE WHEN x IN (1, 2, 9) THEN 'l' || signature ELSE signature END AS signature, CASE WHEN x BETWEEN 1 AND 5 OR x = 9 THEN content || 'left' ELSE content END AS content FROM turns WHERE x <> 7),

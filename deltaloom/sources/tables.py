@@ -13,14 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table written to the folder of ``spark.checkpoint.dir`` and read back, so that a loop's plan does not grow."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new name below the folder of ``spark.checkpoint.dir``; where the session names none, as in tests, below a temporary one that it is set to."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table written to the folder of ``spark.checkpoint.dir`` and read back, so that a loop's plan does not grow."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
