@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from deltaloom.sources.tables import settled
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str], nth: int = 1) -> DataFrame:
     """The nth latest row of each key by the order columns."""
@@ -70,6 +72,55 @@ def unit_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     )
 
 
+def symbol_diff(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path, name, action, change of the symbols (path, name, kind, signature, value) that are added, removed or modified; names are unique within a path.
+
+    A changed signature is API_SURFACE_CHANGED; with the same one, a changed value of a variable or constant is CONSTANT_UPDATED. Other symbols are as they were.
+    """
+    side = lambda df, c: df.select("path", "name", F.struct("kind", "signature", "value").alias(c))
+    rows = side(before, "b").join(side(after, "a"), ["path", "name"], "full")
+    b, a = F.col("b"), F.col("a")
+    valued = a["kind"].isin("variable", "const") & ~a["value"].eqNullSafe(b["value"])
+    change = F.when(a.isNull() | b.isNull(), F.lit(None)).when(~a["signature"].eqNullSafe(b["signature"]), "API_SURFACE_CHANGED").when(valued, "CONSTANT_UPDATED")
+    rows = rows.select("path", "name", F.when(b.isNull(), "added").when(a.isNull(), "removed").when(change.isNotNull(), "modified").alias("action"), change.alias("change"))
+    return rows.where("action IS NOT NULL")
+
+
+#: Operators whose change is a change of a condition.
+OPERATORS = r"===|!==|==|!=|<=|>=|&&|\|\||<|>"
+
+
+def near_pairs(before: DataFrame, after: DataFrame, lines: int = 2, columns: int | None = None) -> DataFrame:
+    """file, type, before_id, after_id, old, new: nodes (file, type, id, line, col, text) of the same file and type at most so many lines (and columns) apart with different texts.
+
+    Joined on stretches of lines, so that only neighbours meet. Every such pair is a result of its own.
+    """
+    width = lines + 1
+    own = before.select("file", "type", F.col("id").alias("before_id"), F.col("line").alias("x"), F.col("col").alias("p"), F.col("text").alias("old"), F.explode(F.array(*(F.floor(F.col("line") / width) + k for k in (-1, 0, 1)))).alias("stretch"))
+    new = after.select("file", "type", F.col("id").alias("after_id"), F.col("line").alias("y"), F.col("col").alias("q"), F.col("text").alias("new"), F.floor(F.col("line") / width).alias("stretch"))
+    near = own.join(new, ["file", "type", "stretch"]).where((F.abs(F.col("x") - F.col("y")) <= lines) & (F.col("old") != F.col("new")))
+    near = near if columns is None else near.where(F.abs(F.col("p") - F.col("q")) <= columns)
+    return near.select("file", "type", "before_id", "after_id", "old", "new")
+
+
+def condition_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The near pairs of conditions whose operators or numbers differ."""
+    parts = lambda c, pattern: F.regexp_extract_all(F.col(c), F.lit(pattern), F.lit(0))
+    differ = lambda pattern: parts("old", pattern) != parts("new", pattern)
+    return near_pairs(before, after).where(differ(OPERATORS) | differ(r"[0-9]+(?:\.[0-9]+)?"))
+
+
+def merge_check(changes: DataFrame, links: DataFrame) -> DataFrame:
+    """agent, own, shared, related for changes (agent, file): files of an agent, those that others changed as well, and files one link (a, b, either way) away that others changed and it did not."""
+    mine = settled(changes.where("agent IS NOT NULL AND file IS NOT NULL").select("agent", "file").distinct())
+    many = mine.groupBy("file").agg(F.count("*").alias("agents"))
+    own = mine.join(many, "file").groupBy("agent").agg(F.count("*").alias("own"), F.count_if(F.col("agents") > 1).alias("shared"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    near = mine.join(both.withColumnRenamed("a", "file"), "file").select("agent", F.col("b").alias("file")).distinct().join(mine, ["agent", "file"], "left_anti")
+    related = near.join(many, "file").groupBy("agent").agg(F.count("*").alias("related"))  # whoever changed it is another agent
+    return own.join(related, "agent", "left").select("agent", "own", "shared", F.coalesce("related", F.lit(0).cast("long")).alias("related"))
+
+
 def lines_owned(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Lines in all, by AI and by people, and agents, for each key."""
     n = F.col("end_line") - F.col("start_line") + 1

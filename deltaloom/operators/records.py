@@ -102,3 +102,27 @@ def primary_areas(rows: DataFrame) -> DataFrame:
     shared = common_area(rows.where("path IS NOT NULL"), "cluster", "path").withColumnRenamed("area", "shared")
     whole = rows.select("cluster").distinct().join(named, "cluster", "left").join(files, "cluster", "left").join(shared, "cluster", "left")
     return whole.select("cluster", F.coalesce("named", single, "shared", F.lit("codebase")).alias("area"))
+
+
+def accumulated(stored: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """The stored rows (key and totals, key unique) with the sums of more (the same columns, any number of rows) added; keys that were not stored begin at zero."""
+    totals = [c for c in stored.columns if c != key]
+    sums = more.groupBy(key).agg(*(F.sum(c).alias(c) for c in totals))
+    return stored.unionByName(sums).groupBy(key).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in totals))
+
+
+#: Characters that are tokens of their own; white space only parts tokens.
+DELIMITERS = r"[(){}\[\];,.:+\-*/<>=!&|^~?@]|[^(){}\[\];,.:+\-*/<>=!&|^~?@ \t\n\r]+"
+
+
+def token_similarity(a: Column, b: Column) -> Column:
+    """Multiset Jaccard similarity of the tokens of two texts; 1 if neither has any, 0 if one has none. Tokens are numbered by their repeats, so that sets of them do."""
+
+    def numbered(text: Column) -> Column:
+        tokens = F.array_sort(F.regexp_extract_all(text, F.lit(DELIMITERS), F.lit(0)))
+        return F.transform(tokens, lambda t, i: F.struct(t.alias("t"), (i - F.array_position(tokens, t)).alias("n")))  # equal tokens stand together
+
+    x, y = numbered(a), numbered(b)
+    common = F.size(F.array_intersect(x, y))
+    total = F.size(x) + F.size(y) - common
+    return F.when(total == 0, 1.0).otherwise(common / total)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deltaloom.functions import paths
-from deltaloom.operators import activity, graph, history, signals
+from deltaloom.operators import activity, graph, history, records, signals
 from deltaloom.plans.registry import query
 from deltaloom.sources import tables as src
 
@@ -151,8 +151,8 @@ def ref_history(spark, sf_dir):
 
 @query("SELECT p_brand || '-' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS slug, p_partkey AS target FROM part")
 def slug_sequence(spark, sf_dir):
-    nth = F.row_number().over(history.W.partitionBy("p_brand").orderBy("p_partkey"))
-    return src.table(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", nth.cast("string")).alias("slug"), F.col("p_partkey").alias("target"))
+    rows = records.packed(src.table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.lit(1).alias("one")), "p_brand", "p_partkey", "one")
+    return rows.select(F.concat_ws("-", "p_brand", (F.col("offset") + 1).cast("string")).alias("slug"), F.col("p_partkey").alias("target"))
 
 
 # Snapshots and merges
@@ -356,12 +356,18 @@ def upper_median(spark, sf_dir):
 MONEY = "CAST(l_extendedprice AS DECIMAL(18,2))"
 
 
-@query(f"WITH s AS (SELECT l_returnflag AS repo, sum({MONEY}) FILTER (WHERE l_linestatus = 'F') AS base, sum({MONEY}) FILTER (WHERE l_linestatus = 'O') AS now FROM lineitem GROUP BY 1) SELECT repo, round((base::DOUBLE - now::DOUBLE) / base::DOUBLE * 100, 4) AS reduction_pct FROM s UNION ALL SELECT 'all', round((sum(base)::DOUBLE - sum(now)::DOUBLE) / sum(base)::DOUBLE * 100, 4) FROM s")
+@query("""WITH r AS (SELECT l_returnflag || l_suppkey % 4 AS repo, l_linestatus = 'F' AS base, l_extendedprice / 1000 AS seconds, l_quantity AS plan, l_tax > 0.06 AS fallback, 20 + l_partkey % 7 AS total, l_suppkey % 20 AS selected FROM lineitem),
+s AS (SELECT repo, round(coalesce(median(seconds) FILTER (WHERE base), 0) * 1000)::BIGINT AS b, round(coalesce(median(plan) FILTER (WHERE NOT base), 0) + coalesce(median(seconds) FILTER (WHERE NOT base), 0) * 1000)::BIGINT AS t,
+  coalesce(avg(fallback::INT) FILTER (WHERE NOT base), 0) AS rate, sum(total) FILTER (WHERE NOT base) AS total, sum(selected) FILTER (WHERE NOT base) AS selected FROM r GROUP BY 1),
+a AS (SELECT *, CASE WHEN rate = 1 AND b > 0 THEN b WHEN rate > 0 AND b > 0 AND t > 0 THEN round((1 - rate) * t + rate * b)::BIGINT ELSE t END AS adj FROM s)
+SELECT repo, b AS baseline_ms, t AS total_ms, adj AS adjusted_ms, round(rate, 4) AS fallback_rate, CASE WHEN b > 0 AND adj > 0 THEN round((1 - adj / b) * 100, 1) ELSE 0 END AS time_reduction, coalesce(round((1 - selected / total) * 100, 1), 0) AS test_reduction FROM a
+UNION ALL SELECT 'all', sum(b) FILTER (WHERE b > 0 AND adj > 0)::BIGINT, sum(t) FILTER (WHERE b > 0 AND adj > 0)::BIGINT, sum(adj) FILTER (WHERE b > 0 AND adj > 0)::BIGINT, NULL,
+  round((1 - sum(adj) FILTER (WHERE b > 0 AND adj > 0) / sum(b) FILTER (WHERE b > 0 AND adj > 0)) * 100, 1), round((1 - sum(selected) / sum(total)) * 100, 1) FROM a""")
 def reduction_report(spark, sf_dir):
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    part = lambda s: F.sum(F.when(F.col("l_linestatus") == s, price)).cast("double")
-    rows = src.table(spark, sf_dir, "lineitem").rollup("l_returnflag").agg(part("F").alias("base"), part("O").alias("now"))
-    return rows.select(F.coalesce("l_returnflag", F.lit("all")).alias("repo"), F.round((F.col("base") - F.col("now")) / F.col("base") * 100, 4).alias("reduction_pct"))
+    return activity.reductions(src.table(spark, sf_dir, "lineitem").select(
+        F.concat("l_returnflag", (F.col("l_suppkey") % 4).cast("string")).alias("repo"), F.when(F.col("l_linestatus") == "F", "baseline").otherwise("selective").alias("mode"), (F.col("l_extendedprice") / 1000).alias("seconds"),
+        F.col("l_quantity").alias("plan_ms"), (F.col("l_tax") > 0.06).alias("fallback"), (20 + F.col("l_partkey") % 7).alias("tests_total"), (F.col("l_suppkey") % 20).alias("tests_selected"),
+    ))
 
 
 @query("SELECT l_returnflag AS repo, count(*) AS runs, round(avg((l_tax > 0.06)::INT), 6) AS fallback_rate FROM lineitem GROUP BY 1")
@@ -424,10 +430,14 @@ def live_summary(spark, sf_dir):
     return live_events(spark, sf_dir).agg(F.count("*").alias("events"), F.countDistinct("file").alias("files"), F.countDistinct("user").alias("agents"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("WITH e AS (SELECT DISTINCT user_id AS u, json_extract(props, '$.k')::INT AS file FROM events), n AS (SELECT file, count(*) AS n FROM e GROUP BY 1) SELECT u AS agent, count(*) FILTER (WHERE n > 1) AS shared, count(*) AS own FROM e JOIN n USING (file) GROUP BY 1")
+@query("""WITH c AS (SELECT DISTINCT l_suppkey % 20 AS agent, l_partkey AS file FROM lineitem WHERE l_orderkey % 11 = 3), l AS (SELECT p_partkey AS a, p_partkey * 7 % 1000 AS b FROM part), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+o AS (SELECT agent, count(*) AS own, count_if(EXISTS (SELECT 1 FROM c d WHERE d.file = c.file AND d.agent <> c.agent)) AS shared FROM c GROUP BY 1),
+r AS (SELECT agent, count(*) AS related FROM (SELECT DISTINCT c.agent, e.b AS file FROM c JOIN e ON e.a = c.file) n WHERE file NOT IN (SELECT file FROM c WHERE c.agent = n.agent) AND file IN (SELECT file FROM c WHERE c.agent <> n.agent) GROUP BY 1)
+SELECT agent, own, shared, coalesce(related, 0) AS related FROM o LEFT JOIN r USING (agent)""")
 def merge_check(spark, sf_dir):
-    own = live_events(spark, sf_dir).select(F.col("user").alias("agent"), "file").where("file IS NOT NULL").distinct()
-    return own.join(own.groupBy("file").agg(F.count("*").alias("n")), "file").groupBy("agent").agg(F.count_if(F.col("n") > 1).alias("shared"), F.count("*").alias("own"))
+    changes = src.table(spark, sf_dir, "lineitem").where("l_orderkey % 11 = 3").select((F.col("l_suppkey") % 20).alias("agent"), F.col("l_partkey").alias("file"))
+    links = src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 7 % 1000).alias("b"))
+    return history.merge_check(changes, links)
 
 
 # Texts and paths
@@ -445,13 +455,30 @@ def topk_dirs(spark, sf_dir):
     return src.table(spark, sf_dir, "pages").groupBy(top.alias("dir")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dir").limit(12)
 
 
-RULES = [("(?i)out of memory|oom", "resource", "critical"), ("(?i)timed? ?out", "timeout", "high"), ("(?i)error|failed", "failure", "high"), ("(?i)warn", "warning", "medium")]
-
-
-@query("WITH c AS (SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN ['{k}', '{s}']" for p, k, s in RULES) + " END AS x FROM documents) SELECT doc_id, x[1] AS kind, x[2] AS severity FROM c WHERE x IS NOT NULL")
+#: What a line of a run's log tells, by the first pattern that is in it.
+RULES = [
+    ("Cannot find module|Module not found|No module named|cannot find package", "module_not_found", "critical"),
+    ("has no exported member|cannot import name|PackageNotFoundError|plugin was built with a different version", "import_error", "critical"),
+    ("ReferenceError: .* is not defined|TypeError: .* is not a function", "import_error", "high"),
+    ("error TS[0-9]+:", "type_error", "high"),
+    ("fixture '[^']*' not found|ERRORS during collection|\\[build failed\\]|Test suite failed to run|(before|after)(All|Each) hook failed|Test environment .* not found|unexpected token|heap out of memory", "setup_crash", "critical"),
+]
+LOGS = [
+    "Error: Cannot find module 'k{}'", "Module not found: Error: Can't resolve 'k{}' in '/app/src'", "ReferenceError: k{} is not defined", "TypeError: k{} is not a function", "error TS2307: Cannot find module './k{}' or its types", "error TS2304: Cannot find name 'K{}'",
+    "error TS2305: Module has no exported member 'k{}'.", "ModuleNotFoundError: No module named 'k{}'", "ImportError: cannot import name 'k{}' from 'bar'", "fixture 'k{}' not found", "FAIL example/k{} [build failed]", "Test suite failed to run", "beforeAll hook failed: k{}",
+    "Test environment jest-k{} not found", "Jest encountered an unexpected token", "FATAL ERROR: heap out of memory", "PASS src/k{}.test.js", "cannot find package 'k{}' in any of:", "plugin was built with a different version of k{}", "All {} tests passed",
+]
+
+
+# Events are lines of logs; what each kind of line tells is written down here for each of them.
+@query("""WITH l AS (SELECT event_id, event_id % 20 AS k FROM events),
+t(k, kind, severity) AS (VALUES (0, 'module_not_found', 'critical'), (1, 'module_not_found', 'critical'), (2, 'import_error', 'high'), (3, 'import_error', 'high'), (4, 'module_not_found', 'critical'), (5, 'type_error', 'high'), (6, 'import_error', 'critical'), (7, 'module_not_found', 'critical'),
+  (8, 'import_error', 'critical'), (9, 'setup_crash', 'critical'), (10, 'setup_crash', 'critical'), (11, 'setup_crash', 'critical'), (12, 'setup_crash', 'critical'), (13, 'setup_crash', 'critical'), (14, 'setup_crash', 'critical'), (15, 'setup_crash', 'critical'), (17, 'module_not_found', 'critical'), (18, 'import_error', 'critical'))
+SELECT event_id, kind, severity FROM l JOIN t USING (k)""")
 def log_risk_classify(spark, sf_dir):
-    kind, severity = activity.first_rule(F.col("text"), RULES)
-    return src.table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), severity.alias("severity")).where("kind IS NOT NULL")
+    line = F.replace(F.get(F.array(*map(F.lit, LOGS)), (F.col("event_id") % 20).cast("int")), F.lit("{}"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")))
+    kind, severity = activity.first_rule(line, RULES)
+    return src.table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), severity.alias("severity")).where("kind IS NOT NULL")
 
 
 MODULES = [("romance", "es/**"), ("romance", "fr/**"), ("germanic", "de/**"), ("germanic", "en/**"), ("web", "*/web/*")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from deltaloom.operators import clusters, configs, graph, imports, merges, renames
+from deltaloom.operators import clusters, configs, graph, history, imports, merges, renames
 from deltaloom.plans.catalogue import EDGES, SIGNALS
 from deltaloom.plans.registry import query
 from deltaloom.sources import tables as src
@@ -324,3 +324,40 @@ r AS (SELECT change, module, host, 1::BIGINT AS i, id, id AS seed, [x] AS seeds
 SELECT m.change, m.id, m.module, m.host || CASE WHEN r.seed IS NULL THEN '' ELSE '#' || r.seed END AS cluster FROM m LEFT JOIN r ON r.change = m.change AND r.module = m.module AND r.host = m.host AND r.id = m.id""")
 def change_clusters(spark, sf_dir):
     return clusters.clustered(*change_signals(spark, sf_dir))
+
+
+# Symbols, conditions and constants
+
+
+@query(f"""WITH {UNITS}, x AS (SELECT path, key, CASE kind WHEN 'const' THEN 'const' WHEN 'type' THEN 'variable' ELSE kind END AS kind, signature, content FROM b), z AS (SELECT path, key, CASE kind WHEN 'const' THEN 'const' WHEN 'type' THEN 'variable' ELSE kind END AS kind, signature, content FROM l),
+d AS (SELECT coalesce(x.path, z.path) AS path, coalesce(x.key, z.key) AS name, CASE WHEN x.key IS NULL THEN 'added' WHEN z.key IS NULL THEN 'removed' WHEN x.signature <> z.signature OR z.kind IN ('const', 'variable') AND x.content <> z.content THEN 'modified' END AS action,
+  CASE WHEN x.key IS NULL OR z.key IS NULL THEN NULL WHEN x.signature <> z.signature THEN 'API_SURFACE_CHANGED' WHEN z.kind IN ('const', 'variable') AND x.content <> z.content THEN 'CONSTANT_UPDATED' END AS change FROM x FULL JOIN z ON x.path = z.path AND x.key = z.key)
+SELECT path, name, action, change FROM d WHERE action IS NOT NULL""")
+def symbol_diff(spark, sf_dir):
+    kind = F.when(F.col("kind") == "type", "variable").otherwise(F.col("kind"))
+    base, left, _ = (df.select("path", F.col("key").alias("name"), kind.alias("kind"), "signature", F.col("content").alias("value")) for df in unit_versions(spark, sf_dir))
+    return history.symbol_diff(base, left)
+
+
+CONDITIONS = """n AS (SELECT l_partkey AS file, ['binary_expression', 'logical_expression', 'relational_expression'][l_suppkey % 3 + 1] AS type, l_orderkey * 10 + l_linenumber AS id, l_orderkey % 40 AS line, l_suppkey % 25 AS col,
+  'v' || ['<', '<=', '>', '==', '&&'][l_linenumber % 5 + 1] || l_quantity::INT % 4 AS text, l_linestatus AS side FROM lineitem),
+p AS (SELECT b.file, b.type, b.id AS before_id, a.id AS after_id, b.text AS old, a.text AS new, b.col AS c, a.col AS d FROM n b JOIN n a ON b.file = a.file AND b.type = a.type AND abs(b.line - a.line) <= 2 WHERE b.side = 'F' AND a.side = 'O' AND b.text <> a.text)"""
+
+
+def conditions(spark, sf_dir):
+    kind = F.get(F.array(*map(F.lit, ("binary_expression", "logical_expression", "relational_expression"))), (F.col("l_suppkey") % 3).cast("int"))
+    text = F.concat(F.lit("v"), F.get(F.array(*map(F.lit, ("<", "<=", ">", "==", "&&"))), (F.col("l_linenumber") % 5).cast("int")), (F.col("l_quantity").cast("int") % 4).cast("string"))
+    rows = src.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("file"), kind.alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_orderkey") % 40).alias("line"), (F.col("l_suppkey") % 25).alias("col"), text.alias("text"), "l_linestatus"
+    )
+    return rows.where("l_linestatus = 'F'").drop("l_linestatus"), rows.where("l_linestatus = 'O'").drop("l_linestatus")
+
+
+@query(f"WITH {CONDITIONS} SELECT file, type, before_id, after_id, old, new FROM p WHERE regexp_replace(old, '[^<>=&]', '', 'g') <> regexp_replace(new, '[^<>=&]', '', 'g') OR regexp_extract(old, '[0-9]+$') <> regexp_extract(new, '[0-9]+$')")
+def condition_changes(spark, sf_dir):
+    return history.condition_changes(*conditions(spark, sf_dir))
+
+
+@query(f"WITH {CONDITIONS} SELECT file, type, before_id, after_id, old, new FROM p WHERE abs(c - d) <= 10")
+def constant_updates(spark, sf_dir):
+    return history.near_pairs(*conditions(spark, sf_dir), columns=10)

@@ -111,13 +111,26 @@ def edge_deletes(spark, sf_dir):
     return records.deleted(at_edges(spark, sf_dir), *gone)
 
 
-@query("""SELECT conv_id AS session, coalesce(sum(length(text)) FILTER (WHERE role = 'user'), 0)::BIGINT AS tokens_in,
-  coalesce(sum(length(text)) FILTER (WHERE role <> 'user'), 0)::BIGINT AS tokens_out FROM conversations GROUP BY 1""")
+# The first two turns of a session are its stored totals; the others come later. Every third session was never stored.
+@query("""WITH w AS (SELECT conv_id AS session, turn, role = 'user' AS mine, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'))::BIGINT AS n FROM conversations)
+SELECT session, coalesce(sum(n) FILTER (WHERE mine), 0)::BIGINT AS tokens_in, coalesce(sum(n) FILTER (WHERE NOT mine), 0)::BIGINT AS tokens_out FROM w WHERE turn >= 2 OR session % 3 <> 0 GROUP BY 1""")
 def session_tokens(spark, sf_dir):
-    size = F.length("text").cast("long")
-    total = lambda mine, name: F.coalesce(F.sum(F.when(mine, size)), F.lit(0)).alias(name)
-    is_user = F.col("role") == "user"
-    return src.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("session")).agg(total(is_user, "tokens_in"), total(~is_user, "tokens_out"))
+    n = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\t\\n\\r]+"), F.lit(0))).cast("long")
+    mine = F.col("role") == "user"
+    rows = src.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", F.when(mine, n).otherwise(0).alias("tokens_in"), F.when(mine, 0).otherwise(n).alias("tokens_out"))
+    sums = rows.where("turn < 2 AND session % 3 <> 0").groupBy("session").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    return records.accumulated(sums, rows.where("turn >= 2").drop("turn"), "session")
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[(){}\[\];,.:+\-*/<>=!&|^~?@]|[^(){}\[\];,.:+\-*/<>=!&|^~?@ \t\n\r]+') AS w FROM conversations),
+c AS (SELECT conv_id, turn, unnest(w) AS token, count(*) OVER () AS z FROM t), n AS (SELECT conv_id, turn, token, count(*) AS k FROM c GROUP BY ALL),
+s AS (SELECT a.conv_id, a.turn, sum(least(a.k, b.k)) AS shared FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.token = b.token GROUP BY ALL)
+SELECT a.conv_id, a.turn, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1 ELSE coalesce(shared, 0) / (len(a.w) + len(b.w) - coalesce(shared, 0)) END, 6)::DOUBLE AS similarity
+FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN s ON s.conv_id = a.conv_id AND s.turn = a.turn""")
+def token_multiset(spark, sf_dir):
+    rows = src.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    both = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("then")), ["conv_id", "turn"])
+    return both.select("conv_id", "turn", F.round(records.token_similarity(F.col("text"), F.col("then")), 6).alias("similarity"))
 
 
 # Joins of edges with nodes
@@ -228,10 +241,10 @@ def most_recent(spark, sf_dir):
     return records.latest(src.table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], 5).select("user_id", "event_id")
 
 
-@query("""SELECT doc_id, lang, coalesce(strlen(text), 0)::BIGINT AS size,
-  (sum(coalesce(strlen(text), 0)) OVER (PARTITION BY lang ORDER BY doc_id) - coalesce(strlen(text), 0))::BIGINT AS "offset" FROM documents WHERE lang IS NOT NULL""")
+@query("""SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(strlen(text), 0)::BIGINT AS size,
+  (sum(coalesce(strlen(text), 0)) OVER (PARTITION BY lang ORDER BY doc_id) - coalesce(strlen(text), 0))::BIGINT AS "offset" FROM documents""")
 def pack_offsets(spark, sf_dir):
-    rows = src.table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    rows = src.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     return records.packed(rows, "lang", "doc_id", "size")
 
 
