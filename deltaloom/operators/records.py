@@ -115,14 +115,13 @@ def accumulated(stored: DataFrame, more: DataFrame, key: str) -> DataFrame:
 DELIMITERS = r"[(){}\[\];,.:+\-*/<>=!&|^~?@]|[^(){}\[\];,.:+\-*/<>=!&|^~?@ \t\n\r]+"
 
 
-def token_similarity(a: Column, b: Column) -> Column:
-    """Multiset Jaccard similarity of the tokens of two texts; 1 if neither has any, 0 if one has none. Tokens are numbered by their repeats, so that sets of them do."""
-
-    def numbered(text: Column) -> Column:
-        tokens = F.array_sort(F.regexp_extract_all(text, F.lit(DELIMITERS), F.lit(0)))
-        return F.transform(tokens, lambda t, i: F.struct(t.alias("t"), (i - F.array_position(tokens, t)).alias("n")))  # equal tokens stand together
-
-    x, y = numbered(a), numbered(b)
-    common = F.size(F.array_intersect(x, y))
-    total = F.size(x) + F.size(y) - common
-    return F.when(total == 0, 1.0).otherwise(common / total)
+def token_similarities(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys (unique, not null), similarity of the texts a and b of each pair: the multiset Jaccard similarity of their tokens; 1 if neither has any, 0 if one has none.
+
+    Tokens are counted by pair, in map tasks first; a long text is no more than its different tokens in any shuffle.
+    """
+    of = lambda c, first: pairs.select(*keys, F.explode(F.regexp_extract_all(F.col(c), F.lit(DELIMITERS), F.lit(0))).alias("token"), F.lit(first).alias("first"))
+    counts = of(a, True).unionByName(of(b, False)).groupBy(*keys, "token").agg(F.count_if("first").alias("x"), F.count_if(~F.col("first")).alias("y"))
+    sums = counts.groupBy(*keys).agg(F.sum(F.least("x", "y")).alias("common"), F.sum(F.col("x") + F.col("y")).alias("all"))
+    value = F.col("common") / (F.col("all") - F.col("common"))
+    return pairs.select(*keys).join(sums, keys, "left").select(*keys, F.coalesce(value, F.lit(1.0)).alias("similarity"))

@@ -130,7 +130,7 @@ FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN s O
 def token_multiset(spark, sf_dir):
     rows = src.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     both = rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("then")), ["conv_id", "turn"])
-    return both.select("conv_id", "turn", F.round(records.token_similarity(F.col("text"), F.col("then")), 6).alias("similarity"))
+    return records.token_similarities(both, ["conv_id", "turn"], "text", "then").withColumn("similarity", F.round("similarity", 6))
 
 
 # Joins of edges with nodes

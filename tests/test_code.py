@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from deltaloom.functions.paths import clean
-from deltaloom.operators import clusters, configs, graph, imports, merges, records, renames, signals
+from deltaloom.operators import activity, clusters, configs, graph, history, ignore, imports, merges, records, renames, resolver, selection, signals
 
 # Renames
 
@@ -288,3 +288,154 @@ def test_areas_take_symbols_then_files_then_directories(spark):
     rows = [(1, "f", "a/x.go"), (1, "g", "a/x.go"), (1, "g", "b/y.go"), (2, None, "a/x.go"), (2, None, "a/x.go"), (3, None, "src/a/x.go"), (3, None, "src/b/y.go"), (4, None, None)]
     got = records.primary_areas(spark.createDataFrame(rows, "cluster int, symbol string, path string")).collect()
     assert {r.cluster: r.area for r in got} == {1: "g", 2: "x", 3: "src", 4: "codebase"}
+
+
+# Symbols, conditions, agents
+
+
+def test_symbols_are_added_removed_signed_anew_or_set_anew(spark):
+    schema = "path string, name string, kind string, signature string, value string"
+    before = [("f", "gone", "function", "()", None), ("f", "same", "function", "()", "1"), ("f", "wide", "function", "(a)", None), ("f", "limit", "const", "", "1"), ("f", "body", "function", "()", "1")]
+    after = [("f", "come", "function", "()", None), ("f", "same", "function", "()", "1"), ("f", "wide", "function", "(a, b)", None), ("f", "limit", "const", "", "2"), ("f", "body", "function", "()", "2"), ("g", "gone", "function", "()", None)]
+    got = {(r.path, r.name): (r.action, r.change) for r in history.symbol_diff(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)).collect()}
+    assert got == {("f", "gone"): ("removed", None), ("g", "gone"): ("added", None), ("f", "come"): ("added", None), ("f", "wide"): ("modified", "API_SURFACE_CHANGED"), ("f", "limit"): ("modified", "CONSTANT_UPDATED")}
+
+
+def test_near_nodes_meet_across_stretches(spark):
+    rng = random.Random(3)
+    nodes = lambda n: [(rng.choice("ab"), rng.choice("xy"), i, rng.randrange(-5, 30), rng.randrange(30), rng.choice(["a<1", "a<2", "b<1", "a<=1"])) for i in range(n)]
+    before, after, schema = nodes(60), nodes(60), "file string, type string, id int, line int, col int, text string"
+    frames = spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)
+    pairs = {(b[2], a[2]) for b in before for a in after if b[:2] == a[:2] and abs(b[3] - a[3]) <= 2 and b[5] != a[5]}
+    got = history.near_pairs(*frames).collect()
+    assert len(got) == len(pairs) and {(r.before_id, r.after_id) for r in got} == pairs
+    texts = {b[2]: b[5] for b in before}, {a[2]: a[5] for a in after}
+    operator = lambda t: t.strip("ab12")
+    assert {(r.before_id, r.after_id) for r in history.condition_changes(*frames).collect()} == {(i, j) for i, j in pairs if operator(texts[0][i]) != operator(texts[1][j]) or texts[0][i][-1] != texts[1][j][-1]}
+    place = {b[2]: b[4] for b in before}, {a[2]: a[4] for a in after}
+    assert {(r.before_id, r.after_id) for r in history.near_pairs(*frames, columns=10).collect()} == {(i, j) for i, j in pairs if abs(place[0][i] - place[1][j]) <= 10}
+
+
+def test_agents_share_files_and_neighbours(spark):
+    changes = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "z"), (1, "a"), (None, "q"), (4, None)], "agent int, file string")
+    links = spark.createDataFrame([("a", "c"), ("c", "b"), ("z", "q"), ("z", "z")], "a string, b string")
+    assert {tuple(r) for r in history.merge_check(changes, links).collect()} == {(1, 2, 1, 1), (2, 2, 1, 1), (3, 1, 0, 0)}
+
+
+def test_sweeps_equal_a_line_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(history, "STRETCH", 7)
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        start = rng.randrange(60)
+        rows.append((rng.choice("fg"), start, start + rng.randrange(12), rng.choice(["ai", "human"]), rng.choice(["", "x"]), rng.randrange(5), i % 50))
+    last = {}
+    for f, s, e, kind, agent, ts, seq in rows:
+        for line in range(s, e + 1):
+            last[f, line] = max(last.get((f, line), (-1,)), (ts, seq, kind, agent))
+    df = spark.createDataFrame(rows, "file string, start_line int, end_line int, author_type string, agent string, ts int, seq int").withColumn("ts", F.timestamp_seconds("ts")).repartition(5)
+    got = history.consolidated(df).collect()
+    lines = {(r.file, n): (r.author_type, r.agent) for r in got for n in range(r.start_line, r.end_line + 1)}
+    assert lines == {k: v[2:] for k, v in last.items()}
+    ends = {(r.file, r.end_line + 1, r.author_type, r.agent) for r in got}
+    assert not [r for r in got if (r.file, r.start_line, r.author_type, r.agent) in ends]  # runs are as long as they can be
+    assert history.consolidated(df.limit(0)).collect() == []
+
+
+# Numbers
+
+
+def test_places_in_sorted_values_by_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.randrange(5), rng.random() * 100])) for _ in range(400)] + [("c", 1.0), ("d", None)]
+    rows = [(k, None if v is None else float(v)) for k, v in rows]
+    df = spark.createDataFrame(rows, "key string, value double").repartition(7)
+    got = {r.key: (r.p0, r.p33, r.p100) for r in activity.percentiles(df, ["key"], "value", {"p0": 0.0, "p33": 0.33, "p100": 1.0}).collect()}
+    for key in ("a", "b", None, "c"):
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        at = lambda p: (len(values) - 1) * p  # noqa: E731, B023
+        want = [values[int(at(p))] + (values[min(len(values) - 1, int(at(p)) + (at(p) % 1 > 0))] - values[int(at(p))]) * (at(p) % 1) for p in (0.0, 0.33, 1.0)]  # noqa: B023
+        assert all(abs(x - y) < 1e-9 for x, y in zip(got[key], want, strict=True))
+    assert "d" not in got
+    middle = {r.key: r.upper_median for r in activity.upper_median(df.where("key IS NOT NULL"), "key", "value").collect()}
+    assert middle == {k: sorted(v for q, v in rows if q == k)[len([1 for q, _ in rows if q == k]) // 2] for k in "abc"}
+
+
+def test_reductions_blend_fallbacks_and_compare_sums(spark):
+    runs = [("r", "baseline", 10.0, None, None, 0, 0), ("r", "selective", 4.0, 1000.0, False, 100, 25), ("r", "selective", 4.0, 1000.0, True, 100, 25), ("s", "baseline", 2.0, None, None, 0, 0), ("s", "selective", 1.0, 0.0, True, 10, 10), ("t", "selective", 1.0, 500.0, False, 10, 5)]
+    got = {r.repo: tuple(r)[1:] for r in activity.reductions(spark.createDataFrame(runs, "repo string, mode string, seconds double, plan_ms double, fallback boolean, tests_total int, tests_selected int")).collect()}
+    assert got == {"r": (10000, 5000, 7500, 0.5, 25.0, 75.0), "s": (2000, 1000, 2000, 1.0, 0.0, 0.0), "t": (0, 1500, 1500, 0.0, 0.0, 50.0), "all": (12000, 6000, 9500, None, 20.8, 70.5)}
+
+
+def test_failures_are_missed_flaky_or_fallbacks(spark):
+    runs = [("a", 1, "error", 50.0, 1), ("a", 1, "view", 1.0, 2), ("b", 1, "view", 1.0, 1), ("b", 1, "error", 50.0, 2), ("c", 1, "error", 5.0, 1), ("d", 1, "click", 5.0, 1), ("d", 1, "view", 3.0, 1)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(runs)], "repo string, test int, event_type string, value double, ts int, event_id int")
+    kind = lambda k: F.col("event_type") == k
+    assert {r.repo: r.verdict for r in activity.repo_verdicts(df, kind("error"), kind("view"), kind("click"), 30).collect()} == {"a": "flaky", "b": "missed", "c": "fallback", "d": "safe"}
+
+
+def test_totals_are_added_to_stored_rows(spark):
+    schema = "session string, tokens_in long, tokens_out long"
+    stored, more = spark.createDataFrame([("a", 5, 1), ("b", 2, 2)], schema), spark.createDataFrame([("a", 1, 0), ("a", 2, None), ("c", 4, 4)], schema)
+    assert {tuple(r) for r in records.accumulated(stored, more, "session").collect()} == {("a", 8, 1), ("b", 2, 2), ("c", 4, 4)}
+    pairs = spark.createDataFrame([(1, "a(b, a)", "a(b)"), (2, "", " "), (3, "x", ""), (4, "x y", "y\tx")], "id int, a string, b string")
+    got = {r.id: round(r.similarity, 6) for r in records.token_similarities(pairs, ["id"], "a", "b").collect()}
+    assert got == {1: round(4 / 6, 6), 2: 1.0, 3: 0.0, 4: 1.0}
+
+
+# Names, rules, tests
+
+
+def test_names_are_looked_up_in_order(spark):
+    ids = [f"{'ab' * 5}{i:054x}" for i in range(12)] + ["cd" * 32]
+    kinds = ["Snapshot" if i % 2 else "ChangeSet" for i in range(13)]
+    nodes = spark.createDataFrame(list(zip(ids, kinds, strict=True)), "id string, kind string")
+    log = spark.createDataFrame([(k, n, i) for n, (i, k) in enumerate(zip(ids, kinds, strict=True))], "kind string, seq long, id string")
+    slugs, refs = spark.createDataFrame([("one", ids[1]), ("both", ids[2])], "slug string, id string"), spark.createDataFrame([("main", ids[3], "Snapshot"), ("both", ids[5], "Snapshot")], "name string, id string, kind string")
+    asked = [(ids[4].upper(), None), (ids[4], "Snapshot"), ("0" * 64, None), ("one", None), ("both", "Snapshot"), ("both", None), ("main", "ChangeSet"), ("@snap:last", None), ("@snap:prev~1", None), ("@cs:last~99", None), ("CDCDCDCD", None), ("abababab", None), ("abababab", "Snapshot"), ("ababab", None), (None, None), ("@ws:last", None)]
+    got = {(r.input, r.want): r for r in resolver.resolved(spark.createDataFrame(asked, "input string, want string"), nodes, slugs, refs, log).collect()}
+    told = {k: (r.status, r.id) for k, r in got.items()}
+    assert told == {
+        asked[0]: ("found", ids[4]), asked[1]: ("wrong_kind", ids[4]), asked[2]: ("not_found", "0" * 64), asked[3]: ("found", ids[1]), asked[4]: ("found", ids[5]), asked[5]: ("found", ids[2]), asked[6]: ("not_found", None), asked[7]: ("found", ids[11]),
+        asked[8]: ("found", ids[7]), asked[9]: ("not_found", None), asked[10]: ("found", ids[12]), asked[11]: ("ambiguous", None), asked[12]: ("ambiguous", None), asked[13]: ("not_found", None), asked[14]: ("not_found", None), asked[15]: ("not_found", None),
+    }
+    assert got[asked[11]].candidates == ids[:10] and got[asked[12]].candidates == ids[1:12:2]
+
+
+def test_the_last_rule_decides(spark):
+    lines = ["# note", "", "*.log", "!keep.log", "/build/", "docs/**/tmp", "node_modules", "gen/ @semantic-ignore", "!gen/kept/**", "a?c.[ch]", "x.{js,ts}"]
+    cases = {
+        "a.log": (False, False), "b/keep.log": (True, True), "build/x": (False, False), "src/build/x": (True, True), "build": (True, True), "docs/tmp": (False, False), "docs/a/b/tmp/f": (False, False), "p/node_modules/q.js": (False, False),
+        "gen/f.go": (True, False), "gen/kept/f.go": (True, True), "abc.h": (False, False), "abbc.h": (True, True), "d/x.ts": (False, False), "./a.log": (False, False), "keep.log/x.log": (True, True),
+    }
+    got = ignore.judged(spark.createDataFrame([(p,) for p in cases], "path string"), lines).collect()
+    assert {r.path: (r.captured, r.analysed) for r in got} == cases
+
+
+@pytest.mark.parametrize(
+    ("row", "start", "fallback", "want"),
+    [
+        (("src/a/loader.js", True, False), "nearest_module", True, None), (("src/a/loader.js", False, True), "nearest_module", True, None), (("src/a/loader.js", False, False), "nearest_module", True, ("nearest_module", 2)),
+        (("src/a/loader.js", False, False), "package", True, ("package", 2)), (("src/a/loader.js", False, False), "full_suite", False, ("full_suite", 4)), (("unknown/loader.js", False, False), "nearest_module", True, ("full_suite", 4)),
+        (("unknown/loader.js", False, False), "nearest_module", False, (None, 0)),
+    ],
+)
+def test_unbounded_imports_ask_for_more_tests(spark, row, start, fallback, want):
+    tests = spark.createDataFrame([("src/a/a.test.js",), ("src/a/a2.test.js",), ("src/b/b.test.js",), ("src/c/c.test.js",)], "path string")
+    modules = spark.createDataFrame([("A", "src/a"), ("B", "src/b"), ("C", "src/c")], "module string, prefix string")
+    imports_ = spark.createDataFrame([(1, *row)], "change int, path string, bounded boolean, allowlisted boolean")
+    got = [(r.strategy, r.tests) for r in selection.expanded(imports_, tests, modules, start, fallback).collect()]
+    assert got == ([want] if want else [])
+
+
+def test_coverage_of_three_formats(spark):
+    nyc = '{"/app/u.js":{"path":"/app/u.js","statementMap":{"0":{"start":{"line":1}},"1":{"start":{"line":2}},"2":{"start":{"line":5}}},"s":{"0":10,"1":5,"2":0}},"/app/a.js":{"path":"/app/a.js","statementMap":{"0":{"start":{"line":10}}},"s":{"0":3}}}'
+    py = '{"files":{"src/main.py":{"executed_lines":[1,2,3,10,15]},"src/util.py":{"executed_lines":[5,6,7]}}}'
+    xml = '<?xml version="1.0"?><report name="r"><package name="com/x"><sourcefile name="A.java"><line nr="3" ci="4"/><line nr="4" ci="0"/></sourcefile></package></report>'
+    rows = [(1, "coverage-final.json", nyc), (2, "coverage.json", py), (3, "jacoco.xml", xml), (4, "x.txt", "zz"), (5, "coverage-final.json", "{bad"), (6, "jacoco.xml", "<rep"), (7, "coverage.json", None), (8, "coverage.xml", "<jacoco version='1.0'>")]
+    lines, rejects = selection.covered_lines(spark.createDataFrame(rows, "report int, name string, content string"))
+    found = {}
+    for r in lines.collect():
+        found.setdefault((r.format, r.path), set()).add((r.line, r.hits))
+    assert found == {("nyc", "/app/u.js"): {(1, 10), (2, 5)}, ("nyc", "/app/a.js"): {(10, 3)}, ("coveragepy", "src/main.py"): {(n, 1) for n in (1, 2, 3, 10, 15)}, ("coveragepy", "src/util.py"): {(5, 1), (6, 1), (7, 1)}, ("jacoco", "com/x/A.java"): {(3, 4)}}
+    assert {r.report: r.format for r in rejects.collect()} == {4: None, 5: "nyc", 6: "jacoco", 7: None, 8: "jacoco"}
