@@ -1,7 +1,8 @@
 """Near-duplicate vectors by NN-descent: a neighbour graph that is refined through neighbours of neighbours.
 
 Vectors are compared only within their label. Each keeps a list of its K nearest known neighbours. The first lists come
-from sorted random projections: vectors that stand next to each other meet (windows never span more than a few rows). In
+from several orders of the vectors by the signs of random projections: vectors that stand next to each other share as many first signs as
+there are vectors of their kind, and meet in a window of fixed size. In
 each round a join brings the neighbours of a vector, in both directions, together, compares them with one another and
 with it, and keeps the best. Equal vectors of a label are one node with the number of them as its weight, so copies never fill
 a list. A full list whose every entry reaches the threshold is saturated and may have lost links to anywhere: blocks of
@@ -9,7 +10,7 @@ such vectors are compared with all vectors of their label, which counts their li
 only a spanning forest is emitted. Recall is audited on the links between the others, those that the blocks do not
 count: of these vectors, the ones whose id is divisible by 50 are compared with every other of their label in blocks. The
 recall is the lesser of the mean over these vectors and the share of their links, so that no group hides the loss of another.
-Below the wanted recall the graph is refined with longer lists, and if the last round is below it too, all vectors are compared in blocks. At last the edges at the threshold are kept, each verified in double
+Below the wanted recall the graph is refined with longer lists and vectors that meet in other orders, and if the last round is below it too, all vectors are compared in blocks. At last the edges at the threshold are kept, each verified in double
 precision. The blocks cost the product of the saturated vectors and all vectors of their label.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors without a label;
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import components, sent, small_batches, tidy, written
 
-#: Neighbours of a list, random projections and window of the first graph, rounds, queries of the audit, wanted recall, rows of a block.
-K, PROJECTIONS, WINDOW, ROUNDS, EVERY, RECALL, BLOCK = 12, 8, 6, 3, 50, 0.97, 1024
+#: Neighbours of a list, orders of the first graph with the bits of each and half of a window, rounds, queries of the audit, wanted recall, rows of a block.
+K, ORDERS, BITS, WINDOW, ROUNDS, EVERY, RECALL, BLOCK = 12, 16, 40, 24, 3, 50, 0.97, 1024
 #: Neighbours in the other direction that one round brings together with a vector's own; later rounds bring others.
 REVERSE = 12
 
@@ -52,8 +53,8 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def projected(seed: int):
-    """Several sort keys for each vector: label, number of the projection, value."""
+def projected(seed: int, orders: int):
+    """Several sort keys for each vector: label, number of the order, signs of random projections as the bits of a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,11 +63,12 @@ def projected(seed: int):
             vectors, sizes = b.column("v"), np.diff(b.column("v").offsets.to_numpy())
             for size in np.unique(sizes):
                 rows = b.filter(pa.array(sizes == size))
-                axes = np.random.default_rng([seed, int(size)]).normal(size=(int(size), PROJECTIONS))
-                values = matrix(rows.column("v")) @ axes
+                axes = np.random.default_rng([seed, int(size)]).normal(size=(int(size), orders * BITS))
+                signs = (matrix(rows.column("v")) @ axes > 0).reshape(len(rows), orders, BITS)
+                codes = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([rows.column(0)] * PROJECTIONS), pa.concat_arrays([rows.column(1)] * PROJECTIONS), pa.array(np.repeat(np.arange(PROJECTIONS, dtype=np.int32), n)), pa.array(values.T.ravel()), pa.concat_arrays([vectors.filter(pa.array(sizes == size))] * PROJECTIONS)],
+                    [pa.concat_arrays([rows.column(0)] * orders), pa.concat_arrays([rows.column(1)] * orders), pa.array(np.repeat(np.arange(orders, dtype=np.int32), n)), pa.array(codes.T.ravel()), pa.concat_arrays([vectors.filter(pa.array(sizes == size))] * orders)],
                     names=["id", "label", "axis", "at", "v"],
                 )
 
@@ -156,8 +158,8 @@ def refined(graph: DataFrame, rows: DataFrame, k: int, turn: int) -> DataFrame:
     return written(trimmed(graph.unionByName(found), k))
 
 
-def first_graph(rows: DataFrame, k: int) -> DataFrame:
-    spread = rows.mapInArrow(tidy(projected(17)), "id long, label string, axis int, at double, v array<double>")
+def first_graph(rows: DataFrame, k: int, seed: int = 17, orders: int = ORDERS) -> DataFrame:
+    spread = rows.mapInArrow(tidy(projected(seed, orders)), "id long, label string, axis int, at long, v array<double>")
     ordered = spread.repartitionByRange("label", "axis", "at").sortWithinPartitions("label", "axis", "at")
     return written(trimmed(ordered.mapInArrow(tidy(windows(k)), "a long, b long, sim double"), k))
 
@@ -271,7 +273,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = K) ->
         recall = audited(rows.join(full, "id", "left_anti"), few, threshold)
         if recall >= RECALL or turn > 4 * ROUNDS:
             break
-        k *= 2  # longer lists see further
+        k *= 2  # longer lists see further, and so do orders of other projections
+        graph = written(trimmed(graph.unionByName(first_graph(rows, k, 17 + turn)), k))
     if recall < RECALL:  # no list is trusted
         full, few, recall = rows.select("id", F.lit(True).alias("asked")), few.limit(0), 1.0
     # Links of saturated vectors are counted, not listed; those of two others come from the lists.
