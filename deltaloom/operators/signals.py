@@ -80,8 +80,8 @@ MEDIUM = (*DEPENDENCIES, "PARAMETER_ADDED", "PARAMETER_REMOVED", "API_SURFACE_CH
 TEST_NAMES = ("_test.go", ".test.js", ".test.ts", ".spec.js", ".spec.ts", "test_", "_test.py", "_spec.rb", "_test.rb")
 CONFIG_NAMES = ("package.json", "tsconfig.json", "jest.config", "webpack.config", ".eslintrc", ".prettierrc", "Makefile", "Dockerfile", ".yaml", ".yml", ".toml", ".ini", ".env")
 COHESIVE = 0.5
-#: Tags that templates and types of clusters ask for.
-MEANT = ("test", "config", "security")
+#: Tags that templates, types of clusters and warnings ask for.
+MEANT = ("test", "config", "security", "breaking")
 
 
 def weighted(signals: DataFrame) -> DataFrame:

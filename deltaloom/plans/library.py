@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deltaloom.plans import catalogue, choices, code, records  # noqa: F401  they register their queries
+from deltaloom.plans import catalogue, choices, code, intents, records  # noqa: F401  they register their queries
 from deltaloom.plans.registry import QUERIES, SQL, Query
 
 

@@ -136,3 +136,24 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(pick(at("crate::", brand, "::", kind, "::Name"), at("super::", brand, "::*"), at("mod:", kind)))
     )
     return rows.select(F.col("path").alias("importer"), source.alias("source"))
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals with seq, symbols, old_name, new_name, after_value, module and fq_name: the numbers of a line say what it is evidence of."""
+    rows = signals(spark, sf_dir, "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    kind, part, supp = F.col("category"), F.col("l_partkey"), F.col("l_suppkey")
+    at = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    is_any = lambda *heads: F.coalesce(*(F.when(kind.startswith(h), F.lit(True)) for h in heads), F.lit(False))
+    word = F.when(kind == "FEATURE_FLAG_CHANGED", "flag").otherwise(F.lower(F.split(kind, "_")[0]))
+    setting = F.when(part % 4 == 0, F.array(at("svc.p", supp % 5, ".", F.upper(word)))).when(part % 4 == 1, F.array(at("p", supp % 5, ".", word))).when(part % 4 == 2, F.array(F.lit("a.b.size")))
+    symbols = (
+        F.when(is_any("FUNCTION_", "PARAMETER_") & (part % 4 == 0), F.array(at("name:f", part % 50), at("name:g", supp))).when(is_any("FUNCTION_", "PARAMETER_"), F.array(at("name:f", part % 50)))
+        .when(is_any("JSON_", "YAML_") & (part % 3 > 0), F.array(at("server.k", part % 9)))
+        .when(is_any("FEATURE_", "CREDENTIAL_", "ENDPOINT_", "TIMEOUT_", "LIMIT_", "RETRY_"), setting)
+        .when(is_any("SCHEMA_"), F.array(F.when(supp % 2 == 0, at("model:M", part % 7)).otherwise(at("table:t", part % 7, ".c", supp % 5)))).when(is_any("MIGRATION_"), F.array(at("mig_", part)))
+    )
+    return rows.select(
+        "cluster", "category", "confidence", "tag", "path", "enriched", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("seq"),
+        F.coalesce(symbols, F.array().cast("array<string>")).alias("symbols"), at("old", part % 20).alias("old_name"), F.when(supp % 3 == 0, "").otherwise(at("new", part % 20)).alias("new_name"),
+        at("v", F.col("l_quantity").cast("int")).alias("after_value"), F.when(supp % 5 > 0, at("mod", supp % 3)).alias("module"), F.when(part % 6 > 0, at("pkg.Type", supp % 4, ".m", part % 6)).alias("fq_name"),
+    )
