@@ -16,7 +16,7 @@ matrix of the languages, which no amount of documents or sources enlarges, comes
 Copies: a rate's whole part is taken at once. Extra copies for the fractions go by sequential Poisson sampling: documents
 in order of (uniform hash / fraction) are taken while their words fit into what the source still lacks; further passes
 fill the rest with documents that fit into it, the last with the one document that comes nearest. Prefix sums run over hash buckets, so no source is summed by one task.
-The same input gives the same copies.
+The same input gives the same copies. Multipliers that have not settled when the rounds end are an error, not a mix.
 
 Defined results: null and blank texts have size 0, are taken never, and do not matter to others. A null source is a
 source, the last; a null language, or a table without the column lang, is a language. Null doc_ids and repeated rows are documents as any others (rows that agree in doc_id, source, language and
@@ -116,7 +116,7 @@ def balanced(sizes: DataFrame, goals: DataFrame, most: int, rounds: int) -> Data
             F.max("share").alias("share"), F.max("lang_words").alias("words"), F.max(F.abs(F.col("lack")) / F.col("target")).alias("miss"),
         ).collect()  # fmt: skip  # the languages' matrix
         if not sums:
-            break
+            return cells.select("source", "lang", F.lit(0.0).alias("rate"))  # no source has words
         names = sorted({r["name"] for r in sums})
         hessian, gradient = np.zeros((len(names), len(names))), np.zeros(len(names))
         for r in sums:
@@ -129,6 +129,8 @@ def balanced(sizes: DataFrame, goals: DataFrame, most: int, rounds: int) -> Data
         if np.abs(move).max() < 1e-9 and max(r["miss"] for r in sums) < 1e-9:
             break
         m_lang.update({n: m_lang.get(n, 0.0) + x for n, x in zip(names, move.tolist(), strict=True)})
+    else:
+        raise RuntimeError("the rates have not settled")
     return at_rates(settled_sources(cells)).select("source", "lang", F.least("rate", F.lit(float(most))).alias("rate"))
 
 

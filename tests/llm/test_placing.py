@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from deltaloom.llm import mixing, sharding
 
@@ -142,6 +143,16 @@ def test_rates_equal_a_dense_solver(spark):
     assert off((got * words).sum(0)) < 0.6 * off(plain)
 
 
+def test_unsettled_rates_are_an_error(spark):
+    sizes = spark.createDataFrame([("a", "x", 900), ("a", "y", 100), ("b", "x", 100), ("b", "y", 900), ("c", "x", 500), ("c", None, 0)], "source string, lang string, words long")
+    own = sizes.groupBy("source").agg({"words": "sum"}).withColumnRenamed("sum(words)", "source_size")
+    goals = mixing.targets(own, (5, 2, 1), 3)
+    with pytest.raises(RuntimeError, match="not settled"):
+        mixing.balanced(sizes, goals, 3, 1)
+    assert mixing.balanced(sizes, goals, 3, 40).count() == 5
+    assert mixing.balanced(sizes.where("words = 0"), goals, 3, 1).count() == 0
+
+
 def test_repeats_are_taken_one_by_one(spark):
     rows = [(i % 40, f"{'w ' * (5 + i % 3)}{i}", "b" if i % 2 else "a", "en") for i in range(400)] + [(None, "w x y z", "a", None)] * 6
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
