@@ -40,11 +40,19 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """The function of a mapInArrow; after its last batch, the worker gives the memory it has freed back to the system."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None) -> Callable:
+    """The function of a mapInArrow; after its last batch, the worker gives the memory it has freed back to the system.
+
+    forget (of a module, so that it goes by name): drops what run keeps between batches. Workers live on, and each stage would
+    add its own to what those before it have kept.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
             trim(0)

@@ -287,6 +287,10 @@ def loaded(data: bytes) -> Model:
     return pickle.loads(data)
 
 
+def forget() -> None:
+    loaded.cache_clear()
+
+
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     """row (a struct of all columns), lang_pred, score. docs has a column text."""
     small_batches(docs.sparkSession)
@@ -313,7 +317,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["row", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(tidy(run), schema)
+    return rows.mapInArrow(tidy(run, forget), schema)
 
 
 def languages(docs: DataFrame, most: int = SAMPLE) -> DataFrame:

@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import components, noted, sent, small_batches, tidy, written
 
-#: Keys that a map task groups at once; nodes of a group from which on it becomes part of a cluster; nodes of a block of sketches, and of sets or of what streams by; rounds by sketches.
-FOLD_KEYS, WIDE, BLOCK, PART, ROUNDS = 250_000, 2048, 1024, 256, 1
+#: Keys that a map task groups at once; nodes of a group from which on it becomes part of a cluster; nodes of a block of sketches, and of sets or of what streams by; rounds by sketches; parts of a task's sort.
+FOLD_KEYS, WIDE, BLOCK, PART, ROUNDS, FINE = 250_000, 2048, 1024, 256, 1, 4
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("n", pa.int32())])
@@ -69,6 +69,10 @@ class Hashes(dict):
 WORDS = Hashes()
 
 
+def forget() -> None:
+    WORDS.clear()
+
+
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -487,14 +491,17 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     small_batches(spark, 10_000)  # bytes bound the batches of texts
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "kind byte, key long, node long, other long, n int"
-    rows = texts.mapInArrow(tidy(sketched(words, percent)), schema).repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(paired), schema)
-    rows = written(rows)
+    rows = texts.mapInArrow(tidy(sketched(words, percent), forget), schema)
+    # The largest sort of all: each task takes its share in FINE parts, one after another, so that it holds one of them at a time.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(FINE * tasks, "key").sortWithinPartitions("key", "node").mapInArrow(tidy(paired), schema)
+    rows = written(rows.coalesce(tasks))
     known = rows.where(F.col("kind") == DOCUMENT).select(F.col("other").alias("doc_id"), "node", "n")
     pairs = rows.where(F.col("kind") == PAIR).select("key", "node", F.col("other").alias("centre"))
     tests = noted(pairs.groupBy("node", "centre").agg(F.count("*").alias("shared")))
     nodes = tests.select("node").unionByName(tests.select(F.col("centre").alias("node"))).distinct()
     first = noted(known.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(tidy(set_rows(words)), "node long, n int, thin binary, sketch binary, shingles binary"))
+    sets = written(texts.join(sent(first), "doc_id").select("node", "text").mapInArrow(tidy(set_rows(words), forget), "node long, n int, thin binary, sketch binary, shingles binary"))
     # Each node meets the centre that it shares most segments with first; of the other pairs, those still across components follow.
     ends = lambda df: df.select(F.col("node").alias("a"), F.col("centre").alias("b"))
     likely = tests.groupBy("node").agg(F.max(F.struct("shared", "centre")).alias("x")).select("node", "x.centre")

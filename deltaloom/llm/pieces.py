@@ -277,6 +277,10 @@ def codec(model: bytes) -> Codec:
     return Codec(model)
 
 
+def forget() -> None:
+    codec.cache_clear()
+
+
 def model_bytes(path: str) -> bytes:
     with open(path, "rb") as f:  # on the driver, which the path is a parameter of
         return f.read()
@@ -295,7 +299,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...
 
     kept = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("text_"))
     types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[: len(keep)])
-    return kept.mapInArrow(tidy(run), f"{types}, ids array<int>, begins array<bigint>, ends array<bigint>")
+    return kept.mapInArrow(tidy(run, forget), f"{types}, ids array<int>, begins array<bigint>, ends array<bigint>")
 
 
 def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -316,4 +320,4 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run, forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, spans_sha256 string" + ", ids array<int>" * with_ids)

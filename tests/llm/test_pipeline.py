@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from deltaloom.llm import langid  # noqa: E402
+from deltaloom.llm import langid, ngram_join, pieces  # noqa: E402
 from tests.llm.test_ngram_join import sets_of  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,3 +79,18 @@ def test_long_texts_ties_and_repeated_rows(spark):
         assert [r.lang for r in docs.where("doc_id = 5").collect()] == ["en"]
     (row,) = (r for r in corpus_pipeline.STAGES[4][1](spark, docs, "").collect() if r.doc_id == 1)
     assert row.n_tokens > 17_000
+
+
+def test_workers_keep_nothing_after_a_stage(spark):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(i, f"a text of its own, the number {i} of a few", "en", "a") for i in range(40)], "doc_id long, text string, lang string, source string").repartition(4)
+
+    def kept(batches):
+        for b in batches:
+            n = len(ngram_join.WORDS) + langid.loaded.cache_info().currsize + pieces.codec.cache_info().currsize
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(b), pa.int64())], names=["n"])
+
+    for k in (0, 2, 4):
+        corpus_pipeline.STAGES[k][1](spark, docs, "").collect()
+        assert {r.n for r in spark.range(0, 16, 1, 8).mapInArrow(kept, "n long").collect()} == {0}
