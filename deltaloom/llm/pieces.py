@@ -5,7 +5,8 @@ double-array trie over UTF-8) is replaced, else one character stays; spaces are
 prefix is set, and white space becomes the visible space sign. Each byte of the result keeps the place in the original it
 came from. A byte-pair model is applied here too: of the neighbouring symbols whose union is a piece, the pair with the best
 score merges first, of equal ones the first; what no piece covers becomes byte pieces or the unknown piece. Where no piece holds
-a space sign behind another sign, words are encoded one by one and the frequent ones are kept. Other models are segmented by the
+a space sign behind another sign, words are encoded one by one and the latest ones are kept. A word ends where no piece can go on:
+before a space sign, on either side of a character that no longer piece holds, and between a letter and a mark that no piece has behind letters. Other models are segmented by the
 library, whose pieces run over the same normalised text. The byte lengths of the pieces and the
 kept places turn the borders of each piece into a half-open span of original bytes. Spans follow one another without gaps
 from the first byte that the normaliser keeps; begin and end ids have empty spans. Decoding is the library's.
@@ -18,12 +19,12 @@ that are user-defined or unused is refused with a ValueError.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import heapq
-import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, tidy
 
 SPACE_SIGN = "▁".encode()
-#: Space signs and what follows them.
-WORD = re.compile("▁*[^▁]+|▁+")
 NEVER = float("-inf")
+#: Words that a worker keeps: so many of the latest, and at most as many of those before.
+KEPT = 60_000
 
 
 class CharacterMap:
@@ -134,23 +135,47 @@ class Normaliser:
         return bytes(out), np.array([*places, at])
 
 
+def word_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Words that no piece reaches beyond; a space sign stands only at the beginning of pieces.
+
+    Two characters that no piece has side by side never come into one symbol, so a text may be cut between them.
+    """
+    sign = SPACE_SIGN.decode()
+    beside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+    inner = set("".join(beside)) | {sign}
+    marks = {c for c in inner if not c.isalpha()} - {sign}
+    while behind := {y for x, y in beside if y in marks and x != sign and x not in marks}:
+        marks -= behind
+    one_of = lambda chars: f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"
+    rest, marks = one_of(inner - marks - {sign}), one_of(marks)
+    return re.compile(f"{sign}*{rest}+|{sign}*{marks}+(?:{rest}+)?|{sign}+|[^{one_of(inner)[1:]}", re.DOTALL)
+
+
 class Merges(dict):
-    """Byte-pair encoding: ids of a word, kept while a worker has room."""
+    """Byte-pair encoding: ids of a word as little-endian 32-bit integers, kept while a worker has room."""
 
     def __init__(self, pieces: dict[str, int], scores: dict[str, float], byte_ids: list[int] | None, unknown: int):
         super().__init__()
         self.pieces, self.scores, self.byte_ids, self.unknown = pieces, scores, byte_ids, unknown
         sign = SPACE_SIGN.decode()
         self.apart = not any(sign in p.lstrip(sign) for p in pieces)
+        self.words = word_pattern(pieces).findall
+        self.before: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(word) > 48:
-            return self.named(self.queued(word))
-        if len(self) > 200_000:
+            return self.packed(self.queued(word))
+        if (out := self.before.get(word)) is None:
+            out = self.packed(self.scanned(word))
+        if len(self) >= KEPT:
+            self.before = dict(self)
             self.clear()
-        self[word] = out = self.named(self.scanned(word))
+        self[word] = out
         return out
 
+    def packed(self, parts: list[str]) -> bytes:
+        return array.array("I", self.named(parts)).tobytes()
+
     def scanned(self, word: str) -> list[str]:
         """The symbols of a short word: all pairs are looked through for the best."""
         score, parts = self.scores.get, list(word)
@@ -203,10 +228,9 @@ class Merges(dict):
                 ids += [self.byte_ids[x] for x in part.encode()]
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        if not self.apart:
-            return self.named(self.queued(text))
-        return list(itertools.chain.from_iterable(map(self.__getitem__, WORD.findall(text))))
+    def encode(self, text: str) -> np.ndarray:
+        words = map(self.__getitem__, self.words(text)) if self.apart else [self.packed(self.queued(text))]
+        return np.frombuffer(b"".join(words), np.uint32)
 
     def unknown_encode(self, text: str) -> tuple[list[int], list[int]]:
         """Ids and widths for a model without byte pieces; symbols without a piece that follow one another are one unknown piece."""
@@ -253,7 +277,7 @@ class Codec:
             data = text.encode("utf-8", "surrogatepass")
             normal, places = self.normalise(data)
             ids, widths = self.pieces_of(text, normal.decode())
-            ids = np.array([self.begin, *ids, self.end], np.uint32)
+            ids = np.concatenate([[self.begin], ids, [self.end]]).astype(np.uint32)
             widths = self.width[ids] if widths is None else np.array([0, *widths, 0])
             ends = np.cumsum(widths)
             if ends[-1] != len(normal):
@@ -261,7 +285,7 @@ class Codec:
             out.append((ids, places[ends - widths], places[ends]))
         return out
 
-    def pieces_of(self, text: str, normal: str) -> tuple[list[int], list[int] | None]:
+    def pieces_of(self, text: str, normal: str) -> tuple[Sequence[int], list[int] | None]:
         """Ids and, where the ids don't tell them, widths."""
         if self.merges is None:  # another kind of model: as the library gives them
             ids, pieces = self.library.encode(text), self.library.encode(text, out_type=str)

@@ -82,3 +82,34 @@ def test_unsupported_pieces_are_refused():
     proto.pieces[400].type = sentencepiece_model_pb2.ModelProto.SentencePiece.USER_DEFINED
     with pytest.raises(ValueError, match="user-defined"):
         pieces.Codec(proto.SerializeToString())
+
+
+def test_words_end_where_no_piece_goes_on():
+    import random
+
+    path, rng = P.path("piece_bpe_32k.model"), random.Random(2)
+    own, lib = pieces.Codec(pieces.model_bytes(path)), sp.SentencePieceProcessor(model_file=path)
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    text = " ".join(f"{x}.\n{y},7" for x in words for y in words)
+    assert own.encode([text])[0][0].tolist() == lib.encode(text, add_bos=True, add_eos=True)
+    assert len(own.merges) < 60  # not one for each pair of words
+    sayings = list(own.merges.pieces)
+    texts = ["".join(rng.choice(sayings).replace("▁", " ") for _ in range(rng.randint(1, 60))) for _ in range(1000)]
+    assert [x[0].tolist() for x in own.encode(texts)] == lib.encode(texts, add_bos=True, add_eos=True)
+
+
+def test_pattern_of_words():
+    cut = lambda kinds, text: pieces.word_pattern(kinds).findall(text)
+    assert cut(["ab", "▁a", "..", ".c"], "▁ab..cb.▁▁a7\n▁.a▁") == ["▁ab", "..cb", ".", "▁▁a", "7", "\n", "▁.a", "▁"]
+    assert cut(["ab", "b."], "ab.a▁ab-") == ["ab.a", "▁ab", "-"]  # a mark that a piece has behind a letter is no border
+    assert cut([], "a▁b") == ["a", "▁", "b"]
+
+
+def test_frequent_words_stay(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT", 10)
+    own = pieces.Codec(pieces.model_bytes(P.path("piece_bpe_32k.model"))).merges
+    looked, scanned = [], own.scanned
+    monkeypatch.setattr(own, "scanned", lambda word: looked.append(word) or scanned(word))
+    for i in range(100):
+        own.encode(f"▁often▁once{chr(97 + i // 26)}{chr(97 + i % 26)}")
+    assert looked.count("▁often") == 1 and len(looked) == 101 and len(own) + len(own.before) <= 20
