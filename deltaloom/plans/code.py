@@ -144,7 +144,7 @@ updates AS (SELECT id, n, section || '.' || name AS path, CASE WHEN old IS NULL
 def config_pairs(spark, sf_dir):
     """id, n, before, after: the JSON texts of neighbouring lines of an order, made from the lines' numbers."""
     lines = src.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey", "l_quantity")
-    one = lines.groupBy("id", "n").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x"))
+    one = lines.repartition("id").groupBy("id", "n").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x"))  # an order's lines meet in the window anyway: one shuffle
     q, s, p = F.col("x.l_quantity").cast("int"), F.col("x.l_suppkey") % 7, F.col("x.l_partkey") % 5
     text = lambda c: c.cast("string")
     when = lambda c, *parts: F.when(c, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise("")

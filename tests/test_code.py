@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.functions.paths import clean
 from deltaloom.operators import activity, clusters, configs, graph, history, ignore, imports, merges, records, renames, resolver, selection, signals
+from deltaloom.plans import code
 
 # Renames
 
@@ -157,6 +158,39 @@ def test_json_changes_equal_a_recursion(spark):
     assert configs.json_changes(df.limit(0), ["id"]).collect() == []
 
 
+def test_rows_of_plain_texts_are_written_once_however_deep(spark, monkeypatch):
+    deep = lambda x: json.dumps({"a": {"b": {"c": {"d": {"e": x}}}}, "limits": {"max": x}})
+    df = spark.createDataFrame([(1, deep(1), deep(2))], "id int, before string, after string")
+    times, settled = [], configs.settled
+    monkeypatch.setattr(configs, "settled", lambda rows: times.append(1) or settled(rows))
+    want = [(1, "a.b.c.d.e", "general", "JSON_VALUE_CHANGED"), (1, "limits.max", "limit", "LIMIT_CHANGED")]
+    assert sorted(map(tuple, configs.enriched(configs.json_changes(df, ["id"])).select("id", "path", "key_category", "category").collect())) == want and len(times) == 1
+
+
+def test_config_pairs_are_dealt_out_once(spark):
+    plan = code.config_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and plan.count("Exchange ") == 1
+
+
+def test_texts_that_parsers_read_differently_have_the_changes_of_variants(spark):
+    texts = ['{"a":1} x', '{"a":1,"a":2}', '{"a":NaN}', "", '{"a":"\\ud800"}', "1", "12x", "null", "[1,2]", "[true]", '{"a":1e400}', '{"a":-0}', '{"a":0}', '{"a":[0]}', '{"a.b":1}', '{"a":{"b":1}}', '{"":{"a":[true]}}', '{"dependencies":{"x":"1","y":{"z":"1"}}}', "[" * 300 + "]" * 300, None]
+    df = spark.createDataFrame([(i * 100 + j, b, a) for i, b in enumerate(texts) for j, a in enumerate(texts)], "id int, before string, after string")
+    slow = configs.by_levels(df, ["id"])
+    assert sorted(configs.json_changes(df, ["id"]).collect()) == sorted(slow.collect())
+    assert sorted(configs.package_changes(df, ["id"]).collect()) == sorted(configs.merged_changes(configs.dependency_changes(df, ["id"]), slow, ["id"]).collect())
+
+
+def test_a_task_keeps_few_texts_and_paths(spark, monkeypatch):
+    documents = configs.Documents()
+    b, a = documents[b'{"a":{"b":1,"c":[1]},"a.b":2}'], documents[b'{"a":{"b":2,"c":[1.0]},"a.b":3,"d":{"e":1}}']
+    assert sorted((documents.names[x >> 3], configs.CATEGORIES[x & 7]) for x in documents.changes(b, a)) == [("a.b", "JSON_VALUE_CHANGED"), ("d", "JSON_FIELD_ADDED")]
+    documents[b"[" + b"1," * 20_000 + b"1]"]
+    assert documents.room < configs.KEPT - 40_000 and not documents.full()
+    df = spark.createDataFrame([(i, json.dumps({f"k{i}": 1}), json.dumps({f"k{i}": i})) for i in range(50)], "id int, before string, after string")
+    monkeypatch.setattr(configs, "KEPT", 100)
+    assert configs.json_changes(df, ["id"]).count() == 49
+
+
 def test_dependency_signals_cover_what_lies_on_their_way(spark):
     b = {"dependencies": {"a": "^1.2", "b": "2.0", "n": 7}, "scripts": {"x": "1"}}
     a = {"dependencies": {"a": "^2.0", "c": "1.0", "n": 8}, "scripts": {"x": "2"}, "peerDependencies": {"p": ">=1"}}
