@@ -172,8 +172,7 @@ def dependency_diff(spark, sf_dir):
 @query(f"""WITH RECURSIVE {CONFIGS}, {CHANGES}, {DEPENDENCIES} SELECT id, n, path, category FROM updates
 UNION ALL SELECT id, n, path, category FROM changes c WHERE category IS NOT NULL AND NOT EXISTS (SELECT 1 FROM updates u WHERE u.id = c.id AND u.n = c.n AND (u.path = c.path OR starts_with(u.path, c.path || '.') OR starts_with(c.path, u.path || '.')))""")
 def package_diff(spark, sf_dir):
-    pairs = config_pairs(spark, sf_dir)
-    return configs.merged_changes(configs.dependency_changes(pairs, ["id", "n"]), configs.json_changes(pairs, ["id", "n"]), ["id", "n"])
+    return configs.package_changes(config_pairs(spark, sf_dir), ["id", "n"])
 
 
 @query(f"""WITH RECURSIVE {CONFIGS}, {CHANGES}, g AS (SELECT id, n, path, category, CASE WHEN regexp_matches(lower(path), 'enabled|disabled|feature|flag|toggle') THEN 'feature_flag' WHEN regexp_matches(lower(path), 'timeout|ttl|expire|duration') THEN 'timeout'
