@@ -177,6 +177,11 @@ def test_package_changes_are_merged_without_a_join(spark):
     assert "Join" not in plan and "Exchange" not in plan
 
 
+def test_changes_of_plain_texts_need_no_shuffle(spark):
+    plan = code.json_diff(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
 def test_texts_that_parsers_read_differently_have_the_changes_of_variants(spark):
     texts = ['{"a":1} x', '{"a":1,"a":2}', '{"a":NaN}', "", '{"a":"\\ud800"}', "1", "12x", "null", "[1,2]", "[true]", '{"a":1e400}', '{"a":-0}', '{"a":0}', '{"a":[0]}', '{"a.b":1}', '{"a":{"b":1}}', '{"":{"a":[true]}}', '{"dependencies":{"x":"1","y":{"z":"1"}}}', "[" * 300 + "]" * 300, None]
     df = spark.createDataFrame([(i * 100 + j, b, a) for i, b in enumerate(texts) for j, a in enumerate(texts)], "id int, before string, after string")
