@@ -80,7 +80,7 @@ def first(where: Column, **values: Column) -> Column:
 
 def first_names(rows: DataFrame) -> DataFrame:
     """cluster, names: the first three different names (symbols name:…) of each cluster, in order."""
-    each = rows.select("cluster", "seq", F.posexplode("symbols").alias("pos", "symbol")).where("symbol LIKE 'name:%'")
+    each = rows.select("cluster", "seq", F.posexplode_outer("symbols").alias("pos", "symbol")).where("symbol LIKE 'name:%'")  # outer: else a filter would go below the shuffle of the rows and make it another one
     once = each.groupBy("cluster", F.substring("symbol", 6, 1 << 30).alias("name")).agg(F.min(F.struct("seq", "pos")).alias("at"))
     early = once.withColumn("nth", F.row_number().over(W.partitionBy("cluster").orderBy("at", "name"))).where("nth <= 3")  # a limit for each group, applied before the shuffle too
     return early.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "name"))), lambda x: x["name"]).alias("names"))
@@ -158,19 +158,20 @@ def sub_intents() -> Column:
     return F.when(F.col("mixed") | (F.col("n") > LARGE), F.array_compact(F.array(*each))).otherwise(F.array().cast("array<string>"))
 
 
-def primary(rows: DataFrame) -> DataFrame:
-    """cluster, text, template, confidence, n_alternatives: the sentence of each cluster.
-
-    It is that of the best template; a summary of the groups takes its place in a mixed cluster with several groups, or with one where the best is unsure (below 0.6) or
-    generic, and wherever its own confidence is larger. The alternatives are the candidates after the first: a template that a summary displaces is not among them.
-    """
+def facts(rows: DataFrame) -> DataFrame:
+    """One row for each cluster, all from one count of its signals: its sentence (see primary), and n, mixed, subs, minus (cohesion times total weight, below zero), breaking, secret and loss (see warnings)."""
     subs = F.col("subs")
     shown = F.when(F.size(subs) > 3, F.concat(conjoined(F.slice(subs, 1, 3)), F.lit(" and "), (F.size(subs) - 3).cast("string"), F.lit(" more"))).otherwise(conjoined(subs))
     worth = F.lit(0.55) + F.when(F.col("c") / F.col("n") >= 0.8, 0.1).otherwise(0.0) + F.when(signals.any_of(signals.HIGH), 0.05).otherwise(0.0) - F.when(F.col("n") > LARGE, 0.05).otherwise(0.0)
-    facts = signals.matched(rows).withColumn("subs", sub_intents()).select(
-        "cluster", "mixed", subs, shown.alias("summary"), F.round(F.greatest(F.lit(0.45), F.least(F.lit(0.75), worth)), 6).alias("worth"), F.size("matches").alias("n_matches")
-    )
-    every = facts.join(signals.confidence(rows).drop("band"), "cluster").join(variables(rows), "cluster").join(areas(rows), "cluster")
+    known = [signals.count_of("category", c) * w for c, w in signals.WEIGHTS.items()]
+    others = F.col("n") - reduce(lambda a, b: a + b, (signals.count_of("category", c) for c in signals.WEIGHTS))
+    score = F.round(F.col("cohesion") * (reduce(lambda a, b: a + b, known) + 0.1 * others), 6)
+    counted = signals.matched(rows).withColumn("subs", sub_intents()).select(
+        "cluster", "n", "mixed", subs, shown.alias("summary"), F.round(F.greatest(F.lit(0.45), F.least(F.lit(0.75), worth)), 6).alias("worth"), F.size("matches").alias("n_matches"),
+        F.col("matches")[0]["template"].alias("template"), signals.worth().alias("confidence"), (-score).alias("minus"), (signals.count_of("tag", "breaking") > 0).alias("breaking"),
+        (signals.count_of("category", "CREDENTIAL_CHANGED") > 0).alias("secret"), (signals.count_of("category", "SCHEMA_FIELD_REMOVED") > 0).alias("loss"),
+    )
+    every = counted.join(variables(rows), "cluster").join(areas(rows), "cluster")
     able = F.col("mixed") & (F.size(subs) > 0)
     best = F.when(able, F.greatest("confidence", "worth")).otherwise(F.col("confidence"))
     generic = (F.col("template") == "generic_update") & (F.col("confidence") >= F.col("worth"))
@@ -179,31 +180,37 @@ def primary(rows: DataFrame) -> DataFrame:
     return every.select(
         "cluster", F.when(taken, F.concat(F.lit("Mixed changes in "), F.col("module"), F.lit(": "), F.col("summary"))).otherwise(said).alias("text"),
         F.when(taken, "mixed_summary").otherwise(F.col("template")).alias("template"), F.when(taken, F.col("worth")).otherwise(F.col("confidence")).alias("confidence"),
-        (F.col("n_matches") - 1 + able.cast("int")).alias("n_alternatives"),
+        (F.col("n_matches") - 1 + able.cast("int")).alias("n_alternatives"), "n", "mixed", "subs", "minus", "breaking", "secret", "loss",
     )
 
 
+def primary(rows: DataFrame) -> DataFrame:
+    """cluster, text, template, confidence, n_alternatives: the sentence of each cluster.
+
+    It is that of the best template; a summary of the groups takes its place in a mixed cluster with several groups, or with one where the best is unsure (below 0.6) or
+    generic, and wherever its own confidence is larger. The alternatives are the candidates after the first: a template that a summary displaces is not among them.
+    """
+    return facts(rows).select("cluster", "text", "template", "confidence", "n_alternatives")
+
+
 def warnings(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """change, cluster, warnings for changes (change, cluster; a cluster in one change): the change's first cluster, by cohesion times total weight, then by its name, and what a reader should be warned of, in order."""
-    known = [signals.count_of("category", c) * w for c, w in signals.WEIGHTS.items()]
-    others = F.col("n") - reduce(lambda a, b: a + b, (signals.count_of("category", c) for c in signals.WEIGHTS))
-    score = F.round(F.col("cohesion") * (reduce(lambda a, b: a + b, known) + 0.1 * others), 6)
-    each = signals.matched(rows).withColumn("subs", sub_intents()).select(
-        "cluster", "n", "mixed", "subs", (-score).alias("minus"), (signals.count_of("tag", "breaking") > 0).alias("breaking"),
-        (signals.count_of("category", "CREDENTIAL_CHANGED") > 0).alias("secret"), (signals.count_of("category", "SCHEMA_FIELD_REMOVED") > 0).alias("loss"),
-    )
-    whole = each.join(changes, "cluster").groupBy("change").agg(
-        F.min(F.struct("minus", "cluster", "mixed", "subs")).alias("top"), F.count("*").alias("clusters"), F.sum("n").alias("n"), F.bool_or("breaking").alias("breaking"), F.bool_or("secret").alias("secret"), F.bool_or("loss").alias("loss")
+    return warned(facts(rows).join(changes, "cluster"))
+
+
+def warned(every: DataFrame) -> DataFrame:
+    """The same of facts with their change."""
+    whole = every.groupBy("change").agg(
+        F.min(F.struct("minus", "cluster", "mixed", "subs", "confidence")).alias("top"), F.count("*").alias("clusters"), F.sum("n").alias("n"), F.bool_or("breaking").alias("breaking"), F.bool_or("secret").alias("secret"), F.bool_or("loss").alias("loss")
     )
-    whole = whole.withColumn("cluster", F.col("top.cluster")).join(primary(rows).select("cluster", "confidence"), "cluster")
     lines = [
-        (F.col("confidence") < SURE, "Low confidence intent - consider reviewing manually"), (F.col("clusters") > 3, "Many unrelated changes detected - consider splitting into multiple commits"),
+        (F.col("top.confidence") < SURE, "Low confidence intent - consider reviewing manually"), (F.col("clusters") > 3, "Many unrelated changes detected - consider splitting into multiple commits"),
         (F.col("top.mixed"), "Mixed changes detected - intent may not fully capture all changes"), None, (F.col("n") > LARGE, "Large changeset - consider smaller, focused commits"),
         (F.col("breaking"), "Contains breaking changes"), (F.col("secret"), "Contains credential/secret changes - review carefully"), (F.col("loss"), "Contains schema field removal - may require data migration"),
     ]
     groups = F.when(F.col("top.mixed"), F.transform("top.subs", lambda s: F.concat(F.lit("  - "), s))).otherwise(F.array().cast("array<string>"))
     of = lambda some: F.array_compact(F.array(*(F.when(c, F.lit(text)) for c, text in some)))
-    return whole.select("change", "cluster", F.concat(of(lines[:3]), groups, of(lines[4:])).alias("warnings"))
+    return whole.select("change", F.col("top.cluster").alias("cluster"), F.concat(of(lines[:3]), groups, of(lines[4:])).alias("warnings"))
 
 
 def plain_sentences(rows: DataFrame) -> DataFrame:

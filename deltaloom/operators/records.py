@@ -73,14 +73,22 @@ def since(log: DataFrame, cursor: int, agent: int, limit: int) -> DataFrame:
     return numbered.where(F.col("nth") <= limit).withColumn("has_more", F.col("all") > limit).drop("nth", "all")
 
 
+def directories(path: str) -> Column:
+    return F.split(F.when(F.col(path).contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(""), "/")
+
+
+def shared_folder(a: Column, b: Column) -> Column:
+    """The last of the directories that two paths begin with, null if there is none."""
+    upto = F.sequence(F.lit(1), F.least(F.size(a), F.size(b)))
+    shared = F.size(F.filter(upto, lambda i: F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i)))
+    return F.try_element_at(F.filter(F.slice(a, F.lit(1), shared), lambda x: (x != "") & (x != ".")), F.lit(-1))
+
+
 def common_area(rows: DataFrame, by: str, path: str) -> DataFrame:
     """by, area: the last directory that all paths of a group share, or codebase. Only the least and the greatest matter."""
-    parts = F.split(F.when(F.col(path).contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(""), "/")
+    parts = directories(path)
     ends = rows.groupBy(by).agg(F.min(parts).alias("a"), F.max(parts).alias("b"))
-    upto = F.sequence(F.lit(1), F.least(F.size("a"), F.size("b")))
-    shared = F.size(F.filter(upto, lambda i: F.slice("a", F.lit(1), i) == F.slice("b", F.lit(1), i)))
-    names = F.filter(F.slice("a", F.lit(1), shared), lambda x: (x != "") & (x != "."))
-    return ends.select(by, F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit("codebase")).alias("area"))
+    return ends.select(by, F.coalesce(shared_folder(F.col("a"), F.col("b")), F.lit("codebase")).alias("area"))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -97,11 +105,11 @@ def primary_areas(rows: DataFrame) -> DataFrame:
     """cluster, area for the signals (cluster, symbol, path): the commonest symbol, else the name of the one file without its ending, else the last directory that all files share."""
     symbols = rows.where("symbol IS NOT NULL").groupBy("cluster", "symbol").agg(F.count("*").alias("n"))
     named = symbols.groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("minus"), "symbol"))["symbol"].alias("named"))  # ties: the first by name
-    files = rows.where("path IS NOT NULL").groupBy("cluster").agg(F.min("path").alias("one"), F.max("path").alias("other"))
+    # What the least and the greatest path begin with, all in between begin with.
+    files = rows.groupBy("cluster").agg(F.min("path").alias("one"), F.max("path").alias("other"))
     single = F.when(F.col("one") == F.col("other"), F.regexp_replace(F.regexp_extract("one", "[^/]*$", 0), r"\.[^.]*$", ""))
-    shared = common_area(rows.where("path IS NOT NULL"), "cluster", "path").withColumnRenamed("area", "shared")
-    whole = rows.select("cluster").distinct().join(named, "cluster", "left").join(files, "cluster", "left").join(shared, "cluster", "left")
-    return whole.select("cluster", F.coalesce("named", single, "shared", F.lit("codebase")).alias("area"))
+    whole = files.join(named, "cluster", "left")
+    return whole.select("cluster", F.coalesce("named", single, shared_folder(directories("one"), directories("other")), F.lit("codebase")).alias("area"))
 
 
 def accumulated(stored: DataFrame, more: DataFrame, key: str) -> DataFrame:

@@ -202,9 +202,8 @@ def template_matches(signals: DataFrame) -> DataFrame:
     return matched(signals).select("cluster", best["template"].alias("template"), (-best["minus"]).alias("base"), (-best["back"]).alias("priority"), F.size("matches").alias("n_matches"))
 
 
-def confidence(signals: DataFrame) -> DataFrame:
-    """cluster, template, confidence, band: base x cohesion x mean confidence, with boosts for evidence and penalties for noise."""
-    rows = matched(signals)
+def worth() -> Column:
+    """Base x cohesion x mean confidence, with boosts for evidence and penalties for noise; of the columns of ``matched``."""
     # Every boost is above 1 and the product is cut at 1, so their order does not matter.
     boosts = reduce(lambda a, b: a * b, (F.pow(F.lit(f), sum(count_of("category", c) for c in kinds)) for f, kinds in BOOSTS))
     valued = reduce(lambda a, b: a + b, (count_of("category", c) for _, kinds in BOOSTS for c in kinds)) > 0
@@ -213,5 +212,10 @@ def confidence(signals: DataFrame) -> DataFrame:
     value = value * F.when(F.col("n") > 5, F.greatest(F.lit(0.5), 1 - (F.col("n") - 5) * 0.04)).otherwise(1.0) * F.when(F.col("mixed"), 0.85).otherwise(1.0)
     value = value * F.when(F.col("cohesion") < COHESIVE, 0.7 + 0.3 * F.col("cohesion") / COHESIVE).otherwise(1.0)
     value = value * F.when(F.col("kinds") > 4, 0.9).otherwise(1.0) * F.when(F.col("files") > 5, 0.92).otherwise(1.0)
-    value = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)) + 1e-9, 5)  # half a digit rounds up, whatever the order of the factors
-    return rows.select("cluster", F.col("matches")[0]["template"].alias("template"), value.alias("confidence"), F.when(value >= 0.8, "high").when(value >= 0.5, "medium").otherwise("low").alias("band"))
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)) + 1e-9, 5)  # half a digit rounds up, whatever the order of the factors
+
+
+def confidence(signals: DataFrame) -> DataFrame:
+    """cluster, template, confidence, band."""
+    value = worth()
+    return matched(signals).select("cluster", F.col("matches")[0]["template"].alias("template"), value.alias("confidence"), F.when(value >= 0.8, "high").when(value >= 0.5, "medium").otherwise("low").alias("band"))

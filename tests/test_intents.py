@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from deltaloom.operators import intents, purges
+from deltaloom.plans import library
+from deltaloom.sources import tables as src
 
 SIGNAL = (
     "cluster long, seq long, category string, confidence decimal(6,2), tag string, path string, symbols array<string>, old_name string, new_name string, after_value string, module string, fq_name string"
@@ -165,3 +167,21 @@ def test_push_and_changeset(spark):
     edges = spark.createDataFrame([("c", "MODIFIES", "f"), ("c", "MODIFIES", "f"), ("c", "AFFECTS", "f"), ("c", "HAS", "absent"), ("c", "IMPORTS", "g"), ("f", "HAS", "g"), ("x", "HAS", "f")], "src string, type string, dst string")
     got = sorted(map(tuple, purges.changeset_graph(nodes, edges).collect()))
     assert got == [("c", "changeset", "c", "ChangeSet"), ("c", "edge", "absent", "HAS"), ("c", "edge", "f", "AFFECTS"), ("c", "edge", "f", "MODIFIES"), ("c", "node", "f", "File")]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_sentences_need_one_shuffle_of_the_lines(spark):
+    rows = library.queries()["intent_sentences"](spark, SF)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    assert sum("Exchange hash" in line and "Reused" not in line for line in plan) == 1
+
+
+@pytest.mark.parametrize("name", ["intent_sentences"])
+def test_large_clusters_have_the_same_words(spark, monkeypatch, name):
+    want = sorted(library.queries()[name](spark, SF).collect())
+    monkeypatch.setattr(src, "MANY", 4)
+    assert len(src.dealt_lines(spark, SF)) == 2
+    assert sorted(library.queries()[name](spark, SF).collect()) == want
