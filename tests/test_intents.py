@@ -179,7 +179,7 @@ def test_sentences_need_one_shuffle_of_the_lines(spark):
     assert sum("Exchange hash" in line and "Reused" not in line for line in plan) == 1
 
 
-@pytest.mark.parametrize("name", ["intent_sentences", "intent_report", "intent_scores"])
+@pytest.mark.parametrize("name", ["intent_sentences", "intent_report", "intent_scores", "intent_warnings"])
 def test_large_clusters_have_the_same_words(spark, monkeypatch, name):
     want = sorted(library.queries()[name](spark, SF).collect())
     monkeypatch.setattr(src, "MANY", 4)
